@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, quality, simhash
+from tidemark.llm import bpe, digest, quality, simhash
 from tidemark.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
