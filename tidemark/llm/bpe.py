@@ -211,8 +211,9 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     @F.arrow_udf("binary")
     def joined(ids: pa.Array) -> pa.Array:
         table = shared.value
-        values, ends = ids.values.to_numpy().tolist(), ids.offsets.to_pylist()
-        return pa.array([b"".join([table[i] for i in values[a:b]]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+        values, ends = ids.values.to_numpy(), ids.offsets.to_pylist()
+        spans = zip(ends, ends[1:], strict=False)
+        return pa.array([b"".join([table[i] for i in values[a:b].tolist()]) for a, b in spans], pa.binary())
 
     return tokens.withColumn("decoded", joined("ids"))
 
