@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, digest, mixing, quality, sharding, simhash, warc
+from tidemark.llm import bpe, digest, mixing, quality, secrets, sharding, simhash, warc
 from tidemark.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_query(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
