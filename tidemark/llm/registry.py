@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, digest, mixing, quality, secrets, sharding, simhash, warc
+from tidemark.llm import bpe, digest, mixing, quality, secrets, sharding, simhash, substrings, warc
 from tidemark.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_query(table(spark, sf_dir, "documents"))
 
