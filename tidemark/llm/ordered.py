@@ -34,14 +34,16 @@ def cell_bounds(keys: DataFrame, cells: int) -> tuple[list[Key], list[Key]]:
 
 
 def with_cells(
-    rows: DataFrame, names: list[str], highs: list[Key], lows: list[Key], wrap: bool = False
+    rows: DataFrame, names: list[str], highs: list[Key], lows: list[Key], wrap: bool = False, both: bool = False
 ) -> DataFrame:
     """``rows`` with columns cell and halo. A halo row is the first of the next cell, or with ``wrap`` of all.
 
-    Rows that share the first key of a cell all get a halo copy; the order among them is the reader's.
+    With ``both``, the last of the cell before is a halo row as well. Rows that share such a key all get a halo copy;
+    the order among them is the reader's.
     """
     places = [rows.columns.index(n) for n in names]
     before = {low: i - 1 for i, low in enumerate(lows) if i}
+    after = {high: i + 1 for i, high in enumerate(highs[:-1])} if both else {}
     last = len(lows) - 1
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,6 +57,10 @@ def with_cells(
                     take.append(i)
                     cells.append(before[key])
                     halo.append(1)
+                if key in after:
+                    take.append(i)
+                    cells.append(after[key])
+                    halo.append(1)
                 if wrap and key == lows[0]:
                     take.append(i)
                     cells.append(last)

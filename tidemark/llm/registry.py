@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, digest, mixing, quality, secrets, sharding, simhash, substrings, warc
+from tidemark.llm import bpe, digest, mixing, pages, quality, secrets, sharding, simhash, substrings, warc
 from tidemark.llm.common import table
 
 
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
