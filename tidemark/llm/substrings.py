@@ -6,14 +6,16 @@ Texts are UTF-8 bytes and matches never cross documents.
 The suffixes of a whole corpus cannot be sorted in one place, and need not be: equal strings have equal minimizers,
 the least hashed ``GRAM``-byte strings of each window. So
 
+0. documents with a copy of a smaller doc_id are found by digest: all their strings are in that copy, and no other
+   document needs theirs, so they take no part in what follows and are cut whole;
 1. documents are dealt to cells by doc_id, and each cell sends the distinct minimizer hashes of its texts, packed by
    hash range, with a mark where two of its documents have one;
 2. a range tells each cell which of its hashes two or more documents of the corpus have;
 3. a cell sends the text around those minimizers as fragments, each once with the smallest doc_id that has it, to the
    range of the minimizer's hash, so all strings of ``LEAST`` bytes that begin under it meet there;
-4. a range builds the transform of its fragments and expands intervals by backward extension, breadth first: level d
-   splits the suffixes by their first d bytes, so the boundaries that appear at level d + 1 are the common prefixes of
-   length d. At ``LEAST`` it stops: what is still one interval is one string, and its smallest doc_id is known;
+4. a range builds the transform of its distinct fragments (copies are one, and a minimizer with one fragment needs
+   none) and expands intervals by backward extension, breadth first: level d splits the suffixes by their first d
+   bytes, so the boundaries that appear at level d + 1 are the common prefixes of length d. At ``LEAST`` it stops: what is still one interval is one string, and its smallest doc_id is known;
 5. each cell gets the places at which its fragments have a smaller doc_id, and cuts its documents.
 
 A passage that every document has costs one fragment a cell. Cells and ranges follow the corpus, each keeping its size.
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import partitions
@@ -46,6 +48,8 @@ RANGES_PER_PARTITION = 4
 TRANSFORM_BYTES = 2 << 20
 
 NO_DOC = -(1 << 63)
+#: Kinds of replies to a cell.
+SHARED, CUTS, COPIES = 0, 1, 2
 _U = np.uint64
 
 
@@ -198,26 +202,38 @@ def _by_range(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
 # --- steps ---------------------------------------------------------------------------------------------------------
 
 
-def _documents(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """(doc_id, bytes) of a cell's rows, smallest doc_id first."""
-    ids = [NO_DOC if d is None else d for d in group.column("doc_id").to_pylist()]
-    texts = group.column("text")
+def _documents(group: pa.Table, replies: pa.Table) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(doc_id, bytes, is a copy) of a cell's rows, smallest doc_id first."""
+    copies = {i for b in _bodies(replies, COPIES) for i in _unpack(b, np.int64)[0].tolist()}
+    ids, texts = group.column("doc_id").to_pylist(), group.column("text").combine_chunks()
     for i in sorted(range(len(ids)), key=ids.__getitem__):
         text = texts[i].as_buffer()
-        yield ids[i], np.frombuffer(text, np.uint8) if text is not None else np.empty(0, np.uint8)
+        data = np.frombuffer(text, np.uint8) if text is not None else np.empty(0, np.uint8)
+        yield ids[i], data, ids[i] in copies
+
+
+def _bodies(replies: pa.Table, kind: int) -> list[bytes]:
+    kinds = replies.column("kind").to_pylist()
+    return [b.as_py() for b, k in zip(replies.column("body"), kinds, strict=True) if k == kind]
+
+
+def _pack_copies(group: pa.Table) -> pa.Table:
+    ids = np.unique(group.column("doc_id").to_numpy())
+    return pa.table({"cell": pa.array([group.column("cell")[0].as_py()]), "body": pa.array([_pack(ids)], pa.binary())})
 
 
 def _send_hashes(ranges: int):
     """A cell's distinct minimizer hashes by range, with a mark where two of its documents have one."""
 
-    def send(group: pa.Table) -> pa.Table:
+    def send(group: pa.Table, replies: pa.Table) -> pa.Table:
         if not group.num_rows:
             return _routed([])
-        found, numbers = [], []
-        for number, (_, data) in enumerate(_documents(group)):
+        found = [np.empty(0, np.uint64)]
+        for _, data, copy in _documents(group, replies):
+            if copy:
+                continue
             own = np.unique(minimizers(data)[1])
             found.append(own)
-            numbers.append(np.full(len(own), number, np.int32))
         hashes = np.concatenate(found)
         own, counts = np.unique(hashes, return_counts=True)
         order, edges = _by_range(own, ranges)
@@ -250,7 +266,7 @@ def _find_shared(group: pa.Table) -> pa.Table:
 
 
 def _shared_hashes(replies: pa.Table) -> np.ndarray:
-    blocks = [_unpack(b, np.uint64)[0] for b in replies.column("body").to_pylist()]
+    blocks = [_unpack(b, np.uint64)[0] for b in _bodies(replies, SHARED)]
     return np.unique(np.concatenate([np.empty(0, np.uint64), *blocks]))
 
 
@@ -293,8 +309,9 @@ def _send_fragments(ranges: int):
         if not group.num_rows or not replies.num_rows:
             return _routed([])
         shared, found = _shared_hashes(replies), _Fragments()
-        for doc, data in _documents(group):
-            found.visit(doc, data, shared)
+        for doc, data, copy in _documents(group, replies):
+            if not copy:
+                found.visit(doc, data, shared)
         hashes, docs, texts = np.array(found.hashes, np.uint64), np.array(found.docs, np.int64), list(found.index)
         order, edges = _by_range(hashes, ranges)
         cell, out = group.column("cell")[0].as_py(), []
@@ -309,79 +326,92 @@ def _send_fragments(ranges: int):
     return send
 
 
-def _cuts_of(texts: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each place of the joined fragments: does a string of ``LEAST`` bytes start there that a smaller doc_id has?"""
+def _least_docs(texts: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each place of the joined fragments the smallest doc_id that has the ``LEAST`` bytes from there on.
+
+    The greatest integer where so many bytes do not follow in the fragment.
+    """
     ends = np.cumsum(lengths)
     text = np.zeros(int(lengths.sum()) + len(lengths), np.uint8)  # a zero after each fragment
-    where = np.arange(len(texts)) + np.repeat(np.arange(len(lengths)), lengths)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    where = np.arange(len(texts)) + owner
     text[where] = texts + np.uint8(1)  # UTF-8 has no byte 255
-    owner = np.full(len(text), -1, np.int32)
-    owner[where] = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     order = suffix_order(text, LEAST)
     starts = interval_starts(text, order, LEAST)
-    whole = np.zeros(len(text), bool)  # windows that end within their fragment
-    offset = np.arange(len(texts)) - np.repeat(ends - lengths, lengths)
-    whole[where[offset + LEAST <= np.repeat(lengths, lengths)]] = True
-    taken = whole[order]
-    rows, interval = order[taken], np.cumsum(starts)[taken]
-    doc = docs[owner[rows]]
-    if not len(rows):
-        return np.zeros(len(texts), bool)
-    first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
-    smallest = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(rows))))
-    cut = np.zeros(len(text), bool)
-    cut[rows] = doc > smallest
-    return cut[where]
+    place = np.full(len(text), -1, np.int64)
+    offset = np.arange(len(texts)) - (ends - lengths)[owner]
+    whole = offset + LEAST <= lengths[owner]
+    place[where[whole]] = np.flatnonzero(whole)
+    rows = place[order]
+    taken = rows >= 0
+    rows, interval = rows[taken], np.cumsum(starts)[taken]
+    least = np.full(len(texts), np.iinfo(np.int64).max)
+    if len(rows):
+        first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
+        smallest = np.minimum.reduceat(docs[owner[rows]], first)
+        least[rows] = np.repeat(smallest, np.diff(np.append(first, len(rows))))
+    return least
+
+
+def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each run, one run after the other."""
+    run = np.cumsum(sizes) - sizes
+    return np.repeat(starts - run, sizes) + np.arange(int(sizes.sum()))
 
 
 def _expand(group: pa.Table) -> pa.Table:
-    """Places to cut in the fragments of a range: to each cell, its fragments' numbers and their marked windows."""
+    """Windows to cut in the fragments of a range: to each cell, its fragments' numbers and their marked windows."""
     cells = group.column("cell").to_pylist()
     blocks = [_unpack(b, np.uint64, np.int64, np.int32, np.int32, np.uint8) for b in group.column("body").to_pylist()]
     if not blocks:
         return _routed([])
-    hashes, docs, numbers, lengths, texts = (np.concatenate([b[i] for b in blocks]) for i in range(5))
-    source = np.repeat(np.arange(len(blocks)), [len(b[0]) for b in blocks])
-    begin = np.cumsum(lengths.astype(np.int64)) - lengths
+    # Distinct fragments, each with the smallest doc_id of all cells.
+    index: dict[bytes, int] = {}
+    which, docs = [], np.concatenate([b[1] for b in blocks])
+    for _, _, _, sizes, body in blocks:
+        raw, ends = body.tobytes(), np.cumsum(sizes).tolist()
+        which += [index.setdefault(raw[a:b], len(index)) for a, b in zip([0, *ends], ends, strict=False)]
+    which = np.array(which, np.int64)
+    texts = np.frombuffer(b"".join(index), np.uint8)
+    lengths = np.fromiter(map(len, index), np.int64, len(index))
+    begin = np.cumsum(lengths) - lengths
+    hashes, smallest = np.empty(len(index), np.uint64), np.full(len(index), np.iinfo(np.int64).max)
+    hashes[which] = np.concatenate([b[0] for b in blocks])
+    np.minimum.at(smallest, which, docs)
+    # Smallest doc_id of each window: that of the fragment where its minimizer has no other, else by the transform.
+    least = np.repeat(smallest, lengths)
     order = np.argsort(hashes, kind="stable")
     ranked = hashes[order]
-    # A minimizer whose fragments are all of one document shares nothing.
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    sizes = np.diff(np.append(first, len(order)))
-    own = docs[order]
-    mixed = np.repeat(np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first), sizes)
-    order, group_of = order[mixed], np.repeat(np.arange(len(first)), sizes)[mixed]
-    out: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    at = 0
-    reach = np.cumsum(lengths[order].astype(np.int64))
+    counts = np.diff(np.append(first, len(order)))
+    minimizer = np.repeat(np.arange(len(first)), counts)
+    several = np.repeat(counts > 1, counts)
+    order, minimizer = order[several], minimizer[several]
+    reach, at = np.cumsum(lengths[order]), 0
     while at < len(order):
-        stop = int(np.searchsorted(reach, (reach[at - 1] if at else 0) + TRANSFORM_BYTES, side="left")) + 1
-        stop = int(np.searchsorted(group_of, group_of[min(stop, len(order)) - 1], side="right"))
+        stop = int(np.searchsorted(reach, (reach[at - 1] if at else 0) + TRANSFORM_BYTES, side="left"))
+        stop = int(np.searchsorted(minimizer, minimizer[min(stop, len(order) - 1)], side="right"))
         part = order[at:stop]
-        size = lengths[part].astype(np.int64)
-        run = np.cumsum(size) - size
-        picked = texts[np.repeat(begin[part] - run, size) + np.arange(int(size.sum()))]
-        cut = _cuts_of(picked, size, docs[part])
-        if cut.any():
-            hit = np.add.reduceat(cut, run) > 0
-            marks = cut[np.repeat(hit, size)]
-            for s in np.unique(source[part[hit]]).tolist():
-                mine = source[part[hit]] == s
-                out.setdefault(cells[s], []).append(
-                    (numbers[part[hit]][mine], size[hit][mine].astype(np.int32), marks[np.repeat(mine, size[hit])])
-                )
+        places = _gather(begin[part], lengths[part])
+        least[places] = _least_docs(texts[places], lengths[part], smallest[part])
         at = stop
-    rows = []
-    for cell, parts in out.items():
-        number, size, marks = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        rows.append((cell, cell, _pack(number, size, np.packbits(marks))))
-    return _routed(rows)
+    out, lo = [], 0
+    for cell, (_, own, numbers, _, _) in zip(cells, blocks, strict=True):
+        mine = which[lo : lo + len(own)]
+        lo += len(own)
+        windows = lengths[mine] - LEAST + 1
+        marks = least[_gather(begin[mine], windows)] < np.repeat(own, windows)
+        hit = np.maximum.reduceat(marks, np.cumsum(windows) - windows)
+        if hit.any():
+            kept = marks[np.repeat(hit, windows)]
+            out.append((cell, cell, _pack(numbers[hit], windows[hit].astype(np.int32), np.packbits(kept))))
+    return _routed(out)
 
 
-def _marks(cuts: pa.Table) -> dict[int, np.ndarray]:
+def _marks(replies: pa.Table) -> dict[int, np.ndarray]:
     """Marked windows of each fragment of a cell that has any."""
     found = {}
-    for block in cuts.column("body").to_pylist():
+    for block in _bodies(replies, CUTS):
         numbers, sizes, bits = _unpack(block, np.int32, np.int32, np.uint8)
         marks = np.unpackbits(bits, count=int(sizes.sum())).astype(bool)
         ends = np.cumsum(sizes).tolist()
@@ -390,43 +420,50 @@ def _marks(cuts: pa.Table) -> dict[int, np.ndarray]:
     return found
 
 
-def _cut_documents(group: pa.Table, replies: pa.Table, cuts: pa.Table) -> Iterator[dict]:
-    """Each document of a cell with what is kept of it."""
-    shared, found, marks = _shared_hashes(replies), _Fragments(), _marks(cuts)
-    for doc, data in _documents(group):
+def _cut_documents(group: pa.Table, replies: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """doc_id, bytes and the mark of each removed byte of a cell's documents."""
+    shared, found, marks = _shared_hashes(replies), _Fragments(), _marks(replies)
+    for doc, data, copy in _documents(group, replies):
+        if copy:
+            yield doc, data, np.full(len(data), len(data) >= LEAST)
+            continue
         numbers, low, high = found.visit(doc, data, shared)
         starts = []
         for number, a, b in zip(numbers, low.tolist(), high.tolist(), strict=True):
             if found.docs[number] < doc:  # a smaller document of this cell has the whole fragment
                 starts.append(np.arange(a, b + 1))
             elif number in marks:
-                starts.append(a + np.flatnonzero(marks[number][: b - a + 1]))
+                starts.append(a + np.flatnonzero(marks[number]))
         gone = np.zeros(len(data), bool)
         if starts:
             at = np.concatenate(starts)
             change = np.bincount(at, minlength=len(data) + 1) - np.bincount(at + LEAST, minlength=len(data) + 1)
             gone = np.cumsum(change)[: len(data)] > 0
-        yield {"doc": doc, "data": data, "gone": gone}
+        yield doc, data, gone
 
 
 def _finish(group: pa.Table, replies: pa.Table) -> pa.Table:
-    """``replies`` holds both kinds for the cell: shared hashes, and cuts (with ``kind`` set)."""
     names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
     columns: dict[str, list] = {n: [] for n in names}
     if group.num_rows:
-        is_cut = np.array(replies.column("kind").to_pylist(), bool)
-        pick = lambda wanted: replies.filter(pa.array(is_cut == wanted))
-        for r in _cut_documents(group, pick(False), pick(True)):
-            gone = r["gone"]
-            columns["doc_id"].append(None if r["doc"] == NO_DOC else r["doc"])
-            columns["n_bytes"].append(len(gone))
+        for doc, data, gone in _cut_documents(group, replies):
+            columns["doc_id"].append(None if doc == NO_DOC else doc)
+            columns["n_bytes"].append(len(data))
             columns["n_removed"].append(int(gone.sum()))
             columns["n_spans"].append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
-            columns["kept"].append(r["data"][~gone].tobytes())
+            columns["kept"].append(data[~gone].tobytes())
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     return pa.table([pa.array(columns[n], k) for n, k in zip(names, kinds, strict=True)], names)
 
 
+def _copies(dealt: DataFrame) -> DataFrame:
+    """(cell, body): the doc_ids of each cell's documents whose text a smaller doc_id has."""
+    digests = dealt.select("cell", "doc_id", F.md5("text").alias("digest"))
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    gone = digests.join(first, "digest").filter("doc_id > first").select("cell", "doc_id")
+    return gone.groupBy("cell").applyInArrow(_pack_copies, "cell bigint, body binary")
+
+
 def dedup_substrings(documents: DataFrame) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans and ``kept``, the remaining bytes."""
     spark = documents.sparkSession
@@ -434,14 +471,21 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
     ranges = RANGES_PER_PARTITION * parts
     total = documents.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     cells = max(1, -(-total // CELL_BYTES))
-    cell: Column = F.pmod(F.xxhash64("doc_id"), F.lit(cells))
-    dealt = documents.select(cell.alias("cell"), "doc_id", F.encode("text", "UTF-8").alias("text")).repartition(parts, "cell")
-    hashes = dealt.groupBy("cell").applyInArrow(_send_hashes(ranges), _ROUTED)
-    shared = hashes.groupBy("route").applyInArrow(_find_shared, _ROUTED).select("cell", "body").repartition(parts, "cell")
-    fragments = dealt.groupBy("cell").cogroup(shared.groupBy("cell")).applyInArrow(_send_fragments(ranges), _ROUTED)
-    cuts = fragments.groupBy("route").applyInArrow(_expand, _ROUTED).select("cell", "body")
-    replies = shared.withColumn("kind", F.lit(False)).unionByName(cuts.withColumn("kind", F.lit(True)))
-    return dealt.groupBy("cell").cogroup(replies.groupBy("cell")).applyInArrow(
+    rows = documents.select(
+        F.pmod(F.xxhash64("doc_id"), F.lit(cells)).alias("cell"),
+        F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc_id"),
+        F.encode("text", "UTF-8").alias("text"),
+    )
+    dealt = rows.repartition(parts, "cell")
+    by_cell = dealt.groupBy("cell")
+    copies = _copies(rows).withColumn("kind", F.lit(COPIES)).repartition(parts, "cell")
+    hashes = by_cell.cogroup(copies.groupBy("cell")).applyInArrow(_send_hashes(ranges), _ROUTED)
+    shared = hashes.groupBy("route").applyInArrow(_find_shared, _ROUTED).select("cell", "body", F.lit(SHARED).alias("kind"))
+    known = shared.unionByName(copies).repartition(parts, "cell")
+    fragments = by_cell.cogroup(known.groupBy("cell")).applyInArrow(_send_fragments(ranges), _ROUTED)
+    cuts = fragments.groupBy("route").applyInArrow(_expand, _ROUTED).select("cell", "body", F.lit(CUTS).alias("kind"))
+    replies = known.unionByName(cuts)
+    return by_cell.cogroup(replies.groupBy("cell")).applyInArrow(
         _finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     )
 
