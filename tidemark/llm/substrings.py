@@ -44,8 +44,9 @@ SPAN = LEAST - GRAM + 1
 #: Bytes of text in a cell, about, and ranges of hashes for each shuffle partition.
 CELL_BYTES = 4 << 20
 RANGES_PER_PARTITION = 4
-#: Bytes of fragments that are put into one transform; an interval of equal minimizers is never divided.
-TRANSFORM_BYTES = 2 << 20
+#: Bytes of fragments that are put into one transform, so that it fits a core's cache; fragments of one minimizer are
+#: never divided.
+TRANSFORM_BYTES = 160 << 10
 
 NO_DOC = -(1 << 63)
 #: Kinds of replies to a cell.
@@ -153,15 +154,14 @@ def interval_starts(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarr
     first = text[order]
     by_symbol = np.concatenate([[True], first[1:] != first[:-1]])
     starts = by_symbol.copy()
-    interval = np.cumsum(starts, dtype=np.int32)
+    interval, inner = np.cumsum(starts, dtype=np.int32), np.empty(n, np.int32)
     for _ in range(least - 1):
-        inner = interval[rest]
-        grown = by_symbol.copy()
-        grown[1:] |= inner[1:] != inner[:-1]
-        interval = np.cumsum(grown, dtype=np.int32)
         if interval[-1] == n:
-            return grown
-        starts = grown
+            break
+        np.take(interval, rest, out=inner)
+        np.not_equal(inner[1:], inner[:-1], out=starts[1:])
+        starts |= by_symbol
+        np.cumsum(starts, dtype=np.int32, out=interval)
     return starts
 
 
