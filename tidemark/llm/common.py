@@ -88,5 +88,10 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def release() -> None:
+    """Give memory that Arrow keeps for later back: a worker process waits for its next task with what it holds."""
+    pa.default_memory_pool().release_unused()
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)

@@ -115,7 +115,7 @@ def compare_with_next(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     parts = partitions(spark)
     at = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("at")
-    highs, lows = cell_bounds(documents.select(at), 3 * parts)
+    highs, lows = cell_bounds(documents.select(at), parts)
     rows = with_cells(documents.select(at, "doc_id", "text"), ["at"], highs, lows, wrap=True)
     fields = ["doc_id", "text", "cell", "halo"]
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import release
+
 Key = tuple
 
 
@@ -23,14 +25,24 @@ def cell_bounds(keys: DataFrame, cells: int) -> tuple[list[Key], list[Key]]:
     Spark's own range partitioning picks where the cells end; the bounds are then exact, whatever it sampled.
     """
     names = keys.columns
+    key = F.struct(*names) if len(names) > 1 else F.col(names[0])
     ends = (
         keys.repartitionByRange(cells, *names)
         .groupBy(F.spark_partition_id().alias("cell"))
-        .agg(F.min(F.struct(*names)).alias("low"), F.max(F.struct(*names)).alias("high"))
-        .orderBy("low")
+        .agg(F.min(key).alias("low"), F.max(key).alias("high"))
         .collect()
     )
-    return [tuple(r.high) for r in ends], [tuple(r.low) for r in ends]
+    whole = lambda x: tuple(x) if len(names) > 1 else (x,)
+    bounds = sorted((whole(r.low), whole(r.high)) for r in ends)  # two keys for each cell
+    return [high for _, high in bounds], [low for low, _ in bounds]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+    release()
 
 
 def with_cells(
@@ -47,7 +59,7 @@ def with_cells(
     last = len(lows) - 1
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             take, cells, halo = [], [], []
             for i, key in enumerate(zip(*(batch.column(p).to_pylist() for p in places), strict=True)):
                 take.append(i)
@@ -89,7 +101,7 @@ def walk(
     """
     held: dict | None = None
     made: list[dict] = []
-    for batch in batches:
+    for batch in slices(batches):
         columns = [batch.column(batch.schema.get_field_index(f)).to_pylist() for f in fields]
         for values in zip(*columns, strict=True):
             row = dict(zip(fields, values, strict=True))
