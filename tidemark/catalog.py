@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import oracle
+from tidemark.plans import queries as plans
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """Bars with indicators, structure and anchors, one row for each bar."""
+    names = ("o", "h", "l", "c", "a", "sma_fast", "dist", "u")
+    seen = plans.observed(spark, sf_dir)
+    return seen.select("series", "t0", "t1", "status", "segment", "pos", *plans.r6(*names), "structure", "cross", "version")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(plans.ALL)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.ALL)
