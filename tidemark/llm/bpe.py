@@ -31,10 +31,11 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions
+from tidemark.llm.common import partitions, release
+from tidemark.llm.ordered import slices
 
 #: Characters of text that a chunk gathers before its words go out.
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 2 << 20
 #: Hash ranges of words for each shuffle partition; a range is one group.
 RANGES_PER_PARTITION = 4
 
@@ -125,7 +126,7 @@ def _split(pattern: str, buckets: int, chunk_chars: int):
         task = TaskContext.get().partitionId()
         count = 0
         chunk = _Chunk(task << 24)
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 chunk.add(doc_id, find(text or ""), len(text or ""))
                 if chunk.chars >= chunk_chars:
@@ -134,6 +135,7 @@ def _split(pattern: str, buckets: int, chunk_chars: int):
                     chunk = _Chunk((task << 24) + count)
         if chunk.ids:
             yield _routed(chunk.rows(buckets))
+        release()
 
     return split
 
@@ -162,46 +164,66 @@ def _encode(ranks: Broadcast, pattern: str, buckets: int):
     return encode
 
 
-def _assemble(own: pa.Table, replies: pa.Table) -> pa.Table:
-    """Documents of a chunk, put together from the ids of its words."""
-    bodies = own.filter(pc.is_null(own.column("bucket"))).column("body").to_pylist()
-    blocks = sorted(zip(replies.column("bucket").to_pylist(), replies.column("body").to_pylist(), strict=True))
-    parts = [[np.frombuffer(x, np.uint32) for x in _unpack(block)] for _, block in blocks]
-    empty = [np.empty(0, np.uint32)]
-    size = np.concatenate(empty + [counts for counts, _ in parts]).astype(np.int64)
-    flat = np.concatenate(empty + [ids for _, ids in parts])
-    start = np.cumsum(size) - size
-    doc_ids, values, offsets = [], [], [0]
-    for body in bodies:
-        kinds = (np.int64, np.uint8, np.int64, np.uint32)
-        ids, missing, lengths, at = (np.frombuffer(x, t) for x, t in zip(_unpack(body), kinds, strict=True))
-        n, first = size[at], start[at]
-        run = np.cumsum(n) - n
-        tokens = flat[np.repeat(first - run, n) + np.arange(int(n.sum()))]
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(lengths)]
-        doc_ids += [None if m else i for i, m in zip(ids.tolist(), missing.tolist(), strict=True)]
-        offsets += (ends + offsets[-1]).tolist()
-        values.append(tokens)
-    tokens = pa.array(np.concatenate(empty + values).astype(np.int32))
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens)
-    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": lists})
-
-
-def encode(documents: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """doc_id and the token ids of each document's whole text, in order."""
+def _bytes_of(tokens: pa.ListArray, table: list[bytes]) -> pa.Array:
+    """Join each list of ids to the table of token bytes."""
+    values, ends = tokens.values.to_numpy(), tokens.offsets.to_pylist()
+    spans = zip(ends, ends[1:], strict=False)
+    return pa.array([b"".join([table[i] for i in values[a:b].tolist()]) for a, b in spans], pa.binary())
+
+
+def _assemble(table: Broadcast | None):
+    """Documents of a chunk, put together from the ids of its words; decoded as well where a table is given."""
+
+    def assemble(own: pa.Table, replies: pa.Table) -> pa.Table:
+        bodies = own.filter(pc.is_null(own.column("bucket"))).column("body").to_pylist()
+        blocks = sorted(zip(replies.column("bucket").to_pylist(), replies.column("body").to_pylist(), strict=True))
+        parts = [[np.frombuffer(x, np.uint32) for x in _unpack(block)] for _, block in blocks]
+        empty = [np.empty(0, np.uint32)]
+        size = np.concatenate(empty + [counts for counts, _ in parts]).astype(np.int64)
+        flat = np.concatenate(empty + [ids for _, ids in parts])
+        start = np.cumsum(size) - size
+        doc_ids, values, offsets = [], [], [0]
+        for body in bodies:
+            kinds = (np.int64, np.uint8, np.int64, np.uint32)
+            ids, missing, lengths, at = (np.frombuffer(x, t) for x, t in zip(_unpack(body), kinds, strict=True))
+            n, first = size[at], start[at]
+            run = np.cumsum(n) - n
+            tokens = flat[np.repeat(first - run, n) + np.arange(int(n.sum()))]
+            ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(lengths)]
+            doc_ids += [None if m else i for i, m in zip(ids.tolist(), missing.tolist(), strict=True)]
+            offsets += (ends + offsets[-1]).tolist()
+            values.append(tokens)
+        tokens = pa.array(np.concatenate(empty + values).astype(np.int32))
+        columns = {
+            "doc_id": pa.array(doc_ids, pa.int64()),
+            "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens),
+        }
+        if table is not None:
+            columns["decoded"] = _bytes_of(columns["ids"], table.value)
+        release()
+        return pa.table(columns)
+
+    return assemble
+
+
+def encode(
+    documents: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, decoded: bool = False
+) -> DataFrame:
+    """doc_id and the token ids of each document's whole text, in order; with ``decoded`` their bytes as well."""
     spark = documents.sparkSession
     parts = partitions(spark)
     buckets = RANGES_PER_PARTITION * parts
-    ranks = spark.sparkContext.broadcast(read_ranks(path))  # one vocabulary: its size does not follow the corpus
+    # One vocabulary: its size does not follow the corpus.
+    ranks = spark.sparkContext.broadcast(read_ranks(path))
+    table = spark.sparkContext.broadcast(token_table(path)) if decoded else None
     chunks = (
         documents.select("doc_id", "text")
         .mapInArrow(_split(pattern, buckets, chunk_chars), _ROUTED)
         .repartition(parts, "route")
     )
     replies = chunks.groupBy("route").applyInArrow(_encode(ranks, pattern, buckets), _ROUTED)
-    return chunks.groupBy("route").cogroup(replies.groupBy("route")).applyInArrow(
-        _assemble, "doc_id bigint, ids array<int>"
-    )
+    schema = "doc_id bigint, ids array<int>" + (", decoded binary" if decoded else "")
+    return chunks.groupBy("route").cogroup(replies.groupBy("route")).applyInArrow(_assemble(table), schema)
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -210,17 +232,14 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
 
     @F.arrow_udf("binary")
     def joined(ids: pa.Array) -> pa.Array:
-        table = shared.value
-        values, ends = ids.values.to_numpy(), ids.offsets.to_pylist()
-        spans = zip(ends, ends[1:], strict=False)
-        return pa.array([b"".join([table[i] for i in values[a:b].tolist()]) for a, b in spans], pa.binary())
+        return _bytes_of(ids, shared.value)
 
     return tokens.withColumn("decoded", joined("ids"))
 
 
 def token_digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row for each document: doc_id, n_tokens, and SHA-256 of its decimal ids and of its decoded bytes."""
-    return decode(encode(documents, path, pattern), path).select(
+    return encode(documents, path, pattern, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

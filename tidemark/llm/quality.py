@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_PATTERN, code_points, texts_of
+from tidemark.llm.common import WORD_PATTERN, code_points, release, texts_of
+from tidemark.llm.ordered import slices
 
 # The most common words of each language.
 COMMON_WORDS = {
@@ -170,7 +171,7 @@ def language_references(documents: DataFrame) -> dict[str, tuple[np.ndarray, np.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sums: dict[tuple[str, str], np.ndarray] = {}
             for text, lang in zip(texts_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 words = _WORDS.findall(text)
@@ -206,10 +207,12 @@ def verdict(text: Column, lang: Column, references: dict[str, tuple[np.ndarray,
 
     @F.arrow_udf(VERDICT)
     def rules(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        found = [judge(t, x, references) for t, x in zip(texts_of(texts), langs.to_pylist(), strict=True)]
+        pairs = zip(texts, langs.to_pylist(), strict=True)
+        found = [judge(t.as_py() or "", x, references) for t, x in pairs]
         kinds = [(f, pa.int64()) for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
         kinds += [("base_failed", pa.bool_()), ("kept", pa.bool_())]
         kinds += [("class_distance", pa.float64()), ("word_distance", pa.float64())]
+        release()
         return pa.StructArray.from_arrays([pa.array([r[f] for r in found], t) for f, t in kinds], [f for f, _ in kinds])
 
     return rules(text, lang)

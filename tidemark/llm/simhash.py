@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD_PATTERN, materialize, texts_of
+from tidemark.llm.common import WORD_PATTERN, materialize, release
 
 SHINGLE = 3
 SEED = 42
@@ -67,7 +67,8 @@ def fingerprints(text: Column) -> Column:
 
     @F.arrow_udf("bigint")
     def computed(texts: pa.Array) -> pa.Array:
-        found = np.fromiter((fingerprint(t) for t in texts_of(texts)), np.uint64, len(texts))
+        found = np.fromiter((fingerprint(t.as_py() or "") for t in texts), np.uint64, len(texts))
+        release()
         return pa.array(found.view(np.int64))
 
     return computed(text)
