@@ -8,9 +8,9 @@ D = 86_400_000
 #: Bars of a width from events, on a grid of whole days.
 _BARS = """
 {p}found AS (
-  SELECT event_type AS series, (epoch_ms(ts) // {w}) * {w} AS t0, arg_min(value, ts) AS o, max(value) AS h, min(value) AS l,
+  SELECT event_type AS series, ((epoch_us(ts) // 1000) // {w}) * {w} AS t0, arg_min(value, ts) AS o, max(value) AS h, min(value) AS l,
          arg_max(value, ts) AS c, count(*) AS ticks FROM events GROUP BY 1, 2),
-{p}span AS (SELECT event_type AS series, (min(epoch_ms(ts)) // {d}) * {d} AS lo, (max(epoch_ms(ts)) // {d}) * {d} + {d} AS hi FROM events GROUP BY 1),
+{p}span AS (SELECT event_type AS series, (min((epoch_us(ts) // 1000)) // {d}) * {d} AS lo, (max((epoch_us(ts) // 1000)) // {d}) * {d} + {d} AS hi FROM events GROUP BY 1),
 {p}grid AS (SELECT series, unnest(generate_series(lo, hi - {w}, {w})) AS t0 FROM {p}span),
 {p}bars AS (
   SELECT g.series, g.t0, g.t0 + {w} AS t1, CASE WHEN f.ticks >= 1 THEN 'COMPLETE' ELSE 'INCOMPLETE' END AS status,
@@ -174,6 +174,73 @@ t1s AS (SELECT * FROM t0s WHERE n > n0 QUALIFY row_number() OVER (PARTITION BY s
 att AS (SELECT *, row_number() OVER (PARTITION BY series, group_id ORDER BY t1) AS ordinal, n - n0 AS counter_closes FROM t1s)
 """
 
+_LEGS = """
+l0 AS (
+  SELECT x.*, o.a AS a0, o.structure AS st0, CASE WHEN x.kind = 'HIGH' THEN 1 ELSE -1 END AS d, (x.p1_t0 - x.p0_t0) // 5400000 AS leg_bars
+  FROM alt x JOIN obs o ON o.series = x.series AND o.t0 = x.t0 WHERE x.action <> 'KEEP' AND x.p0_price IS NOT NULL),
+l1 AS (SELECT *, d * (p1_price - p0_price) AS length, CASE WHEN d = 1 THEN 'LONG' ELSE 'SHORT' END || ':' || p0_t0 || ':' || p1_t0 || ':' || t1 AS leg_id FROM l0),
+legs AS (
+  SELECT *, CASE WHEN coalesce(st0, '') <> CASE WHEN d = 1 THEN 'UP' ELSE 'DOWN' END THEN 'ABSTAIN_STRUCTURE' WHEN leg_bars NOT BETWEEN 1 AND 32 THEN 'ABSTAIN_DURATION'
+    WHEN NOT coalesce(a0 > 0, false) THEN 'ABSTAIN_VOLATILITY_UNAVAILABLE' WHEN NOT length >= 0.2 * a0 THEN 'ABSTAIN_AMPLITUDE' END AS against FROM l1),
+w0 AS (
+  SELECT g.series, g.leg_id, g.d, g.length, g.a0, g.p0_price, g.p1_price, g.t1 AS leg_t1, g.segment AS leg_segment, (b.t0 - g.p1_t0) // 5400000 AS since, b.t0, b.t1, b.status, b.segment, b.o, b.h, b.l, b.c, b.structure
+  FROM legs g JOIN obs b ON b.series = g.series AND b.t0 BETWEEN g.p1_t0 AND g.p1_t0 + 13 * 5400000 WHERE against IS NULL),
+w1 AS (SELECT *, CASE WHEN since > 0 AND d * (c - lag(c) OVER s) < 0 THEN 1 ELSE 0 END AS ag, lag(h) OVER s AS hp, lag(l) OVER s AS lp,
+    CASE WHEN since > 0 THEN l END AS l1, CASE WHEN since > 0 THEN h END AS h1 FROM w0 WINDOW s AS (PARTITION BY series, leg_id ORDER BY t0)),
+w2 AS (SELECT *, sum(ag) OVER s AS counter, CASE WHEN d = 1 THEN min(l1) OVER s ELSE max(h1) OVER s END AS extreme,
+    CASE WHEN d = 1 THEN max(h1) OVER s >= p1_price ELSE min(l1) OVER s <= p1_price END AS reached FROM w1 WINDOW s AS (PARTITION BY series, leg_id ORDER BY t0)),
+w3 AS (SELECT *, d * (p1_price - extreme) / length AS depth FROM w2 WHERE t1 >= leg_t1),
+w4 AS (
+  SELECT *, CASE WHEN status <> 'COMPLETE' OR segment IS DISTINCT FROM leg_segment THEN 'INVALIDATED_DATA' WHEN structure = CASE WHEN d = 1 THEN 'DOWN' ELSE 'UP' END THEN 'INVALIDATED_STRUCTURE'
+    WHEN depth > 1.4 OR d * (c - p0_price) <= 0 THEN 'INVALIDATED_DEPTH' WHEN reached THEN 'INVALIDATED_TARGET_REACHED' WHEN since > 12 THEN 'EXPIRED'
+    WHEN depth < 0.1 OR counter < 1 OR NOT (t1 > leg_t1 AND CASE WHEN d = 1 THEN c > hp AND c > o ELSE c < lp AND c < o END) THEN 'WAIT' ELSE 'CALL' END AS state FROM w3),
+w5 AS (SELECT * FROM w4 WHERE state <> 'WAIT' QUALIFY row_number() OVER (PARTITION BY series, leg_id ORDER BY t1) = 1),
+w6 AS (
+  SELECT g.series, g.leg_id, g.t1 AS leg_t1, g.d, g.leg_bars, g.against, g.a0, g.p1_price, e.t1 AS ended_at, e.counter, e.depth, e.state,
+    e.extreme - g.d * CAST(0.1 AS DOUBLE) * g.a0 AS sp, e.c * (1 + g.d * CAST(0.0003 AS DOUBLE)) AS es FROM legs g LEFT JOIN w5 e ON e.series = g.series AND e.leg_id = g.leg_id),
+w7 AS (SELECT *, d * (es - sp) AS rk, d * (p1_price - es) AS gn FROM w6),
+dec AS (
+  SELECT *, CASE WHEN against IS NOT NULL THEN against WHEN state IS NULL THEN 'OPEN_AT_END'
+    WHEN state = 'CALL' AND NOT coalesce(sp > 0 AND rk > 0 AND gn > 0 AND gn / rk >= 0.05, false) THEN 'ABSTAIN_REWARD_RISK' ELSE state END AS outcome FROM w7)
+"""
+
+_ENTRY = """
+n0 AS (
+  SELECT x.*, b.status, b.o AS ref, z.last_t0, b.o * (1 + x.d * CAST(0.0003 AS DOUBLE)) AS entry FROM dec x LEFT JOIN obs b ON b.series = x.series AND b.t0 = x.ended_at
+  JOIN (SELECT series, max(t0) AS last_t0 FROM obs GROUP BY 1) z ON z.series = x.series WHERE x.outcome = 'CALL'),
+ent AS (
+  SELECT *, d * (entry - sp) AS risk0, 1000.0 / entry AS qty, CASE WHEN ended_at >= last_t0 THEN 'CANCELLED_END_OF_WINDOW' WHEN coalesce(status, '') <> 'COMPLETE' THEN 'CANCELLED_NO_QUOTE'
+    WHEN d * (entry - sp) > 0 AND d * (p1_price - entry) > 0 AND (p1_price - entry) / (entry - sp) >= 0.05 THEN 'FILLED' ELSE 'REJECTED_PRICE' END AS entry_outcome FROM n0)
+"""
+
+_EXIT = """
+e0 AS (
+  SELECT x.series, x.leg_id, x.d, x.sp, x.p1_price AS tgt, x.a0, x.ended_at, x.last_t0, (b.t0 - x.ended_at) // 5400000 AS held, b.t0, b.t1, b.status, b.o, b.h, b.l, b.c,
+    coalesce(b.structure = CASE WHEN x.d = 1 THEN 'DOWN' ELSE 'UP' END, false) AS opp, b.pivot_kind, b.pivot_price - x.d * CAST(0.1 AS DOUBLE) * x.a0 AS pr, b.candidate_t0
+  FROM ent x JOIN obs b ON b.series = x.series AND b.t0 BETWEEN x.ended_at AND x.ended_at + 16 * 5400000 WHERE x.entry_outcome = 'FILLED'),
+e1 AS (
+  SELECT *, CASE WHEN pivot_kind = CASE WHEN d = 1 THEN 'LOW' ELSE 'HIGH' END AND candidate_t0 >= ended_at AND d * (c - pr) > 0 AND d * (tgt - pr) > 0 AND pr > 0 AND NOT opp THEN pr END AS prop FROM e0),
+e2 AS (
+  SELECT *, CASE WHEN d = 1 THEN greatest(sp, coalesce(max(prop) OVER a, sp)) ELSE least(sp, coalesce(min(prop) OVER a, sp)) END AS s2,
+    CASE WHEN d = 1 THEN greatest(sp, coalesce(max(prop) OVER b, sp)) ELSE least(sp, coalesce(min(prop) OVER b, sp)) END AS s1, coalesce(lag(opp) OVER w, false) AS due
+  FROM e1 WINDOW w AS (PARTITION BY series, leg_id ORDER BY t0), a AS (PARTITION BY series, leg_id ORDER BY t0 ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING),
+    b AS (PARTITION BY series, leg_id ORDER BY t0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e3 AS (SELECT *, d * (CASE WHEN d = 1 THEN l ELSE h END - s1) <= 0 AS sh, d * (CASE WHEN d = 1 THEN h ELSE l END - tgt) >= 0 AS th FROM e2),
+e4 AS (
+  SELECT *, CASE WHEN held > 0 AND status <> 'COMPLETE' THEN 'UNRESOLVED_DATA_GAP' WHEN held > 0 AND d * (o - s2) <= 0 THEN 'STOP' WHEN held > 0 AND d * (o - tgt) >= 0 THEN 'TARGET'
+      WHEN held > 0 AND due THEN 'EXIT_STRUCTURE' WHEN held >= 16 THEN 'TIME_EXIT' WHEN held > 0 AND t0 >= last_t0 THEN 'END_OF_SEGMENT' WHEN held > 0 AND d * (o - s1) <= 0 THEN 'STOP' END AS atopen FROM e3),
+e5 AS (SELECT *, coalesce(atopen, CASE WHEN sh THEN 'STOP' WHEN th THEN 'TARGET' END) AS reason FROM e4),
+e6 AS (SELECT * FROM e5 WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series, leg_id ORDER BY t0) = 1),
+e7 AS (
+  SELECT x.series, x.leg_id, x.d, x.qty, x.entry, x.ref, x.risk0, x.p1_price AS tgt, x.ended_at AS entry_at, y.reason, y.s1 AS final_stop, CASE WHEN y.atopen IS NULL THEN y.t1 ELSE y.t0 END AS exit_at,
+    CASE WHEN y.reason = 'UNRESOLVED_DATA_GAP' THEN NULL WHEN y.atopen IS NOT NULL THEN y.o WHEN y.sh THEN y.s1 ELSE y.tgt END AS xr, CASE WHEN y.reason IS NOT NULL THEN coalesce(y.atopen IS NULL AND y.sh AND y.th, false) END AS "both"
+  FROM ent x LEFT JOIN e6 y ON y.series = x.series AND y.leg_id = x.leg_id WHERE x.entry_outcome = 'FILLED'),
+e8 AS (SELECT *, xr * (1 - d * CAST(0.0003 AS DOUBLE)) AS "exit", tgt * (1 - d * CAST(0.0003 AS DOUBLE)) AS xt, xr * (1 - d * CAST(0.001 AS DOUBLE)) AS xs, ref * (1 + d * CAST(0.001 AS DOUBLE)) AS es FROM e7),
+trd AS (
+  SELECT *, d * qty * ("exit" - entry) AS price_pnl, CAST(0.0005 AS DOUBLE) * qty * (entry + "exit") AS fees, d * qty * ("exit" - entry) - CAST(0.0005 AS DOUBLE) * qty * (entry + "exit") AS net,
+    CASE WHEN "both" THEN d * qty * (xt - entry) - CAST(0.0005 AS DOUBLE) * qty * (entry + xt) END AS net_target_first, d * qty * (xs - es) - CAST(0.001 AS DOUBLE) * qty * (es + xs) AS stress_net FROM e8)
+"""
+
 _BASE = _BARS.format(p="", w=W, d=D)
 _DAYS = _BARS.format(p="d_", w=D, d=D)
 _OBS = [_BASE, _VOL, _AVG, _PIV.format(p="", src="avgs"), _ALT]
@@ -228,13 +295,13 @@ touch AS (
 
 _FACTS = "facts AS (SELECT series, t1 AS known_at, pivot_kind AS kind, round(pivot_price, 6) AS price FROM piv WHERE pivot_kind IS NOT NULL)"
 _PIVOTS = [_BASE, _PIV.format(p="", src="seg")]
-_NETS = """nets AS (SELECT l_returnflag AS book, (epoch_ms(l_shipdate) // 86400000) * 86400000 AS day,
+_NETS = """nets AS (SELECT l_returnflag AS book, ((epoch_us(l_shipdate) // 1000) // 86400000) * 86400000 AS day,
   round(sum(l_extendedprice * (l_discount - l_tax)), 4) AS net FROM lineitem GROUP BY 1, 2)"""
 _PATH = """pth AS (SELECT *, sum(net) OVER (PARTITION BY book ORDER BY day) AS equity FROM nets),
 pk AS (SELECT *, greatest(0, max(equity) OVER (PARTITION BY book ORDER BY day)) AS peak FROM pth)"""
 
 ALL = {
-    "bars_ohlcv_45m": """SELECT 'ALL' AS series, (epoch_ms(ts) // 2700000) * 2700000 AS t0, count(*) AS ticks, round(arg_min(value, ts), 6) AS o,
+    "bars_ohlcv_45m": """SELECT 'ALL' AS series, ((epoch_us(ts) // 1000) // 2700000) * 2700000 AS t0, count(*) AS ticks, round(arg_min(value, ts), 6) AS o,
       round(max(value), 6) AS h, round(min(value), 6) AS l, round(arg_max(value, ts), 6) AS c, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2""",
     "bars_dense_grid": _with([_BASE], f"SELECT series, t0, t1, status, ticks, {r6('o', 'h', 'l', 'c')} FROM bars"),
     "bars_regrouped_daily": _with(
@@ -365,7 +432,7 @@ ALL = {
       ON p.series = q.series""",
     ),
     "asof_snapshot": _with(
-        [*_PIVOTS, _FACTS, "asked AS (SELECT event_type AS series, epoch_ms(ts) AS t, round(value, 6) AS paid FROM events)"],
+        [*_PIVOTS, _FACTS, "asked AS (SELECT event_type AS series, (epoch_us(ts) // 1000) AS t, round(value, 6) AS paid FROM events)"],
         "SELECT a.series, a.t, a.paid, f.known_at AS pivot_known_at, f.kind AS pivot_kind, f.price AS pivot_price FROM asked a ASOF LEFT JOIN facts f ON a.series = f.series AND a.t >= f.known_at",
     ),
     "visible_at": _with([*_PIVOTS, _FACTS], "SELECT series, known_at, kind, price FROM facts WHERE known_at <= 1705320000000 QUALIFY row_number() OVER (PARTITION BY series ORDER BY known_at DESC) = 1"),
@@ -373,11 +440,11 @@ ALL = {
         [_BASE], "SELECT series, t0, round(last_value(c IGNORE NULLS) OVER (PARTITION BY series ORDER BY t0 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS known FROM bars"
     ),
     "rate_interval_join": _with(
-        [*_OBS, _VER, "rates AS (SELECT event_type AS series, (epoch_ms(ts) // 3600000) * 3600000 AS tau, avg(value) AS rate FROM events GROUP BY 1, 2)"],
+        [*_OBS, _VER, "rates AS (SELECT event_type AS series, ((epoch_us(ts) // 1000) // 3600000) * 3600000 AS tau, avg(value) AS rate FROM events GROUP BY 1, 2)"],
         "SELECT v.series, v.version_id, count(*) AS n, round(sum(rate), 6) AS total FROM vers v JOIN rates r ON r.series = v.series AND r.tau > v.active_from AND r.tau <= v.retired_at GROUP BY 1, 2",
     ),
     "series_certification": """SELECT series, count(*) FILTER (gap > 3600000) AS long_gaps, count(*) FILTER (gap < 60000) AS within_a_minute, max(gap) AS longest, count(*) FILTER (gap > 43200000) = 0 AS certified FROM (
-      SELECT event_type AS series, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events) GROUP BY 1""",
+      SELECT event_type AS series, (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events) GROUP BY 1""",
     "first_per_category": _with(
         [*_OBS, _FUT],
         """, hits AS (SELECT t1, series, unnest([CASE WHEN structure = 'UP' AND future_complete THEN 'UP_COMPLETE' END, CASE WHEN structure = 'DOWN' AND future_complete THEN 'DOWN_COMPLETE' END,
@@ -423,7 +490,7 @@ ALL = {
         SELECT series, CAST(ceil(active_from / 86400000) AS BIGINT) * 86400000 AS period_end, 1 AS b, 0 AS e FROM vers
         UNION ALL SELECT series, CAST(ceil(retired_at / 86400000) AS BIGINT) * 86400000, 0, 1 FROM vers) GROUP BY 1, 2))""",
     ),
-    "duration_status": """WITH f AS (SELECT l_orderkey, min(epoch_ms(l_shipdate)) AS shipped FROM lineitem GROUP BY 1), m AS (SELECT o_orderstatus, epoch_ms(o_orderdate) AS born, shipped FROM orders LEFT JOIN f ON o_orderkey = l_orderkey),
+    "duration_status": """WITH f AS (SELECT l_orderkey, min((epoch_us(l_shipdate) // 1000)) AS shipped FROM lineitem GROUP BY 1), m AS (SELECT o_orderstatus, (epoch_us(o_orderdate) // 1000) AS born, shipped FROM orders LEFT JOIN f ON o_orderkey = l_orderkey),
       e AS (SELECT max(greatest(born, coalesce(shipped, born))) AS last FROM m), v AS (SELECT o_orderstatus, CASE WHEN shipped IS NOT NULL THEN 'AVAILABLE' ELSE 'CENSORED' END AS kind, (coalesce(shipped, last) - born) / 86400000.0 AS x FROM m, e)
       SELECT o_orderstatus, kind, count(*) AS n, round(avg(x), 6) AS mean, round(min(x), 6) AS min, round(max(x), 6) AS max, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.9), 6) AS p90 FROM v GROUP BY 1, 2""",
     "duplicate_policy": """SELECT state, count(*) AS keys, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT n, CASE WHEN n = 1 THEN 'SINGLE' WHEN k = 1 THEN 'IDENTICAL' ELSE 'DISCORDANT' END AS state FROM (
@@ -432,7 +499,7 @@ ALL = {
       WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1995-04-01' GROUP BY 1""",
     "step_rounding": """SELECT l_returnflag, CAST(sum(floor(u) * 0.25) AS DOUBLE) AS down, CAST(sum(ceil(u) * 0.25) AS DOUBLE) AS up, count(*) FILTER (floor(u) = u) AS exact FROM (
       SELECT l_returnflag, CAST(l_extendedprice AS DECIMAL(18, 2)) * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * 4 AS u FROM lineitem) GROUP BY 1""",
-    "interval_bounds": """SELECT event_type AS series, epoch_ms(ts) - (((epoch_ms(ts) - 1705000020000) % 3000000) + 3000000) % 3000000 AS start, count(*) AS n FROM events GROUP BY 1, 2""",
+    "interval_bounds": """SELECT event_type AS series, (epoch_us(ts) // 1000) - ((((epoch_us(ts) // 1000) - 1705000020000) % 3000000) + 3000000) % 3000000 AS start, count(*) AS n FROM events GROUP BY 1, 2""",
     "iso_times": """SELECT strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS text, strftime(ts, '%Y-%m') AS month, true AS same, count(*) AS n FROM events GROUP BY 1, 2, 3""",
     "semi_anti_activity": _with(
         [*_OBS, _VER, _ATT],
@@ -443,8 +510,36 @@ ALL = {
       count(*) AS n, count(*) FILTER (a.o_orderkey IS NOT NULL AND b.o_orderkey IS NOT NULL AND a.o_orderstatus IS DISTINCT FROM b.o_orderstatus) AS o_orderstatus_changed,
       count(*) FILTER (a.o_orderkey IS NOT NULL AND b.o_orderkey IS NOT NULL AND a.o_orderpriority IS DISTINCT FROM b.o_orderpriority) AS o_orderpriority_changed FROM b FULL JOIN a ON a.o_orderkey = b.o_orderkey GROUP BY 1""",
     "reconcile_partitions": """SELECT 'cells' AS "check", CAST(0 AS BIGINT) AS expected, CAST(0 AS BIGINT) AS found WHERE false""",
+    "leg_decisions": _with(
+        [*_OBS, _LEGS],
+        """SELECT series, leg_id, leg_t1, d, leg_bars, outcome, ended_at, counter, round(depth, 6) AS depth, CASE WHEN outcome = 'CALL' THEN round(sp, 6) END AS stop, CASE WHEN outcome = 'CALL' THEN round(rk, 6) END AS risk,
+      CASE WHEN outcome = 'CALL' THEN round(gn, 6) END AS gain, CASE WHEN outcome = 'CALL' THEN round((p1_price + CAST(0.05 AS DOUBLE) * sp) / CAST(1.05 AS DOUBLE), 6) END AS entry_bound FROM dec""",
+    ),
+    "slot_greedy": _with(
+        [*_OBS, _LEGS],
+        """, ord AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY leg_t1, leg_id) AS rn FROM dec),
+      walk AS (SELECT series, rn, leg_id, true AS free, CASE WHEN against IS NULL THEN coalesce(ended_at, 4611686018427387904) ELSE -4611686018427387904 END AS busy FROM ord WHERE rn = 1
+        UNION ALL SELECT o.series, o.rn, o.leg_id, o.leg_t1 > w.busy, CASE WHEN o.leg_t1 > w.busy AND o.against IS NULL THEN coalesce(o.ended_at, 4611686018427387904) ELSE w.busy END FROM walk w JOIN ord o ON o.series = w.series AND o.rn = w.rn + 1)
+      SELECT o.series, o.leg_id, o.leg_t1, o.outcome, CASE WHEN w.free THEN 'TAKEN' ELSE 'SKIPPED_BUSY' END AS slot FROM ord o JOIN walk w ON w.series = o.series AND w.rn = o.rn""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    "entry_outcomes": _with([*_OBS, _LEGS, _ENTRY], "SELECT series, entry_outcome, count(*) AS n FROM ent GROUP BY 1, 2"),
+    "ledger_exits": _with(
+        [*_OBS, _LEGS, _ENTRY, _EXIT],
+        f"""SELECT series, leg_id, entry_at, exit_at, reason, "both", {r6('entry', 'final_stop', 'price_pnl', 'fees', 'net', 'net_target_first', 'stress_net')}, round("exit", 6) AS "exit",
+      round(net / (qty * risk0), 6) AS net_over_risk FROM trd""",
+    ),
+    "average_cost_accounting": """WITH RECURSIVE f AS (
+      SELECT l_partkey AS part, row_number() OVER (PARTITION BY l_partkey ORDER BY (epoch_us(l_shipdate) // 1000), l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END, l_quantity, l_extendedprice / l_quantity) AS rn,
+        CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS s, l_extendedprice / l_quantity AS price, l_extendedprice * CAST(0.001 AS DOUBLE) AS fee FROM lineitem),
+      w AS (SELECT part, 1 AS rn, s AS qty, price AS avg, CAST(0 AS DOUBLE) AS realized, fee AS fees, 0 AS closes FROM f WHERE rn = 1
+        UNION ALL SELECT f.part, w.rn + 1, w.qty + f.s,
+          CASE WHEN w.qty + f.s = 0 THEN 0 WHEN w.qty = 0 OR sign(w.qty) = sign(f.s) THEN (abs(w.qty) * w.avg + abs(f.s) * f.price) / abs(w.qty + f.s) WHEN abs(f.s) > abs(w.qty) THEN f.price ELSE w.avg END,
+          CASE WHEN w.qty = 0 OR sign(w.qty) = sign(f.s) THEN w.realized ELSE w.realized + least(abs(f.s), abs(w.qty)) * (f.price - w.avg) * sign(w.qty) END, w.fees + f.fee,
+          w.closes + CASE WHEN w.qty = 0 OR sign(w.qty) = sign(f.s) THEN 0 ELSE 1 END FROM w JOIN f ON f.part = w.part AND f.rn = w.rn + 1)
+      SELECT part, closes, round(qty, 2) AS qty, round(avg, 2) AS avg_price, round(realized, 2) AS realized, round(fees, 2) AS fees, round(realized - fees, 2) AS net FROM w QUALIFY row_number() OVER (PARTITION BY part ORDER BY rn DESC) = 1""",
+    "lifecycle_violations": """SELECT '' AS ref_id, '' AS rule WHERE false""",
     "downsampled_curve": _with(
         [_NETS, _PATH],
-        "SELECT book, day, round(equity, 6) AS equity FROM (SELECT *, min(equity) OVER (PARTITION BY book) AS low FROM pk) WHERE day % (28 * 86400000) = 0 OR equity = low",
+        "SELECT book, day, round(equity, 6) AS equity FROM (SELECT *, min(equity) OVER (PARTITION BY book) AS low FROM pk) WHERE day % 2419200000 = 0 OR equity = low",
     ),
 }

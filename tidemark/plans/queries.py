@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import measures, scalars
 from tidemark.functions.scalars import DAY, HOUR, MINUTE, epoch_ms
-from tidemark.operators import asof, bars, observe, outcomes, population, summary
+from tidemark.operators import asof, bars, decisions, ledger, lifecycle, observe, outcomes, population, replay, summary
 
 WIDTH = 90 * MINUTE
 DAY_BARS = DAY // WIDTH
@@ -477,6 +477,85 @@ def downsampled_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("book", "day", *r6("equity"))
 
 
+#: Limits wide enough for the tables' ticks, which jump about far more than a market does.
+LOOSE = decisions.Rules(amplitude=0.2, depth_min=0.1, depth_max=1.4, reward_risk=0.05)
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    seen = observed(spark, sf_dir)
+    found = decisions.legs(observe.alternation(seen), seen, LOOSE)
+    return decisions.decisions(found, seen, LOOSE), seen
+
+
+def leg_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = _decided(spark, sf_dir)
+    return found.select("series", "leg_id", "leg_t1", "d", "leg_bars", "outcome", "ended_at", "counter", *r6("depth", "stop", "risk", "gain", "entry_bound"))
+
+
+def slot_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which legs a single slot of each series would take; what isn't recognized does not hold it."""
+    found, _ = _decided(spark, sf_dir)
+    taken = decisions.one_slot(found, "leg_t1", "ended_at", F.col("recognized"))
+    return taken.select("series", "leg_id", "leg_t1", "outcome", "slot")
+
+
+def ledger_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, seen = _decided(spark, sf_dir)
+    done = ledger.trades(ledger.entries(found, seen, LOOSE), seen, LOOSE)
+    names = ("entry", "exit", "final_stop", "price_pnl", "fees", "net", "net_target_first", "stress_net", "net_over_risk")
+    return done.select("series", "leg_id", "entry_at", "exit_at", "reason", "both", *r6(*names))
+
+
+def entry_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, seen = _decided(spark, sf_dir)
+    return ledger.entries(found, seen, LOOSE).groupBy("series", "entry_outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
+    side = F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY")
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    return items.select(
+        F.col("l_partkey").alias("part"), epoch_ms(F.col("l_shipdate")).alias("at"), "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("supp"),
+        side.alias("side"), F.col("l_quantity").alias("qty"), price.alias("price"), (F.col("l_extendedprice") * 0.001).alias("fee"),
+    )
+
+
+def average_cost_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = replay.average_cost(_fills(spark, sf_dir), ["part"], ["at", "l_orderkey", "l_linenumber", "supp"])
+    return done.select("part", "closes", *[F.round(c, 2).alias(c) for c in ("qty", "avg_price", "realized", "fees", "net")])
+
+
+def replay_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order books folded from the event log of each user."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for p in (("click", "ORDER"), ("view", "FILL"), ("purchase", "STOP"), ("error", "CANCEL"), ("signup", "MODE")) for x in p]), F.col("event_type"))
+    events = table(spark, sf_dir, "events").select(
+        F.pmod("user_id", F.lit(50)).alias("book"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"),
+        F.pmod("user_id", F.lit(3)).cast("string").alias("order_id"), F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"),
+        F.lit(1.0).alias("qty"), F.col("value").alias("price"),
+    )
+    return replay.order_book(events, ["book"])
+
+
+def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    seen = observed(spark, sf_dir)
+    return lifecycle.lifecycle(seen, observe.alternation(seen)), seen
+
+
+def lifecycle_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = _log(spark, sf_dir)
+    return found.select("series", "t", "seq", "type", "ref_id", "side", "reason", "condition", *r6("base", "extreme", "anchor"))
+
+
+def lifecycle_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.movements(_log(spark, sf_dir)[0])
+
+
+def lifecycle_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the log states and the bars do not bear out: there is no row."""
+    return lifecycle.violations(*_log(spark, sf_dir))
+
+
 ALL = {
     f.__name__: f
     for f in (
@@ -489,6 +568,7 @@ ALL = {
         series_certification, first_per_category, describe_by_group, grouping_sets_domain_fill, trade_stats, drawdown_curve,
         losing_streak, concentration_top5, cashflow_by_month, null_poisoning_sum, stock_flow_periods, duration_status,
         duplicate_policy, partition_pruned_month, step_rounding, interval_bounds, iso_times, semi_anti_activity, changed_rows,
-        reconcile_partitions, downsampled_curve,
+        reconcile_partitions, downsampled_curve, leg_decisions, slot_greedy, ledger_exits, entry_outcomes,
+        average_cost_accounting, replay_state, lifecycle_ledger, lifecycle_movements, lifecycle_violations,
     )
 }
