@@ -52,7 +52,9 @@ def describe(value: Column, quantiles: Iterable[float], prefix: str = "") -> lis
         F.min(value).alias(f"{prefix}min"),
         F.max(value).alias(f"{prefix}max"),
     ]
-    return out + [F.percentile(value, F.lit(q)).alias(f"{prefix}p{round(q * 100)}") for q in quantiles]
+    quantiles = list(quantiles)
+    found = F.percentile(value, F.array(*[F.lit(q) for q in quantiles]))  # one aggregate for all of them
+    return out + [F.get(found, i).alias(f"{prefix}p{round(q * 100)}") for i, q in enumerate(quantiles)]
 
 
 def share(part: Column, whole: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import measures, scalars
 from tidemark.functions.scalars import DAY, HOUR, MINUTE, epoch_ms
 from tidemark.operators import asof, bars, decisions, ledger, lifecycle, observe, outcomes, population, replay, summary
+from tidemark.sources.shared import materialize
 
 WIDTH = 90 * MINUTE
 DAY_BARS = DAY // WIDTH
@@ -46,6 +47,10 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observe.observe(typed_bars(spark, sf_dir))
 
 
+def observed_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(observed(spark, sf_dir))
+
+
 def bars_ohlcv_45m(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bars.aggregate(ticks(spark, sf_dir, F.lit("ALL")), 45 * MINUTE)
     return found.filter("status = 'COMPLETE'").select("series", "t0", "ticks", *r6("o", "h", "l", "c", "v"))
@@ -124,7 +129,7 @@ def levels_and_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = observed(spark, sf_dir)
+    seen = observed_once(spark, sf_dir)
     crossed = observe.crossings(observe.levels(seen, daily_bars(spark, sf_dir)))
     found = observe.events(seen, observe.alternation(seen), crossed)
     return found.groupBy("series", "type").agg(
@@ -179,7 +184,7 @@ def right_censoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _touched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = observed(spark, sf_dir)
+    seen = observed_once(spark, sf_dir)
     starts = seen.filter("structure in ('UP', 'DOWN') and a > 0").withColumn(
         "d", F.when(F.col("structure") == "UP", 1).otherwise(-1)
     )
@@ -213,8 +218,8 @@ def outcome_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    seen = observed(spark, sf_dir)
-    return population.versions(observe.alternation(seen), seen), seen
+    seen = observed_once(spark, sf_dir)
+    return materialize(population.versions(observe.alternation(seen), seen)), seen
 
 
 def movement_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -482,8 +487,8 @@ LOOSE = decisions.Rules(amplitude=0.2, depth_min=0.1, depth_max=1.4, reward_risk
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    seen = observed(spark, sf_dir)
-    found = decisions.legs(observe.alternation(seen), seen, LOOSE)
+    seen = observed_once(spark, sf_dir)
+    found = materialize(decisions.legs(observe.alternation(seen), seen, LOOSE))
     return decisions.decisions(found, seen, LOOSE), seen
 
 
@@ -501,7 +506,7 @@ def slot_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, seen = _decided(spark, sf_dir)
-    done = ledger.trades(ledger.entries(found, seen, LOOSE), seen, LOOSE)
+    done = ledger.trades(materialize(ledger.entries(found, seen, LOOSE)), seen, LOOSE)
     names = ("entry", "exit", "final_stop", "price_pnl", "fees", "net", "net_target_first", "stress_net", "net_over_risk")
     return done.select("series", "leg_id", "entry_at", "exit_at", "reason", "both", *r6(*names))
 
@@ -538,7 +543,7 @@ def replay_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    seen = observed(spark, sf_dir)
+    seen = observed_once(spark, sf_dir)
     return lifecycle.lifecycle(seen, observe.alternation(seen)), seen
 
 
