@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, digest, mixing, pages, quality, secrets, sharding, simhash, substrings, warc
+from tidemark.llm import bpe, digest, mixing, oracle, pages, quality, secrets, sharding, simhash, substrings, warc
 from tidemark.llm.common import table
 
 
@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.ALL)
