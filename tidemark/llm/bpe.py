@@ -35,7 +35,7 @@ from tidemark.llm.common import partitions, release
 from tidemark.llm.ordered import slices
 
 #: Characters of text that a chunk gathers before its words go out.
-CHUNK_CHARS = 2 << 20
+CHUNK_CHARS = 3 << 20
 #: Hash ranges of words for each shuffle partition; a range is one group.
 RANGES_PER_PARTITION = 4
 
