@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import MINUTE
+from tidemark.operators import bars, observe
 from tidemark.plans import oracle
 from tidemark.plans import queries as plans
 
@@ -13,9 +16,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars with indicators, structure and anchors, one row for each bar."""
+    """Three-hour bars of all ticks with indicators, structure and anchors, one row for each bar."""
     names = ("o", "h", "l", "c", "a", "sma_fast", "dist", "u")
-    seen = plans.observed(spark, sf_dir)
+    seen = observe.observe(bars.aggregate(plans.ticks(spark, sf_dir, F.lit("ALL")), 180 * MINUTE))
     return seen.select("series", "t0", "t1", "status", "segment", "pos", *plans.r6(*names), "structure", "cross", "version")
 
 
