@@ -35,7 +35,7 @@ from tidemark.llm.common import partitions, release
 from tidemark.llm.ordered import slices
 
 #: Characters of text that a chunk gathers before its words go out.
-CHUNK_CHARS = 3 << 20
+CHUNK_CHARS = 2 << 20
 #: Hash ranges of words for each shuffle partition; a range is one group.
 RANGES_PER_PARTITION = 4
 
@@ -101,19 +101,22 @@ class _Chunk:
 
     def rows(self, buckets: int) -> list[tuple[int, int | None, int, bytes]]:
         """The chunk's documents under its own route, and its words under those of their buckets."""
+        at = np.concatenate([np.empty(0, np.uint32), *self.positions])
         words = [w.encode() for w in self.index]
-        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(words), np.uint32)
-        place[order] = np.arange(len(words), dtype=np.uint32)
-        at = place[np.concatenate(self.positions)] if words else np.empty(0, np.uint32)
+        # Words are numbered by how often the chunk has them, so most numbers are small and pack well.
+        common = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[common] = np.arange(len(words), dtype=np.uint32)
+        bucket = np.fromiter((zlib.crc32(words[i]) % buckets for i in common.tolist()), np.int32, len(words))
         flags = np.array([d is None for d in self.ids], np.uint8).tobytes()
         ids = np.array([d or 0 for d in self.ids], np.int64).tobytes()
-        body = _pack([ids, flags, np.array(self.lengths, np.int64).tobytes(), at.tobytes()])
+        planes = np.ascontiguousarray(rank[at].view(np.uint8).reshape(-1, 4).T)
+        body = _pack([ids, flags, np.array(self.lengths, np.int64).tobytes(), planes.tobytes(), bucket.tobytes()])
         out: list[tuple[int, int | None, int, bytes]] = [(buckets + self.number, None, self.number, body)]
+        order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)).tolist():
-            mine = [words[i] for i in order[edges[b] : edges[b + 1]].tolist()]
+            mine = [words[i] for i in common[order[edges[b] : edges[b + 1]]].tolist()]
             out.append((b, b, self.number, _pack(mine)))
         return out
 
@@ -184,8 +187,12 @@ def _assemble(table: Broadcast | None):
         start = np.cumsum(size) - size
         doc_ids, values, offsets = [], [], [0]
         for body in bodies:
-            kinds = (np.int64, np.uint8, np.int64, np.uint32)
-            ids, missing, lengths, at = (np.frombuffer(x, t) for x, t in zip(_unpack(body), kinds, strict=True))
+            kinds = (np.int64, np.uint8, np.int64, np.uint8, np.int32)
+            ids, missing, lengths, planes, bucket = (np.frombuffer(x, t) for x, t in zip(_unpack(body), kinds, strict=True))
+            ranks = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+            place = np.empty(len(bucket), np.uint32)  # of each word among the replies
+            place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket), dtype=np.uint32)
+            at = place[ranks]
             n, first = size[at], start[at]
             run = np.cumsum(n) - n
             tokens = flat[np.repeat(first - run, n) + np.arange(int(n.sum()))]
