@@ -146,6 +146,43 @@ def joint_profile(d: Column) -> Column:
     )
 
 
+def known_versions(versions: DataFrame, at: int) -> DataFrame:
+    """Versions known at a time; an end that came later is not known, nor its reason."""
+    ended = F.col("retired_at") <= at
+    seen = versions.filter(F.col("active_from") <= at)
+    return seen.withColumn("retire_reason", F.when(ended, F.col("retire_reason"))).withColumn("retired_at", F.when(ended, F.col("retired_at")))
+
+
+def snapshots(attempts: DataFrame, reactions: DataFrame, state: DataFrame) -> DataFrame:
+    """The state of the bar of each attempt as seen in its direction; ``state`` has levels and the day's structure.
+
+    Distances are in units of ``a`` and null where it is missing or zero.
+    """
+    back = reactions.select("series", "group_id", "ordinal", "extreme", "depth", "p1_touched")
+    own = attempts.drop("t0", "c")
+    met = own.join(back, ["series", "group_id", "ordinal"]).join(state.drop("t0"), ["series", "t1"])
+    d = F.col("d")
+    met = nearest_levels(met, d)
+    over = lambda x: F.when(F.col("a") != 0, x / F.col("a"))
+    side = lambda up: F.when(d == 1, "UP").otherwise("DOWN") == up
+    crossed = F.when(F.col("cross") == "NONE", "NONE").when(side(F.col("cross")), "IN_DIRECTION").when(F.col("cross").isNotNull(), "AGAINST")
+    anchored = F.when(F.col("anchors_r").isNull(), F.when((F.col("p0.kind") == "LOW") == (d == 1), "CONCORDANT").otherwise("OPPOSITE"))
+    return met.select(
+        "*",
+        joint_profile(d).alias("profile"),
+        crossed.alias("cross_side"),
+        anchored.alias("anchors_side"),
+        *[(d * F.col(c)).alias(f"d_{c}") for c in ("dist", "slope", "place")],
+        over(F.col("length")).alias("length_over_a"),
+        over(d * (F.col("p1_price") - F.col("c"))).alias("to_p1"),
+        over(d * (F.col("extreme") - F.col("c"))).alias("to_extreme"),
+        F.col("ahead.kind").alias("ahead_kind"),
+        over(F.col("ahead.gap")).alias("ahead_gap"),
+        F.col("behind.kind").alias("behind_kind"),
+        over(F.col("behind.gap")).alias("behind_gap"),
+    )
+
+
 def nearest_levels(leveled: DataFrame, d: Column) -> DataFrame:
     """The nearest level ahead and behind in a direction; ties by kind; a level at the close is neither."""
     rows = F.array(*[F.struct((d * (F.col(p) - F.col("c"))).alias("raw"), F.lit(k).alias("kind"), F.col(p).alias("price")) for k, p in LEVELS])

@@ -154,3 +154,12 @@ def unreconciled(df: DataFrame, part: str, state: str) -> DataFrame:
         F.array(*[F.struct(F.lit(name).alias("check"), F.col("n3").alias("expected"), F.col(c).alias("found")) for name, c in (("cells", "n0"), ("parts", "n1"), ("states", "n2"))])
     ).alias("c")
     return sums.select(checks).select("c.*").filter("expected <> found")
+
+
+def funnel(steps: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(step, n): how many rows each step has, in order of the steps."""
+    counted = [df.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("place"), F.lit(name).alias("step"), "n") for i, (name, df) in enumerate(steps)]
+    out = counted[0]
+    for c in counted[1:]:
+        out = out.unionByName(c)
+    return out

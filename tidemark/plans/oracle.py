@@ -104,10 +104,10 @@ a5 AS (
 a6 AS (SELECT *, lag(p1_price) OVER s AS bp, lag(p1_t0) OVER s AS bt FROM a5 WINDOW s AS (PARTITION BY series, segment ORDER BY t0)),
 alt AS (SELECT *, first_value(bp) OVER i AS p0_price, first_value(bt) OVER i AS p0_t0 FROM a6 WINDOW i AS (PARTITION BY series, segment, island ORDER BY t0)),
 f0 AS (
-  SELECT o.*, x.version AS nv, x.p0_price AS np0, x.p1_price AS np1 FROM st o
+  SELECT o.*, x.version AS nv, x.p0_price AS np0, x.p1_price AS np1, x.kind AS nk FROM st o
   LEFT JOIN (SELECT * FROM alt WHERE action <> 'KEEP') x ON o.series = x.series AND o.t0 = x.t0),
 f1 AS (
-  SELECT * EXCLUDE (nv, np0, np1), coalesce(last_value(nv IGNORE NULLS) OVER (PARTITION BY series ORDER BY t0 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS version,
+  SELECT * EXCLUDE (nv, np0, np1, nk), last_value(nk IGNORE NULLS) OVER s AS p1_kind, coalesce(last_value(nv IGNORE NULLS) OVER (PARTITION BY series ORDER BY t0 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS version,
     CASE WHEN status = 'COMPLETE' THEN last_value(np0 IGNORE NULLS) OVER s END AS p0, CASE WHEN status = 'COMPLETE' THEN last_value(np1 IGNORE NULLS) OVER s END AS p1
   FROM f0 WINDOW s AS (PARTITION BY series, segment ORDER BY t0 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 obs AS (
@@ -537,6 +537,67 @@ ALL = {
           CASE WHEN w.qty = 0 OR sign(w.qty) = sign(f.s) THEN w.realized ELSE w.realized + least(abs(f.s), abs(w.qty)) * (f.price - w.avg) * sign(w.qty) END, w.fees + f.fee,
           w.closes + CASE WHEN w.qty = 0 OR sign(w.qty) = sign(f.s) THEN 0 ELSE 1 END FROM w JOIN f ON f.part = w.part AND f.rn = w.rn + 1)
       SELECT part, closes, round(qty, 2) AS qty, round(avg, 2) AS avg_price, round(realized, 2) AS realized, round(fees, 2) AS fees, round(realized - fees, 2) AS net FROM w QUALIFY row_number() OVER (PARTITION BY part ORDER BY rn DESC) = 1""",
+    "bar_violations": """SELECT '' AS series, CAST(0 AS BIGINT) AS t0, '' AS rule WHERE false""",
+    "observation_violations": """SELECT '' AS series, CAST(0 AS BIGINT) AS t0, '' AS rule WHERE false""",
+    "outcome_cross_check": """SELECT '' AS series, CAST(0 AS BIGINT) AS t1, '' AS rule WHERE false""",
+    "version_projection": _with(
+        [*_OBS, _VER],
+        """SELECT series, version_id, d, active_from, CASE WHEN retired_at <= 1705320000000 THEN retired_at END AS retired_at, CASE WHEN retired_at <= 1705320000000 THEN retire_reason END AS retire_reason
+      FROM vers WHERE active_from <= 1705320000000""",
+    ),
+    "attempt_flow": _with(
+        [*_OBS, _VER, _ATT],
+        """SELECT 0 AS place, 'SEQUENCE' AS step, count(*) AS n FROM alt UNION ALL SELECT 1, 'ACCEPTED', count(*) FROM alt WHERE action <> 'KEEP' UNION ALL SELECT 2, 'VERSIONS', count(*) FROM vers
+      UNION ALL SELECT 3, 'GROUPS', count(*) FROM (SELECT DISTINCT series, group_id FROM vers) UNION ALL SELECT 4, 'ATTEMPTS', count(*) FROM att
+      UNION ALL SELECT 5, 'GROUPS_TRIED', count(*) FROM (SELECT DISTINCT series, group_id FROM att)""",
+    ),
+    "attempt_snapshots": _with(
+        [*_RELATED, _LEV, _VER, _ATT],
+        f""", rea AS (SELECT a.series, a.group_id, a.ordinal, CASE WHEN a.d = 1 THEN min(b.l) ELSE max(b.h) END AS x FROM att a JOIN b1 b ON b.series = a.series AND b.t0 > a.p1_t0 AND b.t0 <= a.t0 GROUP BY a.series, a.group_id, a.ordinal, a.d),
+      snap AS (SELECT a.group_id, a.ordinal, a.d, a.length, a.p1_price, r.x, e.s_day, l.* FROM att a JOIN rea r ON r.series = a.series AND r.group_id = a.group_id AND r.ordinal = a.ordinal
+        JOIN lev l ON l.series = a.series AND l.t1 = a.t1 JOIN rel e ON e.series = a.series AND e.t1 = a.t1),
+      lvls AS (SELECT series, group_id, ordinal, k.kind, d * (k.price - c) AS raw FROM snap, LATERAL (VALUES ('PIVOT_HIGH', high_last), ('PIVOT_LOW', low_last), ('DAY_HIGH', day_high), ('DAY_LOW', day_low)) k(kind, price)),
+      ah AS (SELECT * FROM lvls WHERE raw > 0 QUALIFY row_number() OVER (PARTITION BY series, group_id, ordinal ORDER BY raw, kind) = 1),
+      be AS (SELECT * FROM lvls WHERE raw < 0 QUALIFY row_number() OVER (PARTITION BY series, group_id, ordinal ORDER BY -raw, kind) = 1)
+      SELECT s.series, s.group_id, s.ordinal, s.t1, s.d, {_PROFILE} AS profile, s.s_day,
+        CASE WHEN "cross" = 'NONE' THEN 'NONE' WHEN "cross" = CASE WHEN d = 1 THEN 'UP' ELSE 'DOWN' END THEN 'IN_DIRECTION' WHEN "cross" IS NOT NULL THEN 'AGAINST' END AS cross_side,
+        CASE WHEN anchors_r IS NULL THEN CASE WHEN (p1_kind = 'HIGH') = (d = 1) THEN 'CONCORDANT' ELSE 'OPPOSITE' END END AS anchors_side, ah.kind AS ahead_kind, be.kind AS behind_kind,
+        round(d * dist, 6) AS d_dist, round(d * slope, 6) AS d_slope, round(d * place, 6) AS d_place, round(v_ratio, 6) AS v_ratio, CASE WHEN a <> 0 THEN round(length / a, 6) END AS length_over_a,
+        CASE WHEN a <> 0 THEN round(d * (p1_price - c) / a, 6) END AS to_p1, CASE WHEN a <> 0 THEN round(d * (x - c) / a, 6) END AS to_extreme, CASE WHEN a <> 0 THEN round(ah.raw / a, 6) END AS ahead_gap,
+        CASE WHEN a <> 0 THEN round(-be.raw / a, 6) END AS behind_gap, round(d * (p1_price - x) / length, 6) AS depth
+      FROM snap s LEFT JOIN ah ON ah.series = s.series AND ah.group_id = s.group_id AND ah.ordinal = s.ordinal LEFT JOIN be ON be.series = s.series AND be.group_id = s.group_id AND be.ordinal = s.ordinal""",
+    ),
+    "attempt_cells": _with(
+        [*_OBS, _VER, _ATT, _TOUCH.replace(
+            "SELECT series, t1, CASE WHEN structure = 'UP' THEN 1 ELSE -1 END AS d, c, a FROM obs WHERE structure IN ('UP', 'DOWN') AND a > 0",
+            "SELECT DISTINCT x.series, x.t1, x.d, o.c, o.a FROM att x JOIN obs o ON o.series = x.series AND o.t1 = x.t1 WHERE o.a > 0",
+        ).replace("OVER (PARTITION BY h1.series, h1.t1)", "OVER (PARTITION BY h1.series, h1.t1, h1.d)")],
+        """, cell AS (SELECT x.series, x.group_id, x.d, t.class, CASE WHEN t.class IS NOT NULL THEN t.final END AS z FROM att x JOIN touch t ON t.series = x.series AND t.t1 = x.t1 AND t.d = x.d)
+      SELECT d, class, attempts, groups, n, round(attempts / sum(attempts) OVER (PARTITION BY d), 6) AS share, mean, min, max, p10, p50, p90 FROM (
+      SELECT d, coalesce(class, 'INCOMPLETE') AS class, count(*) AS attempts, count(DISTINCT series || group_id) AS groups, count(z) AS n, round(avg(z), 6) AS mean, round(min(z), 6) AS min, round(max(z), 6) AS max,
+        round(quantile_cont(z, 0.1), 6) AS p10, round(quantile_cont(z, 0.5), 6) AS p50, round(quantile_cont(z, 0.9), 6) AS p90 FROM cell GROUP BY 1, 2)""",
+    ),
+    "value_paths": _with(
+        [*_OBS, _LEGS, _ENTRY, _EXIT],
+        """SELECT series, leg_id, count(*) AS bars, round(min(v), 6) AS lowest, round(max(v), 6) AS highest, round(min(z), 6) AS z_lowest, round(max(z), 6) AS z_highest FROM (
+      SELECT t.series, t.leg_id, t.d * t.qty * (b.c - t.entry) - CAST(0.0005 AS DOUBLE) * t.qty * t.entry AS v, t.d * (b.c - t.entry) / t.risk0 AS z FROM trd t
+      JOIN e0 b ON b.series = t.series AND b.leg_id = t.leg_id AND b.t1 < coalesce(t.exit_at, 4611686018427387904)) GROUP BY 1, 2""",
+    ),
+    "holding_costs": _with(
+        [*_OBS, _LEGS, _ENTRY, _EXIT],
+        """SELECT t.series, t.leg_id, count(*) FILTER (k) AS funding_events, round(CASE WHEN count(*) FILTER (k AND cash IS NULL) > 0 THEN NULL ELSE coalesce(sum(cash) FILTER (k), 0) END, 6) AS funding,
+        round(coalesce(sum(least(0, CASE WHEN k THEN -cash ELSE cash END)) FILTER (near), 0), 6) AS funding_low, round(coalesce(sum(greatest(0, CASE WHEN k THEN -cash ELSE cash END)) FILTER (near), 0), 6) AS funding_high
+      FROM (SELECT * FROM trd WHERE exit_at IS NOT NULL) t LEFT JOIN (
+        SELECT t.leg_id, t.series, coalesce(r.t1 > t.entry_at AND r.t1 <= t.exit_at, false) AS k, abs(r.t1 - t.entry_at) < 60000 OR abs(r.t1 - t.exit_at) < 60000 AS near, -t.d * t.qty * r.c * CAST(0.0001 AS DOUBLE) AS cash
+        FROM trd t JOIN bars r ON r.series = t.series AND r.t1 % 28800000 = 0 AND r.t1 >= t.entry_at - 59999 AND r.t1 <= t.exit_at + 59999) f ON f.series = t.series AND f.leg_id = t.leg_id GROUP BY 1, 2""",
+    ),
+    "period_table": _with(
+        [*_OBS, _LEGS],
+        """SELECT month, CAST(grouping(month) AS INT) AS pooled, count(covered) AS closes, CAST(sum(covered) AS BIGINT) AS covered, CAST(sum(legs) AS BIGINT) AS legs, CAST(sum(calls) AS BIGINT) AS calls FROM (
+      SELECT strftime(make_timestamp(t0 * 1000), '%Y-%m') AS month, (status = 'COMPLETE')::INT AS covered, 0 AS legs, 0 AS calls FROM obs
+      UNION ALL SELECT strftime(make_timestamp(leg_t1 * 1000), '%Y-%m'), NULL, 1, (outcome = 'CALL')::INT FROM dec) GROUP BY GROUPING SETS ((month), ())""",
+    ),
+    "longest_movements": _with([*_OBS, _VER], "SELECT series, version_id, retired_at - active_from AS life FROM vers ORDER BY life DESC, series, version_id LIMIT 5"),
     "lifecycle_violations": """SELECT '' AS ref_id, '' AS rule WHERE false""",
     "downsampled_curve": _with(
         [_NETS, _PATH],

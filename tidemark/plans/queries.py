@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import measures, scalars
 from tidemark.functions.scalars import DAY, HOUR, MINUTE, epoch_ms
-from tidemark.operators import asof, bars, decisions, ledger, lifecycle, observe, outcomes, population, replay, summary
+from tidemark.operators import asof, bars, decisions, ledger, lifecycle, observe, outcomes, population, replay, summary, verify
 from tidemark.sources.shared import materialize
 
 WIDTH = 90 * MINUTE
@@ -542,6 +542,124 @@ def replay_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.order_book(events, ["book"])
 
 
+def bar_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """There is no row."""
+    return verify.bar_violations(typed_bars(spark, sf_dir))
+
+
+def observation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """There is no row."""
+    return verify.observation_violations(observed(spark, sf_dir), ["tr", "a", "sma_fast", "sma_slow", "dist", "slope", "place", "cross", "v_ratio", "structure"])
+
+
+def outcome_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extremes of the next day by frames and by joined bars; where the two ways differ there would be a row."""
+    seen = observed_once(spark, sf_dir)
+    starts = seen.filter("c is not null").select("series", "t0", "t1", F.lit(1).alias("d"), "c", "a", F.lit(None).cast("double").alias("f"), F.lit(None).cast("double").alias("g"))
+    joined = outcomes.first_touch(starts, typed_bars(spark, sf_dir), DAY_BARS).filter("first_gap is null")
+    framed = outcomes.forward(seen, DAY_BARS).filter("future_complete and c is not null")
+    return verify.disagreements(framed, joined.withColumnRenamed("close_last", "close_after"), ["series", "t1"], ["max_high", "min_low", "close_after"])
+
+
+def version_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions as they were known in the middle of the month: what ended later is still open."""
+    found, _ = _versions(spark, sf_dir)
+    known = population.known_versions(found, 1_705_320_000_000)
+    return known.select("series", "version_id", "d", "active_from", "retired_at", "retire_reason")
+
+
+def attempt_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the sequence to attempts, one row for each step."""
+    found, seen = _versions(spark, sf_dir)
+    sequence = observe.alternation(seen)
+    tried = population.attempts(found, seen)
+    steps = [
+        ("SEQUENCE", sequence), ("ACCEPTED", sequence.filter("action <> 'KEEP'")), ("VERSIONS", found), ("GROUPS", found.select("series", "group_id").distinct()),
+        ("ATTEMPTS", tried), ("GROUPS_TRIED", tried.select("series", "group_id").distinct()),
+    ]
+    return summary.funnel(steps)
+
+
+def attempt_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was known at each attempt: profile, day, levels ahead and behind, signed measures, how far back price had come."""
+    found, seen = _versions(spark, sf_dir)
+    tried = population.attempts(found, seen)
+    days = observe.structure(observe.pivots(bars.segments(daily_bars(spark, sf_dir))))
+    state = outcomes.daily_relation(observe.levels(seen, daily_bars(spark, sf_dir)).drop("day_end"), days)
+    made = population.snapshots(tried, population.reactions(tried, seen), state)
+    names = ("d_dist", "d_slope", "d_place", "v_ratio", "length_over_a", "to_p1", "to_extreme", "ahead_gap", "behind_gap", "depth")
+    return made.select("series", "group_id", "ordinal", "t1", "d", "profile", "s_day", "cross_side", "anchors_side", "ahead_kind", "behind_kind", *r6(*names))
+
+
+def attempt_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts and groups by side and contact class, with the final way described."""
+    found, seen = _versions(spark, sf_dir)
+    tried = population.attempts(found, seen).select("series", "group_id", "ordinal", "t0", "t1", "d", "c")
+    met = tried.join(seen.select("series", "t1", "a"), ["series", "t1"]).filter("a > 0")
+    marker = F.col("d") * F.col("a")
+    starts = met.withColumn("f", F.col("c") + marker).withColumn("g", F.col("c") - marker)
+    after = outcomes.normalised(outcomes.first_touch(starts, typed_bars(spark, sf_dir), DAY_BARS))
+    rows = starts.select("series", "group_id", "t1", "d").join(after.select("series", "t1", "d", "class", "final"), ["series", "t1", "d"])
+    stats = measures.describe(F.when(F.col("class").isNotNull(), F.col("final")), (0.1, 0.5, 0.9))
+    cells = rows.groupBy("d", F.coalesce("class", F.lit("INCOMPLETE")).alias("class")).agg(
+        F.count(F.lit(1)).alias("attempts"), F.countDistinct("series", "group_id").alias("groups"), *stats
+    )
+    shares = measures.share(F.col("attempts"), F.sum("attempts").over(Window.partitionBy("d")))
+    return cells.withColumn("share", shares).select("d", "class", "attempts", "groups", "n", *r6("share", "mean", "min", "max", "p10", "p50", "p90"))
+
+
+def value_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked value of every open trade: how far it went either way while it was held."""
+    found, seen = _decided(spark, sf_dir)
+    entered = materialize(ledger.entries(found, seen, LOOSE))
+    path = ledger.value_path(entered, ledger.trades(entered, seen, LOOSE), seen, LOOSE)
+    return path.groupBy("series", "leg_id").agg(
+        F.count(F.lit(1)).alias("bars"), F.round(F.min("value"), 6).alias("lowest"), F.round(F.max("value"), 6).alias("highest"),
+        F.round(F.min("z"), 6).alias("z_lowest"), F.round(F.max("z"), 6).alias("z_highest"),
+    )
+
+
+def holding_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates every eight hours at the price of the minute before, counted while a trade is held."""
+    found, seen = _decided(spark, sf_dir)
+    done = ledger.trades(materialize(ledger.entries(found, seen, LOOSE)), seen, LOOSE)
+    marks = typed_bars(spark, sf_dir).filter("c is not null").select("series", (F.col("t1") - MINUTE).alias("mark_at"), F.col("c").alias("mark"))
+    rates = typed_bars(spark, sf_dir).filter(F.pmod("t1", F.lit(8 * HOUR)) == 0).select("series", F.col("t1").alias("tau"), F.lit(0.0001).alias("rate"))
+    paid = ledger.funding(done, rates, marks, DAY)
+    return paid.select("series", "leg_id", "funding_events", *r6("funding", "funding_low", "funding_high"))
+
+
+def period_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closes, calls and covered bars of each month and in all."""
+    found, seen = _decided(spark, sf_dir)
+    month = lambda c: scalars.month_of(F.col(c))
+    closes = seen.select(month("t0").alias("month"), (F.col("status") == "COMPLETE").cast("int").alias("covered"), F.lit(0).alias("legs"), F.lit(0).alias("calls"))
+    legs = found.select(month("leg_t1").alias("month"), F.lit(None).cast("int").alias("covered"), F.lit(1).alias("legs"), (F.col("outcome") == "CALL").cast("int").alias("calls"))
+    rows = closes.unionByName(legs).groupingSets([["month"], []], "month")
+    return rows.agg(
+        F.grouping("month").cast("int").alias("pooled"), F.count("covered").alias("closes"), F.sum("covered").alias("covered"), F.sum("legs").alias("legs"), F.sum("calls").alias("calls")
+    )
+
+
+def longest_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five versions that were active longest; ties by id."""
+    found, _ = _versions(spark, sf_dir)
+    life = (F.col("retired_at") - F.col("active_from")).alias("life")
+    return found.select("series", "version_id", life).orderBy(F.desc("life"), "series", "version_id").limit(5)
+
+
+def lifecycle_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Births, ends and stock of the movement log by week."""
+    moved = lifecycle.movements(_log(spark, sf_dir)[0])
+    ended = F.coalesce("ended", F.lit(1_706_745_600_000))
+    return summary.stock_flow(moved.select("series", "born", ended.alias("over")), ["series"], "born", "over", 7 * DAY)
+
+
+def lifecycle_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each movement was held to be in the middle of the month."""
+    return lifecycle.judgement_at(_log(spark, sf_dir)[0], 1_705_320_000_000)
+
+
 def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     seen = observed_once(spark, sf_dir)
     return lifecycle.lifecycle(seen, observe.alternation(seen)), seen
@@ -574,6 +692,8 @@ ALL = {
         losing_streak, concentration_top5, cashflow_by_month, null_poisoning_sum, stock_flow_periods, duration_status,
         duplicate_policy, partition_pruned_month, step_rounding, interval_bounds, iso_times, semi_anti_activity, changed_rows,
         reconcile_partitions, downsampled_curve, leg_decisions, slot_greedy, ledger_exits, entry_outcomes,
-        average_cost_accounting, replay_state, lifecycle_ledger, lifecycle_movements, lifecycle_violations,
+        average_cost_accounting, replay_state, lifecycle_ledger, lifecycle_movements, lifecycle_violations, bar_violations,
+        observation_violations, outcome_cross_check, version_projection, attempt_flow, attempt_snapshots, attempt_cells, value_paths,
+        holding_costs, period_table, longest_movements, lifecycle_periods, lifecycle_judgements,
     )
 }
