@@ -43,6 +43,7 @@ def rows(seed):
 @pytest.mark.parametrize("cell_bytes", [2000, 1 << 22])
 def test_matches_plain(spark, monkeypatch, cell_bytes):
     monkeypatch.setattr(substrings, "CELL_BYTES", cell_bytes)
+    monkeypatch.setattr(substrings, "BYTES_PER_RANGE", 1)
     data = rows(cell_bytes)
     got = substrings.substring_digests(spark.createDataFrame(data, SCHEMA).repartition(3)).collect()
     assert sorted((substrings.NO_DOC if r[0] is None else r[0], *tuple(r)[1:]) for r in got) == plain(data)

@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import partitions, release
 from tidemark.llm.ordered import slices
 
-#: Characters of text that a chunk gathers before its words go out.
-CHUNK_CHARS = 2 << 20
+#: Characters of text that a chunk gathers before its words go out: the least, the most, and those for each hash range
+#: between them, so that a block has enough words to be worth a row when ranges grow with the corpus.
+CHUNK_CHARS, MOST_CHUNK_CHARS, CHARS_PER_RANGE = 2 << 20, 32 << 20, 512
 #: Hash ranges of words for each shuffle partition; a range is one group.
 RANGES_PER_PARTITION = 4
 
@@ -214,12 +215,13 @@ def _assemble(table: Broadcast | None):
 
 
 def encode(
-    documents: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, decoded: bool = False
+    documents: DataFrame, path: str, pattern: str, chunk_chars: int | None = None, decoded: bool = False
 ) -> DataFrame:
     """doc_id and the token ids of each document's whole text, in order; with ``decoded`` their bytes as well."""
     spark = documents.sparkSession
     parts = partitions(spark)
     buckets = RANGES_PER_PARTITION * parts
+    chunk_chars = chunk_chars or min(MOST_CHUNK_CHARS, max(CHUNK_CHARS, CHARS_PER_RANGE * buckets))
     # One vocabulary: its size does not follow the corpus.
     ranks = spark.sparkContext.broadcast(read_ranks(path))
     table = spark.sparkContext.broadcast(token_table(path)) if decoded else None

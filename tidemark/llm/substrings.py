@@ -41,8 +41,9 @@ LEAST = 50
 #: Bytes of a minimizer, and how many of them begin in a window of ``LEAST`` bytes.
 GRAM = 16
 SPAN = LEAST - GRAM + 1
-#: Bytes of text in a cell, about, and ranges of hashes for each shuffle partition.
-CELL_BYTES = 4 << 20
+#: Bytes of text in a cell, about: the least, the most, and those for each range of hashes between them, so that what a
+#: cell sends to a range is worth a row when ranges grow with the corpus. Ranges for each shuffle partition.
+CELL_BYTES, MOST_CELL_BYTES, BYTES_PER_RANGE = 4 << 20, 64 << 20, 1024
 RANGES_PER_PARTITION = 4
 #: Bytes of fragments that are put into one transform, so that it fits a core's cache; fragments of one minimizer are
 #: never divided.
@@ -470,7 +471,7 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
     parts = partitions(spark)
     ranges = RANGES_PER_PARTITION * parts
     total = documents.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    cells = max(1, -(-total // CELL_BYTES))
+    cells = max(1, -(-total // min(MOST_CELL_BYTES, max(CELL_BYTES, BYTES_PER_RANGE * ranges))))
     rows = documents.select(
         F.pmod(F.xxhash64("doc_id"), F.lit(cells)).alias("cell"),
         F.coalesce("doc_id", F.lit(NO_DOC)).alias("doc_id"),
