@@ -61,6 +61,15 @@ def test_symbols_go_and_prose_stays(spark):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def test_unknown_language_is_held_against_the_nearest(spark):
+    rnd = random.Random(3)
+    text = lambda lang: " ".join(rnd.choices(quality.COMMON_WORDS[lang] + ["pierre", "stein", "piedra"] * 9, k=150))
+    rows = [(i, text(lang), lang, "") for i, lang in enumerate(["en", "fr", "de", "es"] * 15)]
+    rows += [(100, text("es"), None, ""), (101, text("de"), "xx", ""), (102, "### " * 150, None, ""), (103, " ".join(f"q{i}###" for i in range(150)), None, "")]
+    kept = {r.doc_id for r in quality.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {100, 101} <= kept and not {102, 103} & kept
+
+
 def test_js_distance_bounds():
     import numpy as np
 

@@ -5,9 +5,10 @@ compared by Jensen-Shannon distance (square root of the divergence, base 2) with
 documents of that language. Documents below a minimum length are not judged by a histogram they are too short
 to fill.
 
-Defined results: null or empty text has no words, so ``base_failed``; null or unknown languages share one
-reference ("" with the pooled mean); repeated rows are judged alike; an empty table gives an empty result; other
-columns are neither read nor returned, whatever their names.
+Defined results: null or empty text has no words, so ``base_failed``; a document of a null or unknown language is held
+against the nearest of the known languages' references, or, where there is none, against the mean of its like; repeated
+rows are judged alike; an empty table gives an empty result; other columns are neither read nor returned, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -136,21 +137,32 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def _compared(
+    codes: np.ndarray, words: list[str], lang: str, reference: tuple[np.ndarray, np.ndarray]
+) -> tuple[bool, float | None, float | None]:
+    """Is the text too far from a reference, and its two distances; null where it is too short for one."""
+    class_distance = word_distance = None
+    far = False
+    classes, common = _histograms(codes, words, lang)
+    if len(codes) >= MIN_CHARS:
+        class_distance = js_distance(_share(classes), reference[0])
+        far |= class_distance > MAX_CLASS_DISTANCE + CLASS_NOISE / len(codes) ** 0.5
+    if len(words) >= MIN_WORDS_FOR_WORDS:
+        word_distance = js_distance(_share(common), reference[1])
+        far |= word_distance > MAX_WORD_DISTANCE + WORD_NOISE / len(words) ** 0.5
+    return far, class_distance, word_distance
+
+
 def judge(text: str, lang: str | None, references: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict:
     codes, words = code_points(text), _WORDS.findall(text)
     low = codes[codes < 128]
     n_repeat = repeated_words(words)
     failed = len(words) < MIN_WORDS or 100 * n_repeat > REPEAT_PERCENT * len(words)
     key = _language(lang)
-    class_distance = word_distance = None
-    if key in references:
-        classes, common = _histograms(codes, words, key)
-        if len(codes) >= MIN_CHARS:
-            class_distance = js_distance(_share(classes), references[key][0])
-        if len(words) >= MIN_WORDS_FOR_WORDS:
-            word_distance = js_distance(_share(common), references[key][1])
-    far = class_distance is not None and class_distance > MAX_CLASS_DISTANCE + CLASS_NOISE / len(codes) ** 0.5
-    far |= word_distance is not None and word_distance > MAX_WORD_DISTANCE + WORD_NOISE / len(words) ** 0.5
+    named = [k for k in references if k]
+    keys = [key] if key in named or not named else named  # of an unknown language: the nearest reference counts
+    found = [_compared(codes, words, k, references[k]) for k in keys if k in references]
+    far, class_distance, word_distance = min(found, key=lambda d: (d[0], d[1] or 0, d[2] or 0), default=(False, None, None))
     return {
         "n_words": len(words),
         "word_chars": sum(map(len, words)),
@@ -177,10 +189,10 @@ def language_references(documents: DataFrame) -> dict[str, tuple[np.ndarray, np.
                 words = _WORDS.findall(text)
                 if len(words) < MIN_WORDS_FOR_WORDS or len(text) < MIN_CHARS:
                     continue
-                for key in {_language(lang), ""}:
-                    for kind, counts in zip(("class", "word"), _histograms(code_points(text), words, key), strict=True):
-                        share = _share(counts)
-                        sums[key, kind] = sums[key, kind] + share if (key, kind) in sums else share
+                key = _language(lang)
+                for kind, counts in zip(("class", "word"), _histograms(code_points(text), words, key), strict=True):
+                    share = _share(counts)
+                    sums[key, kind] = sums[key, kind] + share if (key, kind) in sums else share
             rows = [(k, kind, i, float(v)) for (k, kind), total in sums.items() for i, v in enumerate(total)]
             columns = list(zip(*rows, strict=True)) or [[], [], [], []]
             types = (pa.string(), pa.string(), pa.int32(), pa.float64())
