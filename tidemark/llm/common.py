@@ -54,29 +54,19 @@ def dense_index(
     keys, order = list(keys), list(order)
     n = df.count()
     buckets = max(1, -(-n // bucket_rows))
-    tagged = df.withColumn("__bucket", F.pmod(F.xxhash64(*salt), F.lit(buckets)).cast("int"))
+    # One text for the keys, nulls and all: window and join are then dealt alike, and rows are shuffled once.
+    tagged = df.withColumn("__key", F.to_json(F.struct(*keys))).withColumn(
+        "__bucket", F.pmod(F.xxhash64(*salt), F.lit(buckets)).cast("int")
+    )
+    before = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        tagged.groupBy(*keys, "__bucket")
+        tagged.groupBy("__key", "__bucket")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn(
-            "__start",
-            F.coalesce(
-                F.sum("__n").over(
-                    Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("__n")
-    )
-    ranked = tagged.withColumn(
-        "__rank", F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(*order)) - 1
-    )
-    same = [ranked[k].eqNullSafe(starts[k]) for k in [*keys, "__bucket"]]
-    joined = ranked.join(starts, same).select(
-        *[ranked[c] for c in df.columns], (F.col("__start") + F.col("__rank")).cast("long").alias(out)
+        .select("__key", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     )
-    return joined
+    rank = F.row_number().over(Window.partitionBy("__key", "__bucket").orderBy(*order)) - 1
+    joined = tagged.withColumn("__rank", rank).join(starts, ["__key", "__bucket"])
+    return joined.select(*df.columns, (F.col("__start") + F.col("__rank")).cast("long").alias(out))
 
 
 def utf8_length(text: Column) -> Column:
