@@ -604,3 +604,21 @@ ALL = {
         "SELECT book, day, round(equity, 6) AS equity FROM (SELECT *, min(equity) OVER (PARTITION BY book) AS low FROM pk) WHERE day % 2419200000 = 0 OR equity = low",
     ),
 }
+
+#: Sums of whole numbers are wider in SQL, and ranks are; these columns are cast to the queries' types.
+_KINDS = {
+    "alternating_sequence": {"version": "BIGINT"},
+    "anchor_geometry": {"version": "BIGINT"},
+    "anchor_position": {"version": "BIGINT"},
+    "attempt_reactions": {"ordinal": "INTEGER"},
+    "attempt_snapshots": {"ordinal": "INTEGER"},
+    "attempts_rearm": {"ordinal": "INTEGER", "bars_since_p1": "INTEGER", "counter_closes": "BIGINT"},
+    "bar_segments": {"segment": "BIGINT", "pos": "INTEGER"},
+    "bars_regrouped_daily": {"ticks": "BIGINT"},
+    "first_touch_class": {"f_bar": "INTEGER", "g_bar": "INTEGER", "max_high_bar": "INTEGER", "min_low_bar": "INTEGER"},
+    "leg_decisions": {"counter": "BIGINT"},
+    "version_overlap_peak": {"peak": "BIGINT"},
+}
+for _name, _kinds in _KINDS.items():
+    _casts = ", ".join(f"CAST({column} AS {kind}) AS {column}" for column, kind in _kinds.items())
+    ALL[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ALL[_name]})"
