@@ -49,14 +49,24 @@ def test_matches_plain(spark, monkeypatch, cell_bytes):
     assert sorted((substrings.NO_DOC if r[0] is None else r[0], *tuple(r)[1:]) for r in got) == plain(data)
 
 
-def test_intervals_are_common_prefixes():
-    rnd = random.Random(13)
-    text = np.frombuffer(bytes(rnd.choices([1, 2, 3], k=400)) + bytes(rnd.choices([1, 2], k=9)) + b"\x00", np.uint8)
+def test_rows_of_one_doc_id_with_different_texts(spark):
+    rnd = random.Random(15)
+    a, b, c = ("".join(rnd.choices("abcdefghij", k=99)) for _ in range(3))
+    data = [(1, a, "", ""), (2, a, "", ""), (2, b, "", ""), (2, b, "", ""), (3, b + c, "", ""), (3, c, "", ""), (4, None, "", "")]
+    got = substrings.substring_digests(spark.createDataFrame(data, SCHEMA)).collect()
+    assert sorted(tuple(r) for r in got) == plain(data)
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 0), (2, 0), (2, 99), (3, 0), (3, 99), (4, 0)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_intervals_are_common_prefixes(seed):
+    rnd = random.Random(seed)
+    text = np.frombuffer(b"".join(bytes(rnd.choices([1, 2, 3][: 1 + seed % 3], k=rnd.randint(60, 150))) + b"\x00" for _ in range(8)), np.uint8)
     order = substrings.suffix_order(text, 8)
     starts = substrings.interval_starts(text, order, 8)
     raw = text.tobytes() + b"\x00" * 8
     heads = [raw[i : i + 8] for i in order.tolist()]
-    inner = [q for q in range(1, len(heads)) if max(order[q - 1], order[q]) + 8 <= len(text)]
+    inner = [q for q in range(1, len(heads)) if 0 not in heads[q - 1] and 0 not in heads[q]]
     assert all(starts[q] == (heads[q] != heads[q - 1]) for q in inner)
 
 

@@ -6,7 +6,7 @@ Texts are UTF-8 bytes and matches never cross documents.
 The suffixes of a whole corpus cannot be sorted in one place, and need not be: equal strings have equal minimizers,
 the least hashed ``GRAM``-byte strings of each window. So
 
-0. documents with a copy of a smaller doc_id are found by digest: all their strings are in that copy, and no other
+0. texts that a smaller doc_id has as well are found by digest: all their strings are in that copy, and no other
    document needs theirs, so they take no part in what follows and are cut whole;
 1. documents are dealt to cells by doc_id, and each cell sends the distinct minimizer hashes of its texts, packed by
    hash range, with a mark where two of its documents have one;
@@ -20,13 +20,15 @@ the least hashed ``GRAM``-byte strings of each window. So
 
 A passage that every document has costs one fragment a cell. Cells and ranges follow the corpus, each keeping its size.
 
-Defined results: null and empty texts have nothing to remove; documents with equal doc_ids (repeated rows) are
-occurrences in the same document, so neither removes from the other; a null doc_id is smaller than all; an empty table
-gives an empty result; other columns are neither read nor returned.
+Defined results: null and empty texts have nothing to remove; rows with equal doc_ids, whether their texts are equal or
+not, are occurrences in the same document, so neither removes from the other, and each is cut by itself; a null doc_id
+is smaller than all; a very long text is one row of its cell and is cut whole, a task holds the cell it is working on;
+an empty table gives an empty result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +50,8 @@ RANGES_PER_PARTITION = 4
 #: Bytes of fragments that are put into one transform, so that it fits a core's cache; fragments of one minimizer are
 #: never divided.
 TRANSFORM_BYTES = 160 << 10
+#: Keys that the copies of one text are spread over.
+SALTS = 16
 
 NO_DOC = -(1 << 63)
 #: Kinds of replies to a cell.
@@ -139,31 +143,56 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def transform(text: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Backward steps of the Burrows-Wheeler transform, and their inverse.
+
+    Row q of the transform holds the symbol before the suffix of row q, and ``back[q]`` is the row of the suffix with
+    that symbol put before it: the symbols less than it, and those equal to it in rows before q, counted. The last
+    symbol of ``text`` is the least suffix and takes the row before all others.
+    """
+    n = len(text)
+    before = text[order - 1].astype(np.int16)
+    before[np.flatnonzero(order == 0)] = -1
+    ahead = np.argsort(before, kind="stable").astype(np.int32)
+    back = np.empty(n, np.int32)
+    back[ahead] = np.arange(n, dtype=np.int32)
+    return back, ahead
+
+
 def interval_starts(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     """Where intervals of suffixes with equal first ``least`` bytes begin in ``order``.
 
-    With W the interval of a string w and c a symbol, the suffixes of cw are those rows of the transform that hold c
-    and whose rest lies in W: a row q of the order belongs to the interval of (first symbol of q, interval of the row
-    of q's rest). Level by level this splits the order exactly where neighbours' common prefix is as long as the level,
-    so common prefixes come out by increasing length, and levels end at ``least``.
+    A queue holds intervals [low, high) of strings of one length, at first that of the empty string. Each is extended
+    backward by every symbol in its rows of the transform; where the end of an extension has no boundary yet, the common
+    prefix there is as long as the string was, and the extension is queued. Ends that have one need no more: whatever
+    they lead to is known. So common prefixes come out by increasing length, and the queue is dropped at ``least``.
     """
     n = len(order)
-    row = np.empty(n + 1, np.int32)
-    row[order] = np.arange(n, dtype=np.int32)
-    row[n] = row[n - 1]
-    rest = row[order + 1]  # the row of each suffix without its first symbol
-    first = text[order]
-    by_symbol = np.concatenate([[True], first[1:] != first[:-1]])
-    starts = by_symbol.copy()
-    interval, inner = np.cumsum(starts, dtype=np.int32), np.empty(n, np.int32)
-    for _ in range(least - 1):
-        if interval[-1] == n:
+    back, ahead = transform(text, order)
+    symbols = np.append(text[order].astype(np.int16), -2)  # first symbols of the rows, in order
+    symbols[0] = -1
+    turns = symbols[1:] != symbols[:-1]
+    after, prior = np.append(ahead[1:], n), np.append(-1, ahead[:-1])  # the next and last row with the symbol of a step
+    after[turns], prior[1:][turns[:-1]] = n, -1
+    starts = np.zeros(n + 1, bool)
+    starts[[0, n]] = True
+    ends = np.zeros((2, n), bool)
+    low, high = np.zeros(1, np.int64), np.full(1, n, np.int64)
+    for _ in range(least):
+        if not len(low):
             break
-        np.take(interval, rest, out=inner)
-        np.not_equal(inner[1:], inner[:-1], out=starts[1:])
-        starts |= by_symbol
-        np.cumsum(starts, dtype=np.int32, out=interval)
-    return starts
+        sizes = high - low
+        rows = _gather(low, sizes)
+        step = back[rows]
+        # The rows of an interval with one symbol lead to rows that follow each other: the first and last are its ends.
+        ends[:] = False
+        ends[0, step[prior[step] < np.repeat(low, sizes)]] = True
+        ends[1, step[after[step] >= np.repeat(high, sizes)]] = True
+        low, high = np.flatnonzero(ends[0]), np.flatnonzero(ends[1]) + 1
+        fresh = ~starts[high]
+        starts[high] = True
+        low, high = low[fresh], high[fresh]
+    return starts[:n]
 
 
 # --- packing -------------------------------------------------------------------------------------------------------
@@ -205,12 +234,15 @@ def _by_range(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _documents(group: pa.Table, replies: pa.Table) -> Iterator[tuple[int, np.ndarray, bool]]:
     """(doc_id, bytes, is a copy) of a cell's rows, smallest doc_id first."""
-    copies = {i for b in _bodies(replies, COPIES) for i in _unpack(b, np.int64)[0].tolist()}
+    copies: dict[int, set[bytes]] = {}
+    for ids, digests in (_unpack(b, np.int64, np.dtype("V16")) for b in _bodies(replies, COPIES)):
+        for doc, digest in zip(ids.tolist(), digests.tolist(), strict=True):
+            copies.setdefault(doc, set()).add(digest)
     ids, texts = group.column("doc_id").to_pylist(), group.column("text").combine_chunks()
     for i in sorted(range(len(ids)), key=ids.__getitem__):
         text = texts[i].as_buffer()
         data = np.frombuffer(text, np.uint8) if text is not None else np.empty(0, np.uint8)
-        yield ids[i], data, ids[i] in copies
+        yield ids[i], data, ids[i] in copies and hashlib.md5(data).digest() in copies[ids[i]]
 
 
 def _bodies(replies: pa.Table, kind: int) -> list[bytes]:
@@ -219,8 +251,9 @@ def _bodies(replies: pa.Table, kind: int) -> list[bytes]:
 
 
 def _pack_copies(group: pa.Table) -> pa.Table:
-    ids = np.unique(group.column("doc_id").to_numpy())
-    return pa.table({"cell": pa.array([group.column("cell")[0].as_py()]), "body": pa.array([_pack(ids)], pa.binary())})
+    digests = np.frombuffer(b"".join(group.column("digest").to_pylist()), np.dtype("V16"))
+    body = _pack(group.column("doc_id").to_numpy(), digests)
+    return pa.table({"cell": pa.array([group.column("cell")[0].as_py()]), "body": pa.array([body], pa.binary())})
 
 
 def _send_hashes(ranges: int):
@@ -458,10 +491,16 @@ def _finish(group: pa.Table, replies: pa.Table) -> pa.Table:
 
 
 def _copies(dealt: DataFrame) -> DataFrame:
-    """(cell, body): the doc_ids of each cell's documents whose text a smaller doc_id has."""
-    digests = dealt.select("cell", "doc_id", F.md5("text").alias("digest"))
+    """(cell, body): doc_id and digest of each cell's documents whose text a smaller doc_id has.
+
+    A digest that only one row has is out before the join, and each of the others meets its smallest doc_id under
+    ``SALTS`` keys, so a large group of copies is not one task's.
+    """
+    digests = dealt.filter("text is not null").select("cell", "doc_id", F.unhex(F.md5("text")).alias("digest"))
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    gone = digests.join(first, "digest").filter("doc_id > first").select("cell", "doc_id")
+    spread = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = digests.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    gone = salted.join(spread, ["digest", "salt"]).filter("doc_id > first").select("cell", "doc_id", "digest")
     return gone.groupBy("cell").applyInArrow(_pack_copies, "cell bigint, body binary")
 
 
