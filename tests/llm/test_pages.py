@@ -11,7 +11,8 @@ SCHEMA = "page_id long, url string, html string, lines string, cell string"
 
 def text_of(html, neighbour=None):
     lines, kinds = pages.text_lines(html)
-    return pages.main_text(lines, kinds, pages.text_lines(neighbour)[0] if neighbour else None)
+    page = {"lines": lines, "kinds": kinds}
+    return pages.main_text(lines, kinds, pages.template(page, [{"lines": pages.text_lines(neighbour)[0]}]) if neighbour else None)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
@@ -75,18 +76,34 @@ def test_pairs_follow_url_order(spark):
     rows.append(rows[3])
     got = pages.main_texts(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
     order = sorted(rows, key=lambda r: (*pages.host_and_path(r[1]), -1 if r[0] is None else r[0]))
-    host = [pages.host_and_path(r[1])[0] for r in order]
-    wanted = []
-    for i, r in enumerate(order):
-        if i and host[i - 1] == host[i]:
-            near = order[i - 1]
-        else:
-            near = order[i + 1] if i + 1 < len(order) and host[i + 1] == host[i] else None
+    hosts = {}
+    for r in order:
         lines, kinds = pages.text_lines(r[2])
-        text = pages.main_text(lines, kinds, pages.text_lines(near[2])[0] if near else None)
-        wanted.append((str(r[0]), str(r[1]), text, len(text)))
+        hosts.setdefault(pages.host_and_path(r[1])[0], []).append((r, {"lines": lines, "kinds": kinds}))
+    wanted, differenced = [], 0
+    for host in hosts.values():
+        for i, (r, page) in enumerate(host):
+            # the page before, then the nearest before that which is not its copy, then pages after it
+            near = [host[i - 1][1]] if i else []
+            near += [q for j in range(i - 2, -1, -1) if pages.template(host[j + 1][1], [q := host[j][1]]) is not None][:1]
+            shared = pages.template(page, near)
+            if shared is None:
+                shared = next((x for _, q in host[i + 1 :] if (x := pages.template(page, [q])) is not None), None)
+            differenced += shared is not None and any(shared)
+            text = pages.main_text(page["lines"], page["kinds"], shared)
+            wanted.append((str(r[0]), str(r[1]), text, len(text)))
+    assert differenced > 100
     assert sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in got) == sorted(wanted)
 
 
+def test_copies_of_a_page_lose_their_template(spark, monkeypatch):
+    monkeypatch.setattr(pages, "partitions", lambda _: 1)  # one cell
+    page = "<div>Top line of all pages of this host</div><p>Story {n} {n} {n}.</p><div>Bottom line</div>"
+    same = [(i, f"http://h/{i:03}", page.format(n="one"), "", "") for i in range(6)]
+    rows = [*same, (6, "http://h/006", page.format(n="two"), "", ""), (7, "http://h/007", page.format(n="one"), "", "")]
+    got = {r.page_id: r.text for r in pages.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: "Story two two two." if i == 6 else "Story one one one." for i in range(8)}
+
+
 def test_empty_table(spark):
     assert pages.main_texts(spark.createDataFrame([], SCHEMA)).count() == 0

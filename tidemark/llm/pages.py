@@ -6,17 +6,19 @@ styles, reader comments). Pages are ordered by host and URL path; each is aligne
 (the host's first with the one after), and lines that lie on a longest common subsequence of the two are deleted as
 template.
 
-Differencing alone deletes what it must keep: two pages with one article share all its lines, and it keeps what it
-must delete, since adverts and footers differ from page to page. So lines that the markup rules out go in any case,
-an article that the page marks as such is kept whole, and a page is not differenced against a page that shares most
-of its lines (a copy).
+Differencing alone deletes what it must keep: two pages with one article share all its lines, and articles of a host
+share whole paragraphs; and it keeps what it must delete, since adverts and footers differ from page to page. So lines
+that the markup rules out go in any case, and an article that the page marks as such is kept whole. A page is not
+differenced against a copy of itself: the nearest page of its host that is none decides, before it or after it, as far
+as its cell of the URL order reaches.
 
 Markup is read with an event parser whose character references are decoded once; unclosed and wrongly nested elements
 end where HTML says they do for the elements used here, at the latest with the page.
 
 Defined results: null and empty html, and pages without main text, give an empty text; a null or broken URL is a host
-of its own with an empty path; pages with equal URLs are ordered by page_id; repeated rows give repeated results; an
-empty table gives an empty result; other columns are neither read nor returned.
+of its own with an empty path; pages with equal URLs are ordered by page_id; repeated rows give repeated results; a very
+long page is read whole, as one row, and its lines are aligned whole; an empty table gives an empty result; other columns
+are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -59,8 +61,10 @@ ARTICLE_MARKS = re.compile(r"^(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|re
 #: Names of a whole layout, such as has-sidebar.
 LAYOUT = re.compile(r"^(?:has|with|without|no|layout|page-with|wp)[_-]", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
-#: A neighbour that shares more than this part of a page's text is a copy, not a template.
-COPY = 0.6
+#: A neighbour that shares more than this part of a page's open text is a copy of the page: what they share may be all.
+COPY = 0.85
+#: Bytes of html in a cell, about.
+CELL_BYTES = 96 << 20
 #: A tag that the end of the page cuts off.
 CUT_TAG = re.compile(r"<(?:[A-Za-z/!?][^<>]*)?\Z")
 
@@ -210,17 +214,28 @@ def common_lines(a: list[str], b: list[str]) -> list[bool]:
     return common
 
 
-def main_text(lines: list[str], kinds: bytes, neighbour: list[str] | None) -> str:
+def open_text(lines: list[str], kinds: bytes, shared: list[bool]) -> tuple[int, int]:
+    """Characters of a page that no mark rules out, and those of them in shared lines."""
+    sizes = [(len(x), t) for x, t, k in zip(lines, shared, kinds, strict=True) if k != OUT]
+    return sum(n for n, _ in sizes), sum(n for n, t in sizes if t)
+
+
+def template(page: dict, neighbours: list[dict]) -> list[bool] | None:
+    """Lines that a page shares with the first of its neighbours that is not a copy of it; None if all are."""
+    for neighbour in neighbours:
+        shared = common_lines(page["lines"], neighbour["lines"])
+        whole, same = open_text(page["lines"], page["kinds"], shared)
+        if same <= COPY * whole and whole:
+            return shared
+    return None
+
+
+def main_text(lines: list[str], kinds: bytes, shared: list[bool] | None) -> str:
     """Lines that stay, in order, joined by a space."""
-    template = common_lines(lines, neighbour) if neighbour else [False] * len(lines)
     inside = MAIN in kinds
-    open_lines = [(len(x), t) for x, t, k in zip(lines, template, kinds, strict=True) if k == KEEP]
-    copy = sum(n for n, t in open_lines if t) > COPY * sum(n for n, _ in open_lines)
     kept = []
-    for line, kind, shared in zip(lines, kinds, template, strict=True):
-        if kind == OUT or (kind == KEEP and inside):
-            continue
-        if kind == MAIN or copy or not shared:
+    for line, kind, gone in zip(lines, kinds, shared or [False] * len(lines), strict=True):
+        if kind == MAIN or (kind == KEEP and not inside and not gone):
             kept.append(line)
     return " ".join(kept)
 
@@ -261,41 +276,43 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
-    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a cell come in order, the last page of the cell before first."""
-        before: dict | None = None
-        waiting: dict | None = None  # the first page of a host waits for the one after
-
-        def result(row: dict, neighbour: dict | None) -> dict:
-            text = main_text(row["lines"], row["kinds"], neighbour["lines"] if neighbour else None)
-            return {"page_id": row["page_id"], "url": row["url"], "text": text, "n_chars": len(text)}
+    def result(page: dict, shared: list[bool] | None) -> dict:
+        text = main_text(page["lines"], page["kinds"], shared)
+        return {"page_id": page["page_id"], "url": page["url"], "text": text, "n_chars": len(text)}
 
+    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a cell come in order, the last page of the cell before first and the first of the next one last."""
+        place, before, waiting = None, [], []  # nearest earlier pages, the second other than the first; pages without one
         for batch in batches:
             made = []
             for row in batch.to_pylist():
-                near = before is not None and (before["cell"], before["host"]) == (row["cell"], row["host"])
-                if waiting is not None:
-                    made.append(result(waiting, row if near else None))
-                    waiting = None
-                if row["halo"] == 0:
-                    if near:
-                        made.append(result(row, before))
-                    else:
-                        waiting = row
-                before = row
+                if place != (row["cell"], row["host"]):
+                    made += [result(p, None) for p in waiting]
+                    place, before, waiting = (row["cell"], row["host"]), [], []
+                found = [(p, template(p, [row])) for p in waiting]
+                made += [result(p, shared) for p, shared in found if shared is not None]
+                waiting = [p for p, shared in found if shared is None]
+                shared = template(row, before)
+                if row["halo"] == 0 and shared is None:
+                    waiting.append(row)
+                elif row["halo"] == 0:
+                    made.append(result(row, shared))
+                other = before[:1] if before and template(row, before[:1]) is not None else before[1:]
+                before = [row, *other]
             yield pa.RecordBatch.from_pylist(made, out)
-        if waiting is not None:
-            yield pa.RecordBatch.from_pylist([result(waiting, None)], out)
+        yield pa.RecordBatch.from_pylist([result(p, None) for p in waiting], out)
 
     names = ["host", "path", "at"]
-    highs, lows = cell_bounds(pages.select("page_id", "url").mapInArrow(keys, "host string, path string, at bigint"), 3 * parts)
+    size = pages.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
+    cells = max(parts, -(-size // CELL_BYTES))
+    highs, lows = cell_bounds(pages.select("page_id", "url").mapInArrow(keys, "host string, path string, at bigint"), cells)
     lines = pages.select("page_id", "url", "html").mapInArrow(
         read,
         "page_id bigint, url string, host string, path string, at bigint, lines array<string>, kinds binary",
     )
     rows = with_cells(lines, names, highs, lows, both=True)
     return (
-        rows.repartition(parts, "cell")
+        rows.repartitionById(cells, F.col("cell"))
         .sortWithinPartitions("cell", *names, "halo")
         .mapInArrow(difference, "page_id bigint, url string, text string, n_chars bigint")
     )
