@@ -1,24 +1,28 @@
 """Shards of equal bytes by a k-d tree over document metadata.
 
-Points are texts: documents with equal texts move together while their bytes are small against a shard, and one by
-one where not. A node of the tree is split at the weighted median along its widest dimension (a weighted quantile
-where it has an odd number of shards to fill), until each leaf is one shard of the target bytes. Medians come from
-histograms of weights that are refined until no bin matters; what reaches the driver is a histogram for each node.
+Points are texts: documents with equal texts move together. A group of copies larger than ``PIECE`` of a shard is cut
+into pieces of about that size, which are points of their own at the same place, so that copies stay in as few shards as
+equal bytes allow. A node of the tree is split at the weighted median along its widest dimension (a weighted quantile
+where it has an odd number of shards to fill), until each leaf is one shard of the target bytes.
+
+A level of the tree is a table of its nodes. Extents and histograms of weights are grouped by node, medians are looked up
+by windows over a node's bins, and points meet the table to learn their next node; histograms are refined until no bin
+matters. Nothing of the tree comes to the driver, so the number of leaves has no limit there.
 
 Dimensions are whole numbers, scaled by their extent over the corpus: bytes of the text, language, source and
 place in the table (doc_id). A fraction from a hash is added to each, so ties split anywhere and a dimension that is
 constant can still be cut.
 
 Defined results: null is the empty text; null languages, sources and doc_ids have a place of their own; repeated
-rows are points or parts of one; an empty table gives an empty result; other columns are neither read nor returned.
+rows are points or parts of one; a very long text is one point, and a shard that it fills alone is as large as it; an
+empty table gives an empty result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import dense_index, materialize, utf8_length
@@ -26,31 +30,16 @@ from tidemark.llm.common import dense_index, materialize, utf8_length
 SHARDS = 24
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 8
-#: Copies of a text stay together up to this part of a shard's bytes.
-TOGETHER = 0.01
+#: Pieces of a group of copies, as part of a shard's bytes: what a cut may be off by.
+PIECE = 0.02
+#: Keys that the copies of one text are spread over.
+SALTS = 16
 #: Bins of a node's histogram, and the part of a shard's bytes to which a cut is exact.
-BINS, EXACT = 1024, 0.0005
+BINS, EXACT = 1 << 16, 0.0005
 #: Refinements of a cut at most: each divides the range by ``BINS``.
 REFINEMENTS = 5
-DIMENSIONS = ("d_bytes", "d_lang", "d_source", "d_place")
-
-
-@dataclass
-class Node:
-    """Shards ``first`` to ``first + leaves - 1``; a node with a cut has two children."""
-
-    first: int
-    leaves: int
-    dimension: str | None = None
-    cut: float = 0.0
-    children: list[Node] = field(default_factory=list)
-
-    def place(self) -> Column:
-        """First shard of the leaf or unsplit node that a point falls in."""
-        if not self.children:
-            return F.lit(self.first)
-        left, right = self.children
-        return F.when(F.col(self.dimension) < self.cut, left.place()).otherwise(right.place())
+#: Bytes of the text, language, source, doc_id.
+DIMENSIONS = 4
 
 
 def _code(value: Column, kinds: int) -> Column:
@@ -58,7 +47,7 @@ def _code(value: Column, kinds: int) -> Column:
 
 
 def points(documents: DataFrame, target: float) -> DataFrame:
-    """doc_id, size, text_crc32 and the dimensions of each document; nothing of the text itself."""
+    """doc_id, size, text_crc32 and the dimensions (dims) of each document; nothing of the text itself."""
     text = F.coalesce("text", F.lit(""))
     rows = materialize(
         documents.select(
@@ -68,6 +57,7 @@ def points(documents: DataFrame, target: float) -> DataFrame:
             F.xxhash64(text).alias("hash"),
             "lang",
             "source",
+            F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
         )
     )
     same = ["hash", "text_crc32", "size"]
@@ -79,94 +69,91 @@ def points(documents: DataFrame, target: float) -> DataFrame:
             F.min("lang").alias("g_lang"),
             F.min("source").alias("g_source"),
         )
-        .filter((F.col("n") > 1) & (F.col("n") * F.col("size") <= TOGETHER * target))
+        .filter("n > 1")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    met = rows.join(groups, same, "left")
-    together = F.col("n").isNotNull()
-    fraction = F.pmod(
-        F.when(together, F.xxhash64("hash", "text_crc32")).otherwise(F.xxhash64("doc_id", "hash")), F.lit(1 << 30)
-    ) / (1 << 30)
-    pick = lambda a, b: F.when(together, F.col(a)).otherwise(F.col(b))
-    return met.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        (F.col("size") + fraction).alias("d_bytes"),
-        (_code(pick("g_lang", "lang"), 64) + fraction).alias("d_lang"),
-        (_code(pick("g_source", "source"), 4096) + fraction).alias("d_source"),
-        (F.coalesce(pick("g_place", "doc_id"), F.lit(-1)).cast("double") + fraction).alias("d_place"),
+    met = rows.join(groups, [*same, "salt"], "left")
+    group = F.col("n").isNotNull()
+    pieces = F.ceil(F.col("n") * F.col("size") / (PIECE * target)).cast("long")
+    # Rows are dealt to pieces by hash; where a piece holds less than two, each row is one.
+    deal = F.xxhash64("doc_id", F.lit(1))
+    piece = F.when(2 * pieces <= F.col("n"), F.pmod(deal, pieces)).when(pieces > 1, deal).otherwise(0)
+    own = F.when(group, F.xxhash64("hash", "text_crc32", piece)).otherwise(F.xxhash64("doc_id", "hash"))
+    fraction = F.pmod(own, F.lit(1 << 30)) / (1 << 30)
+    pick = lambda a, b: F.when(group, F.col(a)).otherwise(F.col(b))
+    places = (
+        F.col("size"),
+        _code(pick("g_lang", "lang"), 64),
+        _code(pick("g_source", "source"), 4096),
+        F.coalesce(pick("g_place", "doc_id"), F.lit(-1)).cast("double"),
+    )
+    return met.select("doc_id", "size", "text_crc32", F.array(*[x + fraction for x in places]).alias("dims"))
+
+
+def _extents(placed: DataFrame, whole: list[float]) -> DataFrame:
+    """The nodes that are to be split: (node, leaves), widest dimension d, its range, and the bytes wanted on its left."""
+    each = [f(F.col("dims")[i]) for i in range(DIMENSIONS) for f in (F.min, F.max)]
+    found = placed.filter("leaves > 1").groupBy("node", "leaves").agg(F.sum("size").alias("bytes"), F.array(*each).alias("ends"))
+    low, high = (lambda i: F.col("ends")[2 * i]), (lambda i: F.col("ends")[2 * i + 1])
+    spans = [F.struct(((high(i) - low(i)) / whole[i]).alias("w"), F.lit(-i).alias("d")) for i in range(DIMENSIONS)]
+    found = found.withColumn("d", -F.array_max(F.array(*spans))["d"])
+    return found.select(
+        "node",
+        "leaves",
+        "d",
+        F.get("ends", 2 * F.col("d")).alias("low"),
+        (F.get("ends", 2 * F.col("d") + 1) * (1 + 1e-12) + 1e-9).alias("high"),  # the range is open at its end
+        (F.ceil(F.col("leaves") / 2) / F.col("leaves") * F.col("bytes")).alias("want"),
+        F.lit(0).cast("long").alias("below"),
+        F.lit(None).cast("double").alias("cut"),
+        F.lit(False).alias("done"),
     )
 
 
-def _cuts(placed: DataFrame, open_nodes: list[Node], extent: dict[int, dict], tolerance: float) -> None:
-    """Set the cut of each node: the value below which its left child's share of the bytes lies."""
-    state = {}
-    for n in open_nodes:
-        e = extent[n.first]
-        left = math.ceil(n.leaves / 2) / n.leaves * e["bytes"]
-        state[n.first] = {"low": e[n.dimension][0], "high": math.nextafter(e[n.dimension][1], math.inf), "below": 0.0, "want": left}
-    for _ in range(REFINEMENTS):
-        if not state:
-            return
-        value = F.lit(None).cast("double")
-        for n in open_nodes:
-            if n.first in state:
-                s = state[n.first]
-                width = max((s["high"] - s["low"]) / BINS, 1e-300)
-                inside = (F.col(n.dimension) >= s["low"]) & (F.col(n.dimension) < s["high"])
-                value = F.when((F.col("node") == n.first) & inside, (F.col(n.dimension) - s["low"]) / width).otherwise(value)
-        bins = (
-            placed.withColumn("bin", F.least(F.floor(value), F.lit(BINS - 1)))
-            .filter("bin is not null")
-            .groupBy("node", "bin")
-            .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-            .collect()  # at most BINS rows for each node
-        )
-        for n in open_nodes:
-            if n.first not in state:
-                continue
-            s, below = state[n.first], state[n.first]["below"]
-            width = (s["high"] - s["low"]) / BINS
-            for r in sorted((r for r in bins if r.node == n.first), key=lambda r: r.bin):
-                if below + r.bytes >= s["want"]:
-                    break
-                below += r.bytes
-            low = s["low"] + r.bin * width
-            high = s["high"] if r.bin == BINS - 1 else s["low"] + (r.bin + 1) * width
-            nearer_low = s["want"] - below <= below + r.bytes - s["want"]
-            n.cut = low if nearer_low else high
-            if r.bytes <= tolerance or r.n <= 1 or high <= math.nextafter(low, math.inf):
-                del state[n.first]
-            else:
-                s.update(low=low, high=high, below=below)
-
-
-def build_tree(points: DataFrame, shards: int, target: float) -> Node:
-    """The k-d tree. Each level takes one pass for extents and a few for histograms, over all its nodes at once."""
-    root = Node(0, shards)
-    spans = points.agg(*[f(d).alias(f"{d}_{f.__name__}") for d in DIMENSIONS for f in (F.min, F.max)]).first()
-    whole = {d: max(spans[f"{d}_max"] - spans[f"{d}_min"], 1e-9) for d in DIMENSIONS}
-    level = [root]
-    while open_nodes := [n for n in level if n.leaves > 1]:
-        placed = points.withColumn("node", root.place())
-        found = placed.groupBy("node").agg(
-            F.sum("size").alias("bytes"), *[f(d).alias(f"{d}_{f.__name__}") for d in DIMENSIONS for f in (F.min, F.max)]
-        )
-        extent = {
-            r.node: {"bytes": r.bytes} | {d: (r[f"{d}_min"], r[f"{d}_max"]) for d in DIMENSIONS}
-            for r in found.collect()  # a row for each node
-        }
-        open_nodes = [n for n in open_nodes if n.first in extent]
-        for n in open_nodes:
-            e = extent[n.first]
-            n.dimension = max(DIMENSIONS, key=lambda d: (e[d][1] - e[d][0]) / whole[d])
-        _cuts(placed, open_nodes, extent, EXACT * target)
-        level = []
-        for n in open_nodes:
-            left = math.ceil(n.leaves / 2)
-            n.children = [Node(n.first, left), Node(n.first + left, n.leaves - left)]
-            level += n.children
-    return root
+def _refined(placed: DataFrame, nodes: DataFrame, tolerance: float) -> DataFrame:
+    """The nodes with their range narrowed to the bin in which the wanted bytes are reached, and the cut at its nearer end."""
+    value, width = F.get("dims", F.col("d")), F.greatest((F.col("high") - F.col("low")) / BINS, F.lit(1e-300))
+    known = nodes.filter("not done").withColumn("s", F.struct(*nodes.columns))
+    met = placed.select("node", "dims", "size").join(known, "node").filter((value >= F.col("low")) & (value < F.col("high")))
+    at = F.least(F.floor((value - F.col("low")) / width), F.lit(BINS - 1)).cast("int").alias("bin")
+    bins = met.groupBy("node", at).agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"), F.first("s").alias("s"))
+    upto = F.sum("b").over(Window.partitionBy("node").orderBy("bin"))
+    reached = bins.withColumn("upto", upto).filter("s.below + upto >= s.want")
+    met = reached.groupBy("node").agg(F.min_by(F.struct("bin", "b", "n", "upto", "s"), "bin").alias("x")).select("x.*", "x.s.*")
+    low = F.col("low") + F.col("bin") * width
+    high = F.when(F.col("bin") == BINS - 1, F.col("high")).otherwise(F.col("low") + (F.col("bin") + 1) * width)
+    below = F.col("below") + F.col("upto") - F.col("b")
+    nearer = F.when(F.col("want") - below <= below + F.col("b") - F.col("want"), low).otherwise(high)
+    fine = (F.col("b") <= tolerance) | (F.col("n") <= 1) | (low + (high - low) / 2 <= low)
+    narrowed = met.select(
+        "node", "leaves", "d", low.alias("low"), high.alias("high"), "want", below.alias("below"), nearer.alias("cut"), fine.alias("done")
+    )
+    return narrowed.unionByName(nodes.filter("done"))
+
+
+def _split(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Points in the children of their nodes; a node is named by the first of its shards."""
+    met = placed.join(nodes.select("node", "d", "cut"), "node", "left")
+    half = F.ceil(F.col("leaves") / 2).cast("int")
+    is_right = F.get("dims", F.col("d")) >= F.col("cut")
+    node = F.when(is_right, F.col("node") + half).otherwise(F.col("node"))
+    leaves = F.when(is_right, F.col("leaves") - half).when(F.col("leaves") > 1, half).otherwise(F.col("leaves"))
+    return met.select("doc_id", "size", "text_crc32", "dims", node.alias("node"), leaves.alias("leaves"))
+
+
+def leaves(points: DataFrame, shards: int, target: float) -> DataFrame:
+    """The points with the leaf (node) of the k-d tree that they are in."""
+    spans = points.agg(*[f(F.col("dims")[i]) for i in range(DIMENSIONS) for f in (F.min, F.max)]).first()
+    whole = [max((spans[2 * i + 1] or 0) - (spans[2 * i] or 0), 1e-9) for i in range(DIMENSIONS)]
+    placed = points.withColumn("node", F.lit(0)).withColumn("leaves", F.lit(shards))
+    for _ in range(max(0, shards - 1).bit_length()):
+        nodes = materialize(_extents(placed, whole))
+        for _ in range(REFINEMENTS):
+            nodes = materialize(_refined(placed, nodes, EXACT * target))
+            if nodes.filter("not done").isEmpty():
+                break
+        placed = materialize(_split(placed, nodes))
+    return placed
 
 
 def kd_shards(documents: DataFrame, shards: int | None = SHARDS, target_bytes: float | None = None) -> DataFrame:
@@ -177,12 +164,8 @@ def kd_shards(documents: DataFrame, shards: int | None = SHARDS, target_bytes: f
     total = documents.agg(F.sum(utf8_length(F.col("text")) + ROW_BYTES)).first()[0] or 0
     shards = shards or max(1, math.ceil(total / target_bytes))
     target = max(total / shards, 1)
-    found = materialize(points(documents, target))
-    placed = found.select("doc_id", "size", "text_crc32", "d_place")
-    if total:
-        placed = found.select("doc_id", "size", "text_crc32", "d_place", build_tree(found, shards, target).place().alias("shard"))
-    else:
-        placed = placed.withColumn("shard", F.lit(0))
+    found = leaves(materialize(points(documents, target)), shards, target)
+    placed = found.select("doc_id", "size", "text_crc32", F.col("dims")[DIMENSIONS - 1].alias("d_place"), F.col("node").alias("shard"))
     salt = ["doc_id", "text_crc32", "d_place"]
     return dense_index(placed, ["shard"], ["doc_id", "text_crc32"], 50_000, "slot", salt).drop("d_place")
 
