@@ -241,6 +241,88 @@ trd AS (
     CASE WHEN "both" THEN d * qty * (xt - entry) - CAST(0.0005 AS DOUBLE) * qty * (entry + xt) END AS net_target_first, d * qty * (xs - es) - CAST(0.001 AS DOUBLE) * qty * (es + xs) AS stress_net FROM e8)
 """
 
+#: Movements: candidates, what would befall each, who follows whom, and the log.
+_LIFE = """
+lq0 AS (SELECT *, lag(p0_price) OVER (PARTITION BY series, segment ORDER BY t0) AS before_q FROM alt),
+lq AS (SELECT *, first_value(before_q) OVER (PARTITION BY series, segment, island ORDER BY t0) AS q FROM lq0),
+tri AS (
+  SELECT series, segment, version, CASE WHEN kind = 'LOW' THEN 1 ELSE -1 END AS d, price AS base, c0 AS base_t0, p0_price AS extreme, p0_t0 AS extreme_t0
+  FROM lq WHERE action <> 'KEEP' AND q IS NOT NULL),
+cb AS (SELECT series, segment, version, pos, t0, t1, h, l, c, structure, after, lag(c) OVER w AS pc, lag(structure) OVER w AS was, pos = max(pos) OVER (PARTITION BY series, segment) AS last
+  FROM (SELECT *, lead(t1) OVER (PARTITION BY series ORDER BY t0) AS after FROM obs) WHERE status = 'COMPLETE' WINDOW w AS (PARTITION BY series, segment ORDER BY t0)),
+live AS (
+  SELECT b.*, t.d, t.base, t.base_t0, t.extreme, t.extreme_t0, (t.d * (pc - extreme) <= 0 AND t.d * (c - extreme) > 0) AS crossed, t.d * (CASE WHEN t.d = 1 THEN l ELSE h END - base) <= 0 AS tested
+  FROM cb b JOIN (SELECT tri.* FROM tri JOIN lq ON lq.series = tri.series AND lq.version = tri.version AND lq.action <> 'KEEP' WHERE tri.d * (tri.base - lq.q) > 0 AND tri.d * (tri.extreme - tri.base) > 0) t
+  ON t.series = b.series AND t.segment = b.segment AND t.version = b.version),
+cd0 AS (
+  SELECT series, segment, version, d, base, base_t0, extreme, extreme_t0, min(pos) FILTER (crossed) AS k, min(t0) FILTER (crossed) AS k_t0, min(t1) FILTER (crossed) AS k_t1, min(pos) FILTER (tested) AS broken
+  FROM live GROUP BY 1, 2, 3, 4, 5, 6, 7, 8),
+cand AS (
+  SELECT *, row_number() OVER (PARTITION BY series, segment ORDER BY k) AS idx, CASE WHEN d = 1 THEN 'LONG' ELSE 'SHORT' END AS side,
+    CASE WHEN d = 1 THEN 'LONG' ELSE 'SHORT' END || ':' || extreme_t0 || ':' || base_t0 || ':' || k_t1 AS ref_id
+  FROM cd0 WHERE k IS NOT NULL AND (broken IS NULL OR broken > k)),
+lf0 AS (
+  SELECT x.series, x.segment, x.idx, min(b.pos) FILTER (b.pos > k AND x.d * (b.c - base) <= 0) AS lost, min(b.pos) FILTER (b.pos > k AND x.d * (CASE WHEN x.d = 1 THEN b.l ELSE b.h END - base) <= 0) AS tested,
+    min(b.pos) FILTER (b.structure = CASE WHEN x.d = 1 THEN 'DOWN' ELSE 'UP' END) AS opposite
+  FROM cand x JOIN cb b ON b.series = x.series AND b.segment = x.segment AND b.pos >= x.k GROUP BY 1, 2, 3),
+pv AS (SELECT a.series, a.segment, a.kind, a.price, a.c0, b.pos FROM alt a JOIN cb b ON b.series = a.series AND b.t0 = a.t0 WHERE a.action <> 'KEEP'),
+lf1 AS (
+  SELECT x.*, l.lost, l.tested, l.opposite, p.known, p.anchor FROM cand x JOIN lf0 l USING (series, segment, idx) LEFT JOIN (
+    SELECT x.series, x.segment, x.idx, min(p.pos) AS known, arg_min(p.price, p.pos) AS anchor FROM cand x JOIN pv p ON p.series = x.series AND p.segment = x.segment
+      AND p.kind = CASE WHEN x.d = 1 THEN 'HIGH' ELSE 'LOW' END AND p.c0 >= x.k_t0 AND x.d * (p.price - x.extreme) > 0 GROUP BY 1, 2, 3) p USING (series, segment, idx)),
+lf2 AS (
+  SELECT x.*, r.reached FROM lf1 x LEFT JOIN (
+    SELECT x.series, x.segment, x.idx, min(b.pos) AS reached FROM lf1 x JOIN cb b ON b.series = x.series AND b.segment = x.segment AND b.pos > x.known AND x.d * (CASE WHEN x.d = 1 THEN b.h ELSE b.l END - anchor) >= 0 GROUP BY 1, 2, 3) r USING (series, segment, idx)),
+lf3 AS (
+  SELECT *, coalesce(reached < coalesce(tested, 1e18) AND reached <= coalesce(opposite, 1e18) AND coalesce(opposite, 1e18) > k, false) AS completed FROM lf2),
+lf AS (
+  SELECT *, CASE WHEN completed THEN reached ELSE lost END AS over_at,
+    CASE WHEN NOT completed AND least(coalesce(tested, 1e18), coalesce(opposite, 1e18)) < coalesce(lost, 1e18) THEN least(tested, opposite) END AS suspended FROM lf3),
+lft AS (SELECT f.*, o.t0 AS over_t0, s.t0 AS suspended_t0 FROM lf f LEFT JOIN cb o ON o.series = f.series AND o.segment = f.segment AND o.pos = f.over_at LEFT JOIN cb s ON s.series = f.series AND s.segment = f.segment AND s.pos = f.suspended),
+nx AS (
+  SELECT i.series, i.segment, i.idx, min(j.idx) AS next_idx FROM lft i JOIN lft j ON j.series = i.series AND j.segment = i.segment AND (
+    (j.k >= i.over_at AND j.base_t0 > CASE WHEN i.completed THEN i.base_t0 ELSE i.over_t0 END) OR (j.k >= i.suspended AND (i.over_at IS NULL OR j.k < i.over_at) AND j.base_t0 > i.suspended_t0)) GROUP BY 1, 2, 3),
+took AS (SELECT series, segment, CAST(1 AS BIGINT) AS idx FROM cand WHERE idx = 1 UNION ALL SELECT t.series, t.segment, CAST(n.next_idx AS BIGINT) FROM took t JOIN nx n ON n.series = t.series AND n.segment = t.segment AND n.idx = t.idx),
+mv0 AS (SELECT f.*, lead(f.k) OVER (PARTITION BY f.series, f.segment ORDER BY f.k) AS next_k FROM lft f JOIN took t ON t.series = f.series AND t.segment = f.segment AND t.idx = f.idx),
+mv AS (SELECT *, CASE WHEN over_at IS NULL OR next_k < over_at THEN next_k END AS replaced FROM mv0),
+held AS (SELECT b.*, m.* EXCLUDE (series, segment, version) FROM cb b JOIN mv m ON m.series = b.series AND m.segment = b.segment AND b.pos > m.k AND b.pos <= coalesce(m.replaced, m.over_at, b.pos)),
+hf AS (
+  SELECT *, coalesce(pos = over_at AND NOT completed, false) AS is_lost, coalesce(pos = over_at AND completed, false) AS is_done, d * (CASE WHEN d = 1 THEN l ELSE h END - base) <= 0 AS low_test,
+    coalesce(known < pos AND d * (CASE WHEN d = 1 THEN h ELSE l END - anchor) >= 0, false) AS touch, coalesce(structure = CASE WHEN d = 1 THEN 'DOWN' ELSE 'UP' END, false) AS opp, coalesce(was = CASE WHEN d = 1 THEN 'DOWN' ELSE 'UP' END, false) AS opp_before,
+    coalesce(suspended = pos, false) AS now_held, coalesce(suspended < pos, false) AS was_held, coalesce(known <= pos, false) AS kn FROM held),
+fact AS (
+  SELECT *, 1 AS seq, 'P1_PUBLISHED' AS type, '' AS reason, was_held AS hold FROM hf WHERE known = pos
+  UNION ALL SELECT *, 2, 'ARCHIVE', 'BASE_LOST', was_held FROM hf WHERE is_lost
+  UNION ALL SELECT *, 3, CASE WHEN now_held THEN 'SUSPENSION' ELSE 'FACT' END, 'BASE_TESTED', true FROM hf WHERE low_test AND NOT is_lost
+  UNION ALL SELECT *, 4, 'ARCHIVE', 'EXTREME_REACHED', was_held FROM hf WHERE is_done
+  UNION ALL SELECT *, 4, 'FACT', 'P1_TOUCHED_WHILE_SUSPENDED', true FROM hf WHERE touch AND NOT low_test AND NOT is_done
+  UNION ALL SELECT *, 5, CASE WHEN now_held AND NOT low_test THEN 'SUSPENSION' ELSE 'FACT' END, 'OPPOSITE_STRUCTURE', true FROM hf WHERE opp AND NOT is_lost AND NOT is_done AND ((now_held AND NOT low_test) OR NOT opp_before)
+  UNION ALL SELECT *, 6, 'USABLE', '', false FROM hf WHERE known = pos AND NOT now_held AND NOT was_held AND NOT is_lost AND NOT is_done
+  UNION ALL SELECT *, 7, 'ARCHIVE', 'REPLACED', true FROM hf WHERE replaced = pos),
+stay AS (
+  SELECT series, segment, pos, ref_id, side, base, extreme, CASE WHEN kn THEN anchor END AS anchor, base_t0, kn, now_held OR was_held AS hold, replaced = pos AS goes FROM hf WHERE NOT is_lost AND NOT is_done
+  ),
+now AS (
+  SELECT series, segment, pos, ref_id, side, base, extreme, anchor, base_t0, kn, hold FROM stay WHERE goes IS NOT TRUE
+  UNION ALL SELECT series, segment, k, ref_id, side, base, extreme, NULL, base_t0, false, coalesce(suspended = k, false) FROM mv),
+cond AS (
+  SELECT series, t1 AS t, seq, type, ref_id, side, reason, kn, hold, base, extreme, CASE WHEN kn THEN anchor END AS anchor, base_t0 FROM fact
+  UNION ALL SELECT x.series, b.t1, 7, 'REJECTED', s.ref_id, s.side, CASE WHEN s.ref_id IS NULL OR s.hold THEN 'NOT_FRESH' WHEN s.kn THEN 'OCCUPIED_USABLE' ELSE 'OCCUPIED_FORMING' END, s.kn, s.hold, x.base, s.extreme, s.anchor, x.base_t0
+    FROM cand x JOIN cb b ON b.series = x.series AND b.segment = x.segment AND b.pos = x.k LEFT JOIN stay s ON s.series = x.series AND s.segment = x.segment AND s.pos = x.k
+    WHERE NOT EXISTS (SELECT 1 FROM took t WHERE t.series = x.series AND t.segment = x.segment AND t.idx = x.idx)
+  UNION ALL SELECT series, k_t1, 8, 'BIRTH', ref_id, side, '', false, coalesce(suspended = k, false), base, extreme, NULL, base_t0 FROM mv
+  UNION ALL SELECT series, k_t1, 9, 'SUSPENSION', ref_id, side, 'OPPOSITE_STRUCTURE_AT_BIRTH', false, true, base, extreme, NULL, base_t0 FROM mv WHERE suspended = k
+  UNION ALL SELECT b.series, b.t1, 10, 'CLOSE', n.ref_id, n.side, '', n.kn, n.hold, n.base, n.extreme, n.anchor, n.base_t0 FROM cb b LEFT JOIN now n ON n.series = b.series AND n.segment = b.segment AND n.pos = b.pos
+  UNION ALL SELECT b.series, coalesce(b.after, b.t1), 11, CASE WHEN b.after IS NULL THEN 'OPEN_AT_END' ELSE 'ARCHIVE' END, n.ref_id, n.side, CASE WHEN b.after IS NULL THEN '' ELSE 'CONTINUITY_INTERRUPTED' END, n.kn, n.hold, n.base, n.extreme, n.anchor, n.base_t0
+    FROM cb b JOIN now n ON n.series = b.series AND n.segment = b.segment AND n.pos = b.pos WHERE b.last),
+log AS (
+  SELECT series, t, seq, type, ref_id, side, reason, CASE WHEN ref_id IS NULL THEN 'ABSENT' WHEN hold THEN CASE WHEN kn THEN 'SUSPENDED_WITH_P1' ELSE 'SUSPENDED_WITHOUT_P1' END WHEN kn THEN 'USABLE' ELSE 'FORMING' END AS condition,
+    base, extreme, anchor, base_t0 FROM cond),
+moved AS (
+  SELECT series, ref_id, side, min(t) FILTER (type = 'BIRTH') AS born, min(t) FILTER (type = 'P1_PUBLISHED') AS known, min(t) FILTER (type = 'USABLE') AS usable, min(t) FILTER (type = 'SUSPENSION') AS suspended,
+    min(t) FILTER (type = 'ARCHIVE') AS ended, max(reason) FILTER (type = 'ARCHIVE') AS reason, count(*) FILTER (type = 'CLOSE') AS closes FROM log WHERE ref_id IS NOT NULL GROUP BY 1, 2, 3)
+"""
+
 _BASE = _BARS.format(p="", w=W, d=D)
 _DAYS = _BARS.format(p="d_", w=D, d=D)
 _OBS = [_BASE, _VOL, _AVG, _PIV.format(p="", src="avgs"), _ALT]
@@ -251,7 +333,7 @@ _PROFILE = """CASE WHEN structure IS NULL OR dist IS NULL OR slope IS NULL THEN
 
 def _with(parts: list[str], select: str) -> str:
     """``select`` may begin with a comma and more common table expressions."""
-    return "WITH " + ",".join(p.strip() for p in parts) + "\n" + select
+    return "WITH RECURSIVE " + ",".join(p.strip() for p in parts) + "\n" + select
 
 
 def r6(*names: str) -> str:
@@ -598,6 +680,17 @@ ALL = {
       UNION ALL SELECT strftime(make_timestamp(leg_t1 * 1000), '%Y-%m'), NULL, 1, (outcome = 'CALL')::INT FROM dec) GROUP BY GROUPING SETS ((month), ())""",
     ),
     "longest_movements": _with([*_OBS, _VER], "SELECT series, version_id, retired_at - active_from AS life FROM vers ORDER BY life DESC, series, version_id LIMIT 5"),
+    "lifecycle_ledger": _with([*_OBS, _LIFE], "SELECT series, t, seq, type, ref_id, side, reason, condition, round(base, 6) AS base, round(extreme, 6) AS extreme, round(anchor, 6) AS anchor FROM log"),
+    "lifecycle_movements": _with([*_OBS, _LIFE], "SELECT * FROM moved"),
+    "lifecycle_periods": _with(
+        [*_OBS, _LIFE],
+        """SELECT series, period_end, CAST(s - births + ends AS BIGINT) AS stock_start, CAST(births AS BIGINT) AS births, CAST(ends AS BIGINT) AS ends, CAST(s AS BIGINT) AS stock_end FROM (
+      SELECT *, sum(births - ends) OVER (PARTITION BY series ORDER BY period_end) AS s FROM (
+      SELECT series, period_end, sum(b) AS births, sum(e) AS ends FROM (
+        SELECT series, CAST(ceil(born / 604800000) AS BIGINT) * 604800000 AS period_end, 1 AS b, 0 AS e FROM moved
+        UNION ALL SELECT series, CAST(ceil(coalesce(ended, 1706745600000) / 604800000) AS BIGINT) * 604800000, 0, 1 FROM moved) GROUP BY 1, 2))""",
+    ),
+    "lifecycle_judgements": _with([*_OBS, _LIFE], "SELECT series, ref_id, arg_max(type, t * 100 + seq) AS type, arg_max(condition, t * 100 + seq) AS condition, max(t) AS since FROM log WHERE t <= 1705320000000 AND ref_id IS NOT NULL GROUP BY 1, 2"),
     "lifecycle_violations": """SELECT '' AS ref_id, '' AS rule WHERE false""",
     "downsampled_curve": _with(
         [_NETS, _PATH],
