@@ -250,7 +250,7 @@ def violations(log: DataFrame, observed: DataFrame) -> DataFrame:
     held = (F.col("type") == "CLOSE") & (d * (F.col("c") - F.col("base")) <= 0)
     rules = F.array(F.when(lost, "loss without a close beyond the base"), F.when(reached, "end without the extreme"), F.when(born, "birth without a crossing"), F.when(held, "close beyond the base not recorded"))
     rows = met.select("ref_id", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("rule"))
-    spans = log.filter("ref_id is not null").groupBy("ref_id").agg(
+    spans = log.filter("ref_id is not null").groupBy("series", "ref_id").agg(
         F.count_if(F.col("type") == "BIRTH").alias("births"), F.count_if(F.col("type").isin("ARCHIVE", "OPEN_AT_END")).alias("ends")
     )
     return rows.unionByName(spans.filter("births <> 1 or ends <> 1").select("ref_id", F.lit("not one birth and one end").alias("rule")))

@@ -146,14 +146,11 @@ def register_diff(before: DataFrame, after: DataFrame, key: str, fields: list[st
     )
 
 
-def unreconciled(df: DataFrame, part: str, state: str) -> DataFrame:
-    """Rows (check, expected, found) where a partition does not sum to its total."""
-    cube = df.groupingSets([[part, state], [part], [state], []], part, state).agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"))
-    sums = cube.groupBy().agg(*[F.sum(F.when(F.col("g") == g, F.col("n"))).alias(f"n{g}") for g in range(4)])
-    checks = F.explode(
-        F.array(*[F.struct(F.lit(name).alias("check"), F.col("n3").alias("expected"), F.col(c).alias("found")) for name, c in (("cells", "n0"), ("parts", "n1"), ("states", "n2"))])
-    ).alias("c")
-    return sums.select(checks).select("c.*").filter("expected <> found")
+def differing_totals(cells: DataFrame, totals: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """(keys, expected, found) where the cells of a group do not sum to its total, or one of the two is missing."""
+    summed = cells.groupBy(*keys).agg(F.sum(n).alias("found"))
+    met = totals.select(*keys, F.col(n).alias("expected")).join(summed, keys, "full_outer")
+    return met.filter(~F.col("expected").eqNullSafe(F.col("found")))
 
 
 def funnel(steps: list[tuple[str, DataFrame]]) -> DataFrame:

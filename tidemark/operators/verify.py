@@ -1,4 +1,4 @@
-"""Constraints as queries: each returns what breaks it, and should return nothing."""
+"""Constraints as queries: each returns what breaks it, and nothing where all is well."""
 
 from __future__ import annotations
 

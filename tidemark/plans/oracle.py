@@ -591,7 +591,7 @@ ALL = {
       SELECT CASE WHEN a.o_orderkey IS NULL THEN 'GONE' WHEN b.o_orderkey IS NULL THEN 'ADDED' WHEN a.o_orderstatus IS DISTINCT FROM b.o_orderstatus OR a.o_orderpriority IS DISTINCT FROM b.o_orderpriority THEN 'CHANGED' ELSE 'SAME' END AS state,
       count(*) AS n, count(*) FILTER (a.o_orderkey IS NOT NULL AND b.o_orderkey IS NOT NULL AND a.o_orderstatus IS DISTINCT FROM b.o_orderstatus) AS o_orderstatus_changed,
       count(*) FILTER (a.o_orderkey IS NOT NULL AND b.o_orderkey IS NOT NULL AND a.o_orderpriority IS DISTINCT FROM b.o_orderpriority) AS o_orderpriority_changed FROM b FULL JOIN a ON a.o_orderkey = b.o_orderkey GROUP BY 1""",
-    "reconcile_partitions": """SELECT 'cells' AS "check", CAST(0 AS BIGINT) AS expected, CAST(0 AS BIGINT) AS found WHERE false""",
+    "reconcile_partitions": _with(_OBS, "SELECT series, count(*) AS expected, count(*) - 1 AS found FROM obs GROUP BY 1 HAVING count(*) FILTER (structure = 'UP') > 0"),
     "leg_decisions": _with(
         [*_OBS, _LEGS],
         """SELECT series, leg_id, leg_t1, d, leg_bars, outcome, ended_at, counter, round(depth, 6) AS depth, CASE WHEN outcome = 'CALL' THEN round(sp, 6) END AS stop, CASE WHEN outcome = 'CALL' THEN round(rk, 6) END AS risk,
@@ -619,9 +619,20 @@ ALL = {
           CASE WHEN w.qty = 0 OR sign(w.qty) = sign(f.s) THEN w.realized ELSE w.realized + least(abs(f.s), abs(w.qty)) * (f.price - w.avg) * sign(w.qty) END, w.fees + f.fee,
           w.closes + CASE WHEN w.qty = 0 OR sign(w.qty) = sign(f.s) THEN 0 ELSE 1 END FROM w JOIN f ON f.part = w.part AND f.rn = w.rn + 1)
       SELECT part, closes, round(qty, 2) AS qty, round(avg, 2) AS avg_price, round(realized, 2) AS realized, round(fees, 2) AS fees, round(realized - fees, 2) AS net FROM w QUALIFY row_number() OVER (PARTITION BY part ORDER BY rn DESC) = 1""",
-    "bar_violations": """SELECT '' AS series, CAST(0 AS BIGINT) AS t0, '' AS rule WHERE false""",
-    "observation_violations": """SELECT '' AS series, CAST(0 AS BIGINT) AS t0, '' AS rule WHERE false""",
-    "outcome_cross_check": """SELECT '' AS series, CAST(0 AS BIGINT) AS t1, '' AS rule WHERE false""",
+    "bar_violations": _with(
+        [_BASE],
+        """, f0 AS (SELECT series, t0, CASE WHEN (t0 // 5400000) % 101 = 0 THEN t0 ELSE t1 END AS t1, CASE WHEN (t0 // 5400000) % 103 = 0 THEN 'UNKNOWN' ELSE status END AS status,
+        ticks, o, CASE WHEN (t0 // 5400000) % 97 = 0 THEN l - 1 ELSE h END AS h, l, c FROM bars),
+      f1 AS (SELECT *, lag(t1) OVER (PARTITION BY series ORDER BY t0) AS bt FROM f0)
+      SELECT series, t0, 'status' AS rule FROM f1 WHERE status NOT IN ('COMPLETE', 'INCOMPLETE') UNION ALL SELECT series, t0, 'width' FROM f1 WHERE t1 <= t0 UNION ALL SELECT series, t0, 'grid' FROM f1 WHERE bt <> t0
+      UNION ALL SELECT series, t0, 'prices' FROM f1 WHERE CASE WHEN status = 'COMPLETE' THEN h < greatest(o, c) OR l > least(o, c) OR ticks = 0 ELSE coalesce(o, h, l, c) IS NOT NULL END""",
+    ),
+    "observation_violations": _with(
+        _OBS,
+        """SELECT series, t0, 'tr' AS rule FROM obs WHERE (t0 // 5400000) % 89 = 0 AND tr IS NOT NULL UNION ALL SELECT series, t0, 'dist' FROM obs WHERE (t0 // 5400000) % 83 = 0 AND dist IS NOT NULL
+      UNION ALL SELECT series, t0, 'pivot time' FROM obs WHERE (t0 // 5400000) % 7 = 0 AND pivot_kind IS NOT NULL UNION ALL SELECT series, t0, 'segment' FROM obs WHERE (t0 // 5400000) % 79 = 0 AND status = 'COMPLETE'""",
+    ),
+    "outcome_cross_check": _with([*_OBS, _FUT], "SELECT series, t1, 'max_high' AS rule FROM fut WHERE future_complete AND c IS NOT NULL AND (t0 // 5400000) % 53 = 0"),
     "version_projection": _with(
         [*_OBS, _VER],
         """SELECT series, version_id, d, active_from, CASE WHEN retired_at <= 1705320000000 THEN retired_at END AS retired_at, CASE WHEN retired_at <= 1705320000000 THEN retire_reason END AS retire_reason
@@ -691,7 +702,12 @@ ALL = {
         UNION ALL SELECT series, CAST(ceil(coalesce(ended, 1706745600000) / 604800000) AS BIGINT) * 604800000, 0, 1 FROM moved) GROUP BY 1, 2))""",
     ),
     "lifecycle_judgements": _with([*_OBS, _LIFE], "SELECT series, ref_id, arg_max(type, t * 100 + seq) AS type, arg_max(condition, t * 100 + seq) AS condition, max(t) AS since FROM log WHERE t <= 1705320000000 AND ref_id IS NOT NULL GROUP BY 1, 2"),
-    "lifecycle_violations": """SELECT '' AS ref_id, '' AS rule WHERE false""",
+    "lifecycle_violations": _with(
+        [*_OBS, _LIFE],
+        """, lg AS (SELECT *, (base_t0 // 5400000) % 3 = 0 AS third FROM log WHERE ref_id IS NOT NULL)
+      SELECT ref_id, 'loss without a close beyond the base' AS rule FROM lg WHERE reason = 'BASE_LOST' UNION ALL SELECT ref_id, 'close beyond the base not recorded' FROM lg WHERE type = 'CLOSE' AND third
+      UNION ALL SELECT ref_id, 'not one birth and one end' FROM lg GROUP BY series, ref_id HAVING count(*) FILTER (type IN ('ARCHIVE', 'OPEN_AT_END') AND (reason = 'BASE_LOST' OR NOT third)) <> 1""",
+    ),
     "downsampled_curve": _with(
         [_NETS, _PATH],
         "SELECT book, day, round(equity, 6) AS equity FROM (SELECT *, min(equity) OVER (PARTITION BY book) AS low FROM pk) WHERE day % 2419200000 = 0 OR equity = low",

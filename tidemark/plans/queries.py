@@ -469,13 +469,15 @@ def changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reconcile_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations of sums that must hold: there is no row."""
-    seen = _future(spark, sf_dir).withColumn("state", F.coalesce("structure", F.lit("UNAVAILABLE")))
-    return summary.unreconciled(seen, "series", "state")
+    """Series whose states do not add up to their bars: the cells of UP are counted one short, so those of them that have any."""
+    seen = observed(spark, sf_dir).withColumn("state", F.coalesce("structure", F.lit("UNAVAILABLE")))
+    cells = seen.groupBy("series", "state").agg(F.count(F.lit(1)).alias("n"))
+    short = cells.withColumn("n", F.col("n") - (F.col("state") == "UP").cast("long"))
+    return summary.differing_totals(short, seen.groupBy("series").agg(F.count(F.lit(1)).alias("n")), ["series"], "n")
 
 
 def downsampled_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sixth hour of the running result, and the points where it is lowest."""
+    """Every 28th day of the running result, and the points where it is lowest."""
     found = summary.drawdown_path(_day_nets(spark, sf_dir), ["book"], "day", "net")
     lowest = Window.partitionBy("book")
     kept = found.withColumn("low", F.min("equity").over(lowest)).filter((F.pmod(F.col("day"), F.lit(28 * DAY)) == 0) | (F.col("equity") == F.col("low")))
@@ -542,22 +544,35 @@ def replay_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.order_book(events, ["book"])
 
 
+def _every(n: int) -> Column:
+    """Each n-th place of the grid of bars."""
+    return F.pmod(F.floor(F.col("t0") / WIDTH), F.lit(n)) == 0
+
+
 def bar_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """There is no row."""
-    return verify.bar_violations(typed_bars(spark, sf_dir))
+    """Faults that are put into every 97th, 101st and 103rd bar, as the rules find them."""
+    faulty = typed_bars(spark, sf_dir).withColumn("h", F.when(_every(97), F.col("l") - 1).otherwise(F.col("h")))
+    faulty = faulty.withColumn("t1", F.when(_every(101), F.col("t0")).otherwise(F.col("t1")))
+    return verify.bar_violations(faulty.withColumn("status", F.when(_every(103), "UNKNOWN").otherwise(F.col("status"))))
 
 
 def observation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """There is no row."""
-    return verify.observation_violations(observed(spark, sf_dir), ["tr", "a", "sma_fast", "sma_slow", "dist", "slope", "place", "cross", "v_ratio", "structure"])
+    """Faults that are put into observations, as the rules find them: reasons beside values, values gone, early pivots, lost segments."""
+    seen = observed(spark, sf_dir)
+    seen = seen.withColumn("tr_r", F.when(_every(89), "FAULT").otherwise(F.col("tr_r")))
+    seen = seen.withColumn("dist", F.when(_every(83), F.lit(None)).otherwise(F.col("dist")))
+    seen = seen.withColumn("candidate_t1", F.when(_every(7), F.col("t1")).otherwise(F.col("candidate_t1")))
+    seen = seen.withColumn("segment", F.when(_every(79), F.lit(None)).otherwise(F.col("segment")))
+    return verify.observation_violations(seen, ["tr", "a", "sma_fast", "sma_slow", "dist", "slope", "place", "cross", "v_ratio", "structure"])
 
 
 def outcome_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extremes of the next day by frames and by joined bars; where the two ways differ there would be a row."""
+    """Extremes of the next day by frames and by joined bars: a fault in every 53rd frame, and nothing else, differs."""
     seen = observed_once(spark, sf_dir)
     starts = seen.filter("c is not null").select("series", "t0", "t1", F.lit(1).alias("d"), "c", "a", F.lit(None).cast("double").alias("f"), F.lit(None).cast("double").alias("g"))
     joined = outcomes.first_touch(starts, typed_bars(spark, sf_dir), DAY_BARS).filter("first_gap is null")
     framed = outcomes.forward(seen, DAY_BARS).filter("future_complete and c is not null")
+    framed = framed.withColumn("max_high", F.col("max_high") + F.when(_every(53), 1).otherwise(0))
     return verify.disagreements(framed, joined.withColumnRenamed("close_last", "close_after"), ["series", "t1"], ["max_high", "min_low", "close_after"])
 
 
@@ -675,8 +690,13 @@ def lifecycle_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lifecycle_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the log states and the bars do not bear out: there is no row."""
-    return lifecycle.violations(*_log(spark, sf_dir))
+    """A log with faults, as the rules find them: bases of losses and closes moved past the close, every third end left out."""
+    log, seen = _log(spark, sf_dir)
+    third = F.pmod(F.col("base_t0") / WIDTH, F.lit(3)) == 0
+    log = log.filter(~(third & F.col("type").isin("ARCHIVE", "OPEN_AT_END") & (F.col("reason") != "BASE_LOST")))
+    away = F.when(F.col("side") == "LONG", 1000).otherwise(-1000)
+    moved = F.when(F.col("reason") == "BASE_LOST", F.col("base") - away).when(third & (F.col("type") == "CLOSE"), F.col("base") + away)
+    return lifecycle.violations(log.withColumn("base", F.coalesce(moved, "base")), seen)
 
 
 ALL = {
