@@ -81,12 +81,12 @@ def lives(bars: DataFrame, found: DataFrame, sequence: DataFrame) -> DataFrame:
     ``anchor`` is the final extreme: the first accepted pivot beyond the extreme whose bar is not before the birth.
     """
     edge = lambda near: F.when((F.col("d") == 1) == near, F.col("h")).otherwise(F.col("l"))
-    pivot = sequence.filter("action <> 'KEEP'").select("series", "t0", F.col("kind").alias("pivot"), F.col("price").alias("pivot_at"), F.col("c0").alias("pivot_t0"))
-    place = bars.select("series", F.col("t0").alias("pivot_t0"), F.col("pos").alias("pivot_pos"))
-    rows = bars.join(pivot.join(place, ["series", "pivot_t0"]), ["series", "t0"], "left")
+    pivot = sequence.filter("action <> 'KEEP'").select(
+        "series", F.col("c0").alias("t0"), F.col("t0").alias("known_t0"), F.col("kind").alias("pivot"), F.col("price").alias("pivot_at")
+    )
+    rows = bars.join(pivot, ["series", "t0"], "left")
     final = F.when(F.col("pivot") == F.when(F.col("d") == 1, "HIGH").otherwise("LOW"), F.col("d") * F.col("pivot_at"))
     opposite = F.when(F.col("structure") == F.when(F.col("d") == 1, "DOWN").otherwise("UP"), 1.0)
-    lag = rows.filter("pivot_pos is not null").agg(F.max(F.col("pos") - F.col("pivot_pos"))).first()[0] or 0  # bars to confirm a pivot
     k, base = F.col("k"), -F.col("d") * F.col("base")
     met = found.join(
         _contacts(
@@ -96,13 +96,17 @@ def lives(bars: DataFrame, found: DataFrame, sequence: DataFrame) -> DataFrame:
                 "lost": (-F.col("d") * F.col("c"), k, base),
                 "tested": (-F.col("d") * edge(False), k, base),
                 "opposite": (opposite, k - 1, F.lit(1.0)),
-                "known": (final, k + lag - 1, F.col("d") * F.col("extreme")),
+                "known": (final, k - 1, F.col("d") * F.col("extreme")),
             },
         ),
         [*KEY, "idx"],
     )
-    known = rows.filter("pivot is not null").select(*KEY, F.col("pos").alias("known"), F.col("pivot_at").alias("anchor"))
-    met = materialize(met.join(known, [*KEY, "known"], "left"))
+    # The pivot is known some bars after its own.
+    place = bars.select("series", F.col("t0").alias("known_t0"), F.col("pos").alias("known_pos"))
+    known = rows.filter("pivot is not null").join(place, ["series", "known_t0"])
+    known = known.select(*KEY, F.col("pos").alias("known"), "known_pos", F.col("pivot_at").alias("anchor"))
+    met = met.join(known, [*KEY, "known"], "left").drop("known").withColumnRenamed("known_pos", "known")
+    met = materialize(met)
     back = _contacts(bars, met, {"reached": (F.col("d") * edge(True), F.col("known"), F.col("d") * F.col("anchor"))})
     met = met.join(back, [*KEY, "idx"])
     never = F.lit((1 << 62))

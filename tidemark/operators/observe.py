@@ -167,57 +167,46 @@ def structure(observed: DataFrame) -> DataFrame:
     )
 
 
-def alternation(observed: DataFrame) -> DataFrame:
-    """The alternating sequence of confirmed pivots: APPEND, REPLACE or KEEP, its version and its two anchors.
+def _sequenced(observed: DataFrame) -> DataFrame:
+    """The alternating sequence as columns of every bar: action, island, version and the two anchors at each.
 
     Runs of pivots of one kind are islands; a pivot replaces if it is strictly beyond all before it in its island.
-    The first anchor is the state in which the island before ended.
+    The first anchor is the state in which the island before ended. A bar belongs to the island of the last pivot.
     """
-    found = observed.filter(F.col("pivot_kind").isNotNull()).select(
-        "series",
-        "segment",
-        "t0",
-        "t1",
-        F.col("pivot_kind").alias("kind"),
-        F.col("pivot_price").alias("price"),
-        F.col("candidate_t0").alias("c0"),
-        F.col("candidate_t1").alias("c1"),
-    )
-    turned = (F.col("kind") != F.lag("kind").over(by_segment())).cast("long")
-    found = found.withColumn("island", F.sum(F.coalesce(turned, F.lit(1))).over(by_segment()))
+    kind, price, start = F.col("pivot_kind"), F.col("pivot_price"), Window.unboundedPreceding
+    turned = F.when(kind.isNotNull(), F.coalesce(kind != _last(kind, -1), F.lit(True)))
+    out = observed.withColumn("__turned", turned)
+    out = out.withColumn("island", F.sum(F.coalesce(F.col("__turned").cast("long"), F.lit(0))).over(by_segment()))
     island = Window.partitionBy("series", "segment", "island").orderBy("t0")
-    prior = island.rowsBetween(Window.unboundedPreceding, -1)
-    beyond = F.when(F.col("kind") == "HIGH", F.col("price") > F.max("price").over(prior)).otherwise(
-        F.col("price") < F.min("price").over(prior)
+    prior = island.rowsBetween(start, -1)
+    beyond = F.when(kind == "HIGH", price > F.max(price).over(prior)).otherwise(price < F.min(price).over(prior))
+    action = F.when(F.col("__turned"), "APPEND").when(beyond, "REPLACE").otherwise("KEEP")
+    out = out.withColumn("action", F.when(kind.isNotNull(), action)).withColumn("__kept", F.coalesce(F.col("action") != "KEEP", F.lit(False)))
+    anchor = F.struct(kind.alias("kind"), price.alias("price"), F.col("candidate_t0").alias("c0"), F.col("candidate_t1").alias("c1"), F.col("t1").alias("known"))
+    out = out.withColumn("__anchor", F.when(F.col("__kept"), anchor))
+    versions = Window.partitionBy("series").orderBy("t0").rowsBetween(start, 0)
+    return (
+        out.withColumn("p1", F.last("__anchor", ignorenulls=True).over(island.rowsBetween(start, 0)))
+        .withColumn("__before", _last(F.col("__anchor"), -1))
+        .withColumn("p0", F.first("__before").over(island.rowsBetween(start, 0)))
+        .withColumn("version", F.sum(F.col("__kept").cast("long")).over(versions))
+        .drop("__turned", "__kept", "__anchor", "__before")
     )
-    first = F.row_number().over(island) == 1
-    found = found.withColumn("action", F.when(first, "APPEND").when(beyond, "REPLACE").otherwise("KEEP"))
-    kept = F.col("action") != "KEEP"
-    anchor = F.when(kept, F.struct("kind", "price", "c0", "c1", F.col("t1").alias("known")))
-    state = F.last(anchor, ignorenulls=True).over(island.rowsBetween(Window.unboundedPreceding, 0))
-    found = found.withColumn("p1", state).withColumn("__before", F.lag("p1").over(by_segment()))
-    found = found.withColumn("p0", F.first("__before").over(island.rowsBetween(Window.unboundedPreceding, 0)))
-    versions = Window.partitionBy("series").orderBy("t0")
-    return found.withColumn("version", F.sum(kept.cast("long")).over(versions)).drop("__before")
-
-
-def anchors(observed: DataFrame, sequence: DataFrame) -> DataFrame:
+
+
+def alternation(observed: DataFrame) -> DataFrame:
+    """The alternating sequence of confirmed pivots: APPEND, REPLACE or KEEP, its version and its two anchors."""
+    bare = observed.select("series", "segment", "t0", "t1", "pivot_kind", "pivot_price", "candidate_t0", "candidate_t1")
+    return _sequenced(bare).filter("pivot_kind is not null").select(
+        "series", "segment", "t0", "t1", F.col("pivot_kind").alias("kind"), F.col("pivot_price").alias("price"),
+        F.col("candidate_t0").alias("c0"), F.col("candidate_t1").alias("c1"), "island", "action", "p1", "p0", "version",
+    )
+
+
+def anchors(observed: DataFrame) -> DataFrame:
     """Anchors known at each bar, with u and r: how far the close has gone from the first to the second."""
-    fresh = sequence.filter("action <> 'KEEP'").select(
-        "series",
-        "t0",
-        F.col("version").alias("new_version"),
-        F.col("action").alias("new_action"),
-        F.col("p0").alias("new_p0"),
-        F.col("p1").alias("new_p1"),
-    )
-    out = observed.join(fresh, ["series", "t0"], "left")
-    by_time = Window.partitionBy("series").orderBy("t0").rowsBetween(Window.unboundedPreceding, 0)
-    out = (
-        out.withColumn("version", F.coalesce(F.last("new_version", ignorenulls=True).over(by_time), F.lit(0)))
-        .withColumn("p0", F.when(_complete(), _last(F.col("new_p0"))))
-        .withColumn("p1", F.when(_complete() & F.col("p0").isNotNull(), _last(F.col("new_p1"))))
-    )
+    out = _sequenced(observed).drop("action", "island")
+    out = out.withColumn("p0", F.when(_complete(), F.col("p0"))).withColumn("p1", F.when(F.col("p0").isNotNull(), F.col("p1")))
     span = F.col("p1.price") - F.col("p0.price")
     return (
         out.withColumn(
@@ -294,8 +283,7 @@ def observe(bars: DataFrame, conv: Conventions = Conventions()) -> DataFrame:
     """All measures of each bar; ``bars`` come from ``bars.aggregate``."""
     out = volatility(segments(bars), conv)
     out = pivots(volumes(averages(out, conv), conv), conv)
-    out = structure(out)
-    return anchors(out, alternation(out))
+    return anchors(structure(out))
 
 
 def events(observed: DataFrame, sequence: DataFrame, crossed: DataFrame) -> DataFrame:
