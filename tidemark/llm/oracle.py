@@ -39,7 +39,10 @@ e AS (
     substr(a.t, 1, length(a.t) - length(a.t) // 2) || substr(b.t, 1, length(a.t) // 2) AS edited
   FROM o a JOIN o b ON b.k = CASE WHEN a.k = (SELECT max(k) FROM o) THEN 1 ELSE a.k + 1 END),
 x AS (SELECT k, 0 AS kind, hex(encode(t)) AS h, octet_length(encode(t)) AS nb FROM e UNION ALL SELECT k, 1, hex(encode(edited)), octet_length(encode(edited)) FROM e),
-tri AS (SELECT k, kind, CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 6) AS BIGINT) AS v FROM (SELECT k, kind, h, unnest(range(0, greatest(nb - 2, 0))) AS i FROM x)),
+byt AS (SELECT k, kind, unnest(b) AS d, generate_subscripts(b, 1) AS i FROM (SELECT k, kind, regexp_extract_all(h, '..') AS b FROM x)),
+num AS (SELECT k, kind, i, (strpos('0123456789ABCDEF', d[1]) - 1) * 16 + strpos('0123456789ABCDEF', d[2]) - 1 AS b FROM byt),
+nbr AS (SELECT k, kind, b, lead(b, 1) OVER w AS b1, lead(b, 2) OVER w AS b2 FROM num WINDOW w AS (PARTITION BY k, kind ORDER BY i)),
+tri AS (SELECT k, kind, CAST(b * 65536 + b1 * 256 + b2 AS BIGINT) AS v FROM nbr WHERE b2 IS NOT NULL),
 cnt AS (
   SELECT k, kind, ((((v >> 16) & 255) | (((v >> 8) & 255) << 8) | ((v & 255) << 16)) * 2654435761 % 4294967296) >> 24 AS bucket, count(*) AS n FROM tri GROUP BY 1, 2, 3),
 ful AS (SELECT x.k, x.kind, x.nb, b.bucket, coalesce(c.n, 0) AS n FROM x, (SELECT unnest(range(0, 256)) AS bucket) b LEFT JOIN cnt c ON c.k = x.k AND c.kind = x.kind AND c.bucket = b.bucket),
