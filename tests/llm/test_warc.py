@@ -56,6 +56,7 @@ def test_round_trip(spark, monkeypatch):
         last[html or ""] = max(last.get(html or "", -1), -1 if page_id is None else page_id)
     assert len(got) == len(rows)
     by_page = {i: (h or "").encode() for i, _, h, _ in rows}
+    assert sorted((str(r.page_id), str(r.url)) for r in got) == sorted((str(i), str(u)) for i, u, *_ in rows)
     for r in got:
         payload = by_page[r.page_id]
         assert r.payload_bytes == len(payload)
@@ -72,8 +73,21 @@ def test_payloads_come_back(spark):
     folder = warc.shared_dir(spark)
     manifest = warc.write_archives(docs, folder)
     got = {r.page_id: r.payload for r in warc.read_archives(spark, manifest, folder).collect()}
+    assert "WARC-Date: 2" in warc.warc_record(1, None, b"", "D", None, "2024-01-01T00:00:00Z").decode()
     assert got[1] is None and bytes(got[2]).decode() == "<p>é</p>"
 
 
+def test_archives_of_small_records_are_cut_and_read_by_ranges(spark, monkeypatch):
+    rows = [(i, f"u{i}", None if i % 2 else "", "") for i in range(3000)]
+    folder = warc.shared_dir(spark)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 19)
+    monkeypatch.setattr(warc, "RANGE_RECORDS", 300)
+    manifest = warc.write_archives(spark.createDataFrame(rows, SCHEMA).coalesce(1), folder)
+    found = manifest.groupBy("archive").count().collect()
+    assert len(found) > 2 and manifest.count() > len(found)
+    got = warc.read_archives(spark, manifest, folder).collect()
+    assert sorted((r.page_id, r.url) for r in got) == [(i, f"u{i}") for i in range(3000)]
+
+
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -13,8 +13,8 @@ Records with equal payloads: the one with the largest page_id is a response, the
 
 Defined results: a null html is the empty payload; empty payloads are equal payloads like any others; a null page_id
 sorts below all others; repeated rows (the same page_id twice with one html) are all responses where that page_id is
-the largest; an empty table gives an empty result; other columns are neither read nor
-returned.
+the largest; a very long payload is one record, held by the task that writes or reads it; an empty table gives an empty
+result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialize, partitions, shared_dir
 
 RECORDS, INDEX = "records.warc.gz", "index.cdxj"
-#: Uncompressed payload bytes of an archive, about.
-ARCHIVE_BYTES = 32 << 20
+#: Uncompressed bytes of an archive's records, about, and those of a record besides its payload and URL.
+ARCHIVE_BYTES, RECORD_BYTES = 32 << 20, 512
 #: Records that one reading task takes from an archive at a time.
 RANGE_RECORDS = 2000
 
@@ -59,13 +60,18 @@ def payload_digest(payload: bytes) -> str:
 # --- writing -------------------------------------------------------------------------------------------------------
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A response with its payload, or a revisit that names the page it refers to."""
+def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+    """A response with its payload, or a revisit that names the page it refers to.
+
+    ``WARC-Page-URL`` is the URL as a JSON text, null and line breaks included; the target URI has neither.
+    """
     revisit = refers_to is not None
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"),
+        ("WARC-Date", date),
         ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")),
+        ("WARC-Page-URL", json.dumps(url)),
         ("WARC-Page-ID", "" if page_id is None else str(page_id)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Payload-Length", str(len(payload))),
@@ -123,13 +129,18 @@ class ZipWriter:
         self._put(struct.pack("<IHHHHIIH", END, 0, 0, n, n, size, start, 0))
 
 
-def write_archive(folder: str, pages: list[tuple[int | None, str | None, bytes, int | None]]) -> tuple[str, int]:
-    """Write (page_id, url, payload, refers_to) rows as one archive; its path and number of records."""
+def write_archive(
+    folder: str, pages: list[tuple[int | None, str | None, bytes, int | None]], date: str, step: int = RANGE_RECORDS
+) -> tuple[str, list[tuple[int, int]]]:
+    """Write (page_id, url, payload, refers_to) rows as one archive.
+
+    Returns its name, and offset and length of each ``step`` lines of its index.
+    """
     fs, path = open_folder(folder)
     fs.create_dir(path, recursive=True)
     records, lines, at = [], [], 0
     for page_id, url, payload, refers_to in pages:
-        packed = gzip.compress(warc_record(page_id, url, payload, payload_digest(payload), refers_to), 6, mtime=0)
+        packed = gzip.compress(warc_record(page_id, url, payload, payload_digest(payload), refers_to, date), 6, mtime=0)
         lines.append(json.dumps({"url": url, "offset": at, "length": len(packed)}).encode() + b"\n")
         records.append(packed)
         at += len(packed)
@@ -139,7 +150,12 @@ def write_archive(folder: str, pages: list[tuple[int | None, str | None, bytes,
         archive.add(RECORDS, records)
         archive.add(INDEX, lines)
         archive.close()
-    return name.rpartition("/")[2], len(records)
+    ranges, start = [], 0
+    for lo in range(0, len(lines), step):
+        size = sum(map(len, lines[lo : lo + step]))
+        ranges.append((start, size))
+        start += size
+    return name.rpartition("/")[2], ranges
 
 
 # --- reading -------------------------------------------------------------------------------------------------------
@@ -211,10 +227,10 @@ def stored_start(file: pa.NativeFile, member: Member) -> int:
     return member.header + 30 + head[9] + head[10]
 
 
-def read_index(file: pa.NativeFile) -> tuple[int, list[dict]]:
-    """Start of the records member, and the index lines."""
+def read_index(file: pa.NativeFile, offset: int = 0, size: int | None = None) -> tuple[int, list[dict]]:
+    """Start of the records member, and the index lines in a range of bytes, all by default."""
     members = {m.name: m for m in directory(file)}
-    lines = _at(file, stored_start(file, members[INDEX]), members[INDEX].size)
+    lines = _at(file, stored_start(file, members[INDEX]) + offset, members[INDEX].size - offset if size is None else size)
     return stored_start(file, members[RECORDS]), [json.loads(x) for x in lines.splitlines()]
 
 
@@ -248,27 +264,34 @@ def with_references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
-    """Write the pages into ZIP archives below ``folder``; the manifest (archive, n_records), itself written there."""
+    """Write the pages into ZIP archives below ``folder``; the manifest (archive, index_at, index_bytes), a range of an
+    archive's index in each row, is itself written to the shared folder."""
+    limit, step = ARCHIVE_BYTES, RANGE_RECORDS
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")  # one for the job: a task that runs twice writes the same
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            name, n = write_archive(folder, held)
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["archive", "n_records"])
+            name, ranges = write_archive(folder, held, date, step)
+            columns = ([name] * len(ranges), [at for at, _ in ranges], [size for _, size in ranges])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)],
+                ["archive", "index_at", "index_bytes"],
+            )
 
         for batch in batches:
             for page_id, url, payload, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append((page_id, url, payload, None if page_id == last else last))
-                size += len(payload)
-                if size >= ARCHIVE_BYTES:
+                size += len(payload) + len(url or "") + RECORD_BYTES
+                if size >= limit:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
     rows = with_references(pages, least_bytes)
-    return materialize(rows.mapInArrow(write, "archive string, n_records bigint"))
+    return materialize(rows.mapInArrow(write, "archive string, index_at bigint, index_bytes bigint"))
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
@@ -276,10 +299,6 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
 
     A task reads a range of an archive's index; a revisit's payload is null.
     """
-    ranges = manifest.select(
-        "archive",
-        F.explode(F.sequence(F.lit(0), F.col("n_records") - 1, F.lit(RANGE_RECORDS))).alias("first"),
-    )
     out = pa.schema(
         [
             ("page_id", pa.int64()),
@@ -295,11 +314,11 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = open_folder(folder)
         for batch in batches:
-            for archive, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for archive, index_at, index_bytes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with fs.open_input_file(f"{path}/{archive}") as file:
-                    start, index = read_index(file)
+                    start, index = read_index(file, index_at, index_bytes)
                     rows, size = [], 0
-                    for line in index[first : first + RANGE_RECORDS]:
+                    for line in index:
                         fields, payload = parse_record(_at(file, start + line["offset"], line["length"]))
                         revisit = fields["WARC-Type"] == "revisit"
                         digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -308,7 +327,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
                         rows.append(
                             {
                                 "page_id": int(fields["WARC-Page-ID"]) if fields["WARC-Page-ID"] else None,
-                                "url": line["url"],
+                                "url": json.loads(fields["WARC-Page-URL"]),
                                 "record_type": fields["WARC-Type"],
                                 "refers_to": int(fields["WARC-Refers-To-Page-ID"]) if revisit else None,
                                 "payload_digest": digest,
@@ -326,7 +345,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str) -> Data
         "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, "
         "payload_bytes bigint, payload binary"
     )
-    return ranges.repartition(partitions(spark)).mapInArrow(read, schema)
+    return manifest.repartition(partitions(spark)).mapInArrow(read, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
