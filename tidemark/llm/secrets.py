@@ -14,7 +14,7 @@ digits, is reported as a secret of kind ``random``.
 Only DataFrame functions are used: matches of a pattern and the pieces between them give positions.
 
 Defined results: null and empty texts have no spans; a candidate that overlaps a known form is not reported again;
-repeated rows are scanned alike; an empty table gives an empty result; ``redacted`` returns the input's columns, and
+repeated rows are scanned alike; a very long text is scanned whole, in one row; an empty table gives an empty result; ``redacted`` returns the input's columns, and
 other columns are carried whatever their names.
 """
 
@@ -47,24 +47,44 @@ RATE = 0.05
 #: Bins of a p-value histogram, over minus its decimal logarithm from 0 to ``DEEPEST``.
 BINS, DEEPEST = 2000, 40.0
 REPLACEMENT = "[REDACTED]"
+#: Matches whose places are added up together.
+BLOCK = 64
 
 _SPAN = "array<struct<start:int,end:int,text:string>>"
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """All matches with their places, leftmost and not overlapping; empty where the pattern isn't found."""
+    """All matches with their places, leftmost and not overlapping; empty where the pattern isn't found.
+
+    Places are running totals of the lengths of matches and of what lies between them: of blocks first, then within each
+    block, so that a text with very many matches costs little more than in proportion.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
 
-    def step(state: Column, pair: Column) -> Column:
-        lo = state["at"] + pair["gap"]
-        hi = lo + F.length(pair["match"])
-        span = F.struct(lo.alias("start"), hi.alias("end"), pair["match"].alias("text"))
-        return F.struct(hi.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    def within(block: Column, begin: Column) -> Column:
+        def step(state: Column, pair: Column) -> Column:
+            lo = state["at"] + pair["gap"]
+            hi = lo + F.length(pair["match"])
+            span = F.struct(lo.alias("start"), hi.alias("end"), pair["match"].alias("text"))
+            return F.struct(hi.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    spans = F.aggregate(pairs, start, step)["spans"]
+        return F.aggregate(block, F.struct(begin.alias("at"), F.array().cast(_SPAN).alias("spans")), step)["spans"]
+
+    def placed(blocks: Column) -> Column:
+        widths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["match"])))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        add = lambda s, w: F.struct((s["at"] + w).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all"))
+        begins = F.aggregate(widths, start, add)["all"]
+        return F.flatten(F.zip_with(blocks, begins, within))
+
+    def blocks(all_: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int"))
+        return F.transform(firsts, lambda i: F.slice(all_, i * BLOCK + 1, F.lit(BLOCK)))
+
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    spans = once(pairs, lambda x: once(blocks(x), placed))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
 
 
@@ -246,16 +266,16 @@ def redacted(documents: DataFrame) -> DataFrame:
     scanned = materialize(scan(documents))
     found = with_spans(scanned, discarded_from(scanned))
     text = F.col("row.text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
         kept = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(state["out"], kept, F.lit(REPLACEMENT)).alias("out"))
+        fresh = F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(kept, F.lit(REPLACEMENT))).alias("out"))
         return F.when(s["start"] >= state["at"], fresh).otherwise(
             F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
         )
 
-    done = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    done = F.aggregate("spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
     clean = F.when(F.size("spans") > 0, done).otherwise(text)
     columns = {c: F.col("row")[c] for c in documents.columns}
     columns["text"] = F.col("clean")
