@@ -7,7 +7,7 @@ to fill.
 
 Defined results: null or empty text has no words, so ``base_failed``; a document of a null or unknown language is held
 against the nearest of the known languages' references, or, where there is none, against the mean of its like; repeated
-rows are judged alike; an empty table gives an empty result; other columns are neither read nor returned, whatever their
+rows are judged alike; a very long text is judged whole, as one row; an empty table gives an empty result; other columns are neither read nor returned, whatever their
 names.
 """
 
@@ -47,6 +47,11 @@ MIN_WORDS_FOR_WORDS = 50
 MAX_CLASS_DISTANCE, CLASS_NOISE = 0.2, 1.5
 MAX_WORD_DISTANCE, WORD_NOISE = 0.21, 1.0
 
+#: End of the last plane of letters.
+LAST_CODE = 0x40000
+#: Shares are added up as whole parts of this: sums, and with them verdicts, do not depend on the order of adding.
+SHARE_PARTS = 1 << 20
+
 _WORDS = re.compile(WORD_PATTERN)
 
 VERDICT = (
@@ -57,10 +62,10 @@ VERDICT = (
 
 @lru_cache(maxsize=1)
 def _class_table() -> np.ndarray:
-    """Character class of each code point of the basic plane."""
-    kinds = np.full(65536, CLASSES.index("other"), np.uint8)
+    """Character class of each code point below ``LAST_CODE``, beyond which there are no letters."""
+    kinds = np.full(LAST_CODE + 1, CLASSES.index("other"), np.uint8)
     by_category = {"Ll": 0, "Lo": 0, "Lm": 0, "Mn": 0, "Mc": 0, "Lu": 1, "Lt": 1, "Nd": 2, "Nl": 2, "No": 2, "Zs": 3}
-    for c in range(65536):
+    for c in range(LAST_CODE):
         category = unicodedata.category(chr(c))
         kinds[c] = by_category.get(category, 5 if category[0] == "P" else 6 if category[0] == "S" else 7)
     for c in range(0x09, 0x0E):
@@ -89,7 +94,7 @@ def _word_list(lang: str) -> list[str]:
 
 
 def _histograms(codes: np.ndarray, words: list[str], lang: str) -> tuple[np.ndarray, np.ndarray]:
-    classes = np.bincount(_class_table()[np.minimum(codes, 65535)], minlength=len(CLASSES)).astype(float)
+    classes = np.bincount(_class_table()[np.minimum(codes, LAST_CODE)], minlength=len(CLASSES)).astype(float)
     index = {w: i for i, w in enumerate(_word_list(lang))}
     counts = np.zeros(len(index) + 1)
     for w in words:
@@ -191,18 +196,18 @@ def language_references(documents: DataFrame) -> dict[str, tuple[np.ndarray, np.
                     continue
                 key = _language(lang)
                 for kind, counts in zip(("class", "word"), _histograms(code_points(text), words, key), strict=True):
-                    share = _share(counts)
+                    share = np.rint(_share(counts) * SHARE_PARTS).astype(np.int64)
                     sums[key, kind] = sums[key, kind] + share if (key, kind) in sums else share
-            rows = [(k, kind, i, float(v)) for (k, kind), total in sums.items() for i, v in enumerate(total)]
+            rows = [(k, kind, i, int(v)) for (k, kind), total in sums.items() for i, v in enumerate(total)]
             columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            types = (pa.string(), pa.string(), pa.int32(), pa.float64())
+            types = (pa.string(), pa.string(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["lang", "kind", "bin", "share"]
             )
 
     found = (
         documents.select("text", "lang")
-        .mapInArrow(partial, "lang string, kind string, bin int, share double")
+        .mapInArrow(partial, "lang string, kind string, bin int, share bigint")
         .groupBy("lang", "kind", "bin")
         .agg(F.sum("share").alias("share"))
         .collect()
