@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import MINUTE
 from tidemark.operators import bars, observe
-from tidemark.plans import oracle
+from tidemark.plans import ingest, oracle
 from tidemark.plans import queries as plans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +23,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(plans.ALL)
+    return plans.ALL | ingest.ALL
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle.ALL)
+    return oracle.ALL | ingest.ORACLE

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +53,24 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.mapInArrow(lines, "file string, line_no long, line string").filter(F.trim("line") != "")
 
 
+def write_lines(lines: DataFrame, folder: str) -> DataFrame:
+    """Write (file, line_no, line) as one CSV file for each name below ``folder``; (path, lines) of what was written.
+
+    A file is a month of a series, so it is written whole by the task that has it.
+    """
+
+    def write(group: pa.Table) -> pa.Table:
+        fs, path = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        fs.create_dir(path, recursive=True)
+        ordered = group.sort_by("line_no")
+        name = ordered.column("file")[0].as_py()
+        with fs.open_output_stream(f"{path}/{name}") as out:
+            out.write("".join(f"{x}\n" for x in ordered.column("line").to_pylist()).encode())
+        return pa.table({"path": [f"{folder}/{name}"], "lines": pa.array([group.num_rows], pa.int64())})
+
+    return lines.select("file", "line_no", "line").groupBy("file").applyInArrow(write, "path string, lines long")
+
+
 def _is_header(columns: tuple[str, ...]) -> Column:
     """True for a header line; a first line that is neither header nor data fails the run."""
     first = (F.col("line_no") == 1) & ~F.get(F.split("line", ","), 0).rlike(r"^\s*-?\d+\s*$")
@@ -149,6 +168,13 @@ def minute_grid(found: DataFrame, lo: int, hi: int) -> DataFrame:
     return grid.join(found.drop("file"), "t", "left").withColumn("status", F.coalesce("status", F.lit(MISSING)))
 
 
+def coverage_grid(found: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Every minute of [lo, hi) for every file: (file, t, status)."""
+    files = found.select("file").distinct()
+    grid = files.select("file", F.explode(F.sequence(F.lit(lo), F.lit(hi - MINUTE), F.lit(MINUTE))).alias("t"))
+    return grid.join(found.select("file", "t", "status"), ["file", "t"], "left").withColumn("status", F.coalesce("status", F.lit(MISSING)))
+
+
 def funding_rows(lines: DataFrame) -> DataFrame:
     """Funding rows with ``problem``."""
     rows = lines.filter(~_is_header(FUNDING_COLUMNS)).select("file", "line_no", F.split("line", ",").alias("f"))

@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below the session's ``spark.checkpoint.dir`` and read back.
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name below the session's ``spark.checkpoint.dir``.
 
-    It cuts the lineage: what follows is planned over a table with known size, and a lost executor costs no more than
-    the steps since. Where the setting is unset (one machine, tests) a folder in /tmp is set.
+    Where the setting is unset (one machine, tests) a folder in /tmp is set.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back.
+
+    It cuts the lineage: what follows is planned over a table with known size, and a lost executor costs no more than
+    the steps since.
+    """
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
