@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.bars import COMPLETE
+from tidemark.operators.search import chain
+from tidemark.sources.shared import materialize
 
 
 @dataclass(frozen=True)
@@ -162,19 +164,20 @@ def decisions(legs: DataFrame, observed: DataFrame, rules: Rules = Rules()) -> D
 def one_slot(rows: DataFrame, start: str, end: str, holds: Column) -> DataFrame:
     """Which rows a single slot of each series takes: a row that holds it keeps it until its end, inclusive.
 
-    Rows without an end hold it for good. A row that finds the slot taken is ``SKIPPED_BUSY``. One ordered fold over the
-    rows of a series, in the JVM; a series has as many rows as it has legs, not bars.
+    Rows without an end hold it for good. A row that finds the slot taken is ``SKIPPED_BUSY``. Who comes after a row that
+    has the slot is the first one to start after its end, whoever had it before; the takers are that chain.
     """
-    item = F.struct(F.col(start).alias("at"), F.col("leg_id").alias("leg_id"), F.coalesce(end, F.lit((1 << 62))).alias("until"), holds.alias("holds"))
-    folded = rows.groupBy("series").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    begin = F.struct(F.lit(-(1 << 62)).cast("long").alias("busy"), F.array().cast("array<string>").alias("taken"))
-
-    def step(state: Column, x: Column) -> Column:
-        free = x["at"] > state["busy"]
-        return F.struct(
-            F.when(free & x["holds"], x["until"]).otherwise(state["busy"]).alias("busy"),
-            F.when(free, F.concat(state["taken"], F.array(x["leg_id"]))).otherwise(state["taken"]).alias("taken"),
-        )
-
-    taken = folded.select("series", F.explode(F.aggregate("items", begin, step)["taken"]).alias("leg_id")).withColumn("free", F.lit(True))
+    order = Window.partitionBy("series").orderBy(start, "leg_id")
+    until = F.when(holds, F.coalesce(end, F.lit(1 << 62)))
+    ranked = materialize(rows.select("series", "leg_id", F.col(start).alias("at"), F.row_number().over(order).cast("long").alias("idx"), until.alias("until")))
+    # How many rows have started by the end of each: starts and ends in one order, starts first.
+    starts = ranked.select("series", F.col("at").alias("when"), F.lit(0).alias("is_end"), F.lit(None).cast("long").alias("of"))
+    ends = ranked.filter("until is not null").select("series", F.col("until").alias("when"), F.lit(1).alias("is_end"), F.col("idx").alias("of"))
+    upto = F.sum(1 - F.col("is_end")).over(Window.partitionBy("series").orderBy("when", "is_end"))
+    begun = starts.unionByName(ends).withColumn("begun", upto).filter("is_end = 1").select("series", F.col("of").alias("idx"), "begun")
+    last = ranked.groupBy("series").agg(F.max("idx").alias("last"))
+    links = ranked.join(begun, ["series", "idx"], "left").join(last, "series")
+    then = F.greatest(F.col("idx"), F.coalesce("begun", F.lit(0))) + 1
+    links = links.select("series", "idx", F.when(then <= F.col("last"), then).alias("next"))
+    taken = ranked.join(chain(links, ["series"]), ["series", "idx"]).select("series", "leg_id", F.lit(True).alias("free"))
     return rows.join(taken, ["series", "leg_id"], "left").withColumn("slot", F.when(F.col("free"), "TAKEN").otherwise("SKIPPED_BUSY")).drop("free")

@@ -15,7 +15,7 @@ from tidemark.functions.measures import strict_sum
 from tidemark.functions.scalars import MINUTE
 from tidemark.operators.asof import interval_join
 from tidemark.operators.bars import COMPLETE
-from tidemark.operators.decisions import Rules, by_sign
+from tidemark.operators.decisions import Rules, by_sign, one_slot
 
 
 def entries(calls: DataFrame, observed: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -107,6 +107,32 @@ def trades(entered: DataFrame, observed: DataFrame, rules: Rules = Rules()) -> D
     return economics(rows, rules)
 
 
+def gated(decided: DataFrame, done: DataFrame) -> DataFrame:
+    """Legs through the one slot of their series: a leg that is filled holds it until its exit, another until its end.
+
+    What starts while the slot is held is SKIPPED_BUSY and has no trade. A trade that a data gap leaves unresolved halts
+    its series: legs that start after the gap are NOT_EVALUATED.
+    """
+    trade = done.select("series", "leg_id", "entry_at", "exit_at", "reason", "net", F.lit(True).alias("filled"))
+    met = decided.join(trade, ["series", "leg_id"], "left")
+    halts = F.coalesce(F.col("reason") == "UNRESOLVED_DATA_GAP", F.lit(False)) | (F.col("filled") & F.col("exit_at").isNull())
+    until = F.when(F.col("filled"), F.when(~halts, F.col("exit_at"))).otherwise(F.col("ended_at"))
+    held = one_slot(met.withColumn("until", until), "leg_t1", "until", F.col("recognized"))
+    taken = F.col("slot") == "TAKEN"
+    gap = F.min(F.when(taken & halts, F.col("exit_at"))).over(Window.partitionBy("series"))
+    late = ~taken & (F.col("leg_t1") > gap)
+    out = held.withColumn("slot", F.when(late, "NOT_EVALUATED").otherwise(F.col("slot")))
+    return out.select("*", *[F.when(taken, F.col(c)).alias(f"taken_{c}") for c in ("entry_at", "exit_at", "reason", "net")])
+
+
+def by_exit(trades: DataFrame) -> DataFrame:
+    """Trades by exit reason and by where the stop at the exit came from: INITIAL or TRAILED."""
+    origin = F.when(F.col("final_stop") == F.col("stop0"), "INITIAL").when(F.col("final_stop").isNotNull(), "TRAILED")
+    return trades.groupBy("reason", origin.alias("stop_origin")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("net").alias("resolved"), strict_sum(F.col("net")).alias("net"), F.avg("net_over_risk").alias("mean_over_risk")
+    )
+
+
 def economics(trades: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Result, fees and slippage of each trade; ``net`` is null where there is no exit price. Stress reprices it."""
     d, q = F.col("d"), F.col("qty")

@@ -603,7 +603,25 @@ ALL = {
       walk AS (SELECT series, rn, leg_id, true AS free, CASE WHEN against IS NULL THEN coalesce(ended_at, 4611686018427387904) ELSE -4611686018427387904 END AS busy FROM ord WHERE rn = 1
         UNION ALL SELECT o.series, o.rn, o.leg_id, o.leg_t1 > w.busy, CASE WHEN o.leg_t1 > w.busy AND o.against IS NULL THEN coalesce(o.ended_at, 4611686018427387904) ELSE w.busy END FROM walk w JOIN ord o ON o.series = w.series AND o.rn = w.rn + 1)
       SELECT o.series, o.leg_id, o.leg_t1, o.outcome, CASE WHEN w.free THEN 'TAKEN' ELSE 'SKIPPED_BUSY' END AS slot FROM ord o JOIN walk w ON w.series = o.series AND w.rn = o.rn""",
-    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    ),
+    "gated_ledger": _with(
+        [*_OBS, _LEGS, _ENTRY, _EXIT],
+        """, hold AS (
+        SELECT d.*, t.entry_at, t.exit_at, t.reason, t.net, t.leg_id IS NOT NULL AND (t.exit_at IS NULL OR t.reason = 'UNRESOLVED_DATA_GAP') AS halts,
+          CASE WHEN t.leg_id IS NULL THEN d.ended_at WHEN t.reason <> 'UNRESOLVED_DATA_GAP' THEN t.exit_at END AS until, row_number() OVER (PARTITION BY d.series ORDER BY d.leg_t1, d.leg_id) AS rn
+        FROM dec d LEFT JOIN trd t ON t.series = d.series AND t.leg_id = d.leg_id),
+      walk AS (SELECT series, rn, true AS free, CASE WHEN against IS NULL THEN coalesce(until, 4611686018427387904) ELSE -4611686018427387904 END AS busy FROM hold WHERE rn = 1
+        UNION ALL SELECT o.series, o.rn, o.leg_t1 > w.busy, CASE WHEN o.leg_t1 > w.busy AND o.against IS NULL THEN coalesce(o.until, 4611686018427387904) ELSE w.busy END FROM walk w JOIN hold o ON o.series = w.series AND o.rn = w.rn + 1),
+      gap AS (SELECT h.series, min(h.exit_at) AS at FROM hold h JOIN walk w ON w.series = h.series AND w.rn = h.rn WHERE w.free AND h.halts GROUP BY 1)
+      SELECT h.series, h.leg_id, h.leg_t1, h.outcome, CASE WHEN w.free THEN 'TAKEN' WHEN h.leg_t1 > g.at THEN 'NOT_EVALUATED' ELSE 'SKIPPED_BUSY' END AS slot, CASE WHEN w.free THEN h.entry_at END AS taken_entry_at,
+        CASE WHEN w.free THEN h.exit_at END AS taken_exit_at, CASE WHEN w.free THEN h.reason END AS taken_reason, CASE WHEN w.free THEN round(h.net, 6) END AS taken_net
+      FROM hold h JOIN walk w ON w.series = h.series AND w.rn = h.rn LEFT JOIN gap g ON g.series = h.series""",
+    ),
+    "exit_groups": _with(
+        [*_OBS, _LEGS, _ENTRY, _EXIT],
+        """SELECT reason, CASE WHEN final_stop = sp THEN 'INITIAL' WHEN final_stop IS NOT NULL THEN 'TRAILED' END AS stop_origin, count(*) AS n, count(net) AS resolved,
+      round(CASE WHEN count(net) = count(*) THEN sum(net) END, 6) AS net, round(avg(net / (qty * risk0)), 6) AS mean_over_risk FROM (SELECT t.*, x.sp FROM trd t JOIN dec x ON x.series = t.series AND x.leg_id = t.leg_id) GROUP BY 1, 2""",
+    ),
     "entry_outcomes": _with([*_OBS, _LEGS, _ENTRY], "SELECT series, entry_outcome, count(*) AS n FROM ent GROUP BY 1, 2"),
     "ledger_exits": _with(
         [*_OBS, _LEGS, _ENTRY, _EXIT],

@@ -513,6 +513,23 @@ def ledger_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("series", "leg_id", "entry_at", "exit_at", "reason", "both", *r6(*names))
 
 
+def _trades(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found, seen = _decided(spark, sf_dir)
+    found = materialize(found)
+    return found, materialize(ledger.trades(materialize(ledger.entries(found, seen, LOOSE)), seen, LOOSE))
+
+
+def gated_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leg with what the slot of its series made of it, and the trade of those that took it."""
+    held = ledger.gated(*_trades(spark, sf_dir))
+    return held.select("series", "leg_id", "leg_t1", "outcome", "slot", "taken_entry_at", "taken_exit_at", "taken_reason", *r6("taken_net"))
+
+
+def exit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades by the reason of their exit and the origin of their stop."""
+    return ledger.by_exit(_trades(spark, sf_dir)[1]).select("reason", "stop_origin", "n", "resolved", *r6("net", "mean_over_risk"))
+
+
 def entry_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, seen = _decided(spark, sf_dir)
     return ledger.entries(found, seen, LOOSE).groupBy("series", "entry_outcome").agg(F.count(F.lit(1)).alias("n"))
@@ -711,7 +728,7 @@ ALL = {
         series_certification, first_per_category, describe_by_group, grouping_sets_domain_fill, trade_stats, drawdown_curve,
         losing_streak, concentration_top5, cashflow_by_month, null_poisoning_sum, stock_flow_periods, duration_status,
         duplicate_policy, partition_pruned_month, step_rounding, interval_bounds, iso_times, semi_anti_activity, changed_rows,
-        reconcile_partitions, downsampled_curve, leg_decisions, slot_greedy, ledger_exits, entry_outcomes,
+        reconcile_partitions, downsampled_curve, leg_decisions, slot_greedy, ledger_exits, gated_ledger, exit_groups, entry_outcomes,
         average_cost_accounting, replay_state, lifecycle_ledger, lifecycle_movements, lifecycle_violations, bar_violations,
         observation_violations, outcome_cross_check, version_projection, attempt_flow, attempt_snapshots, attempt_cells, value_paths,
         holding_costs, period_table, longest_movements, lifecycle_periods, lifecycle_judgements,
