@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import asof, bars
+from tidemark.operators import asof, bars, outcomes, verify
 from tidemark.sources import market, publish
 from tidemark.streaming import live
 
@@ -155,6 +155,45 @@ def test_interval_join_and_overlap(spark):
     assert {r.id for r in asof.overlapping(spans, windows, "lo", "hi", "a", "b", 16).collect()} == {1, 3}
 
 
+def test_open_spans_overlap(spark):
+    spans = spark.createDataFrame([(10, None, 1), (30, None, 2), (0, 5, 3)], "lo long, hi long, id int")
+    windows = spark.createDataFrame([(20, 25)], "a long, b long")
+    assert [r.id for r in asof.overlapping(spans, windows, "lo", "hi", "a", "b", 8).collect()] == [1]
+    assert asof.overlapping(spans, windows.limit(0), "lo", "hi", "a", "b", 8).count() == 0
+
+
+def test_case_windows_hold_the_bars_around(spark):
+    rows = [("a", t, 1.0, 2.0, 0.5, float(t)) for t in range(1, 60)]
+    frame = spark.createDataFrame(rows, "series string, t1 long, o double, h double, l double, c double")
+    cases = spark.createDataFrame([("a", 7, 20), ("a", 8, 59), ("b", 9, 20)], "series string, case_id int, at long")
+    got = {r.case_id: r for r in publish.case_windows(cases, frame, ["series"], "at", 5, 3).collect()}
+    assert set(got) == {7, 8}
+    assert [x.t1 for x in got[7].known] == [16, 17, 18, 19, 20] and [x.t1 for x in got[7].later] == [21, 22, 23]
+    assert [x.t1 for x in got[8].later] == []
+
+
+def test_projections_change_only_what_they_say(spark):
+    before = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id int, k string, v double")
+    same = before.withColumn("v", F.col("v") + 1)
+    assert verify.unchanged(before, same, ["v"]).count() == 0
+    other = same.withColumn("k", F.when(F.col("id") == 2, "c").otherwise(F.col("k")))
+    assert {(r.id, r.side) for r in verify.unchanged(before, other, ["v"]).collect()} == {(2, "before"), (2, "after")}
+    assert [r[0] for r in spark.range(1).select(outcomes.origins(0, 100, 25)).collect()] == [0, 25, 50, 75]
+
+
+def test_late_ticks_are_counted(spark, tmp_path):
+    times = [0, 600, 1200, 3600], [4000], [4600, 10, 20]  # late is what lies behind the watermark that the batch before had
+    for i, part in enumerate(times):
+        rows = [("a", t, 1.0, 1.0) for t in part]
+        frame = spark.createDataFrame(rows, "series string, t long, price double, qty double").withColumn("ts", F.timestamp_seconds(F.col("t") + 1_700_000_000)).drop("t")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{i}"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    query = live.stream_bars(stream, "10 minutes", "1 minute").writeStream.format("memory").queryName("live_late").outputMode("append").start()
+    query.processAllAvailable()
+    assert live.late_ticks(query) >= 1
+    query.stop()
+
+
 def test_stream_bars_match_batch(spark, tmp_path):
     ticks = spark.range(2000).select(
         F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("series"), F.timestamp_seconds(F.col("id") * 7 + 1_700_000_000).alias("ts"),

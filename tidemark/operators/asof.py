@@ -46,10 +46,14 @@ def interval_join(
 
 
 def overlapping(spans: DataFrame, windows: DataFrame, low: str, high: str, w_low: str, w_high: str, bucket: int) -> DataFrame:
-    """Spans (low, high) that overlap any window (w_low, w_high), each once."""
-    s = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.col(high) / bucket))))
+    """Spans (low, high) that overlap any window (w_low, w_high), each once; a span without an end is still open."""
+    last = windows.agg(F.max(w_high)).first()[0]
+    if last is None:
+        return spans.limit(0)
+    end = F.greatest(F.col(low), F.least(F.coalesce(high, F.lit(last)), F.lit(last)))
+    s = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(end / bucket))))
     w = windows.select(w_low, w_high).withColumn("__b", F.explode(F.sequence(F.floor(F.col(w_low) / bucket), F.floor(F.col(w_high) / bucket))))
-    hit = s.join(w, (s["__b"] == w["__b"]) & (s[high] > w[w_low]) & (s[low] < w[w_high]), "left_semi")
+    hit = s.join(w, (s["__b"] == w["__b"]) & (s[high].isNull() | (s[high] > w[w_low])) & (s[low] < w[w_high]), "left_semi")
     return hit.drop("__b").distinct()
 
 

@@ -7,12 +7,15 @@ by manifests only: a folder without one is a run that did not finish.
 from __future__ import annotations
 
 import json
+from datetime import UTC, datetime
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import canonical_json, identity
+from tidemark.operators.asof import interval_join
 from tidemark.operators.summary import flatten
 
 SCHEMA_VERSION = 1
@@ -33,9 +36,15 @@ def content_hash(df: DataFrame) -> str:
 
 
 def publish(results: dict[str, DataFrame], base: str, config: dict[str, Any], inputs: dict[str, str]) -> str:
-    """Write each result as Parquet below ``base``/run id, then the manifest. Returns the run id."""
+    """Write each result as Parquet below ``base``/run id, then the manifest. Returns the run id.
+
+    A run that has a manifest is finished and is left as it is, so that nobody reads half of another under it. What is
+    written without one is nobody's yet. A copy of the manifest keeps the time of the run in its name.
+    """
     spark = next(iter(results.values())).sparkSession
     run = identity({"config": config, "inputs": inputs})[:16]
+    if not catalogue(spark, base).filter(F.col("run") == run).isEmpty():
+        return run
     datasets = {}
     for name, df in results.items():
         path = f"{base}/{run}/{name}"
@@ -44,13 +53,18 @@ def publish(results: dict[str, DataFrame], base: str, config: dict[str, Any], in
         datasets[name] = {"path": name, "rows": back.count(), "hash": content_hash(back), "schema": back.schema.simpleString()}
     manifest = {"schema": SCHEMA_VERSION, "run": run, "config": config, "inputs": inputs, "datasets": datasets}
     text = canonical_json(manifest).decode()
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/{run}/manifest")
+    stated = spark.createDataFrame([(text,)], "value string").coalesce(1)
+    stated.write.mode("overwrite").text(f"{base}/{run}/history/{datetime.now(UTC):%Y%m%dT%H%M%SZ}")
+    stated.write.mode("overwrite").text(f"{base}/{run}/manifest")
     return run
 
 
 def catalogue(spark: SparkSession, base: str) -> DataFrame:
-    """(run, dataset, rows, hash) of every finished run."""
-    manifests = spark.read.text(f"{base}/*/manifest")
+    """(run, dataset, rows, hash) of every finished run; none where nothing has been published."""
+    try:
+        manifests = spark.read.text(f"{base}/*/manifest")
+    except AnalysisException:  # there is no such path
+        manifests = spark.createDataFrame([], "value string")
     kind = "run string, schema int, datasets map<string, struct<rows:bigint,hash:string>>"
     rows = manifests.select(F.from_json("value", kind).alias("m")).filter(F.col("m.schema") == SCHEMA_VERSION)
     return rows.select("m.run", F.explode("m.datasets").alias("dataset", "d")).select("run", "dataset", "d.rows", "d.hash")
@@ -73,8 +87,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def case_windows(cases: DataFrame, bars: DataFrame, by: list[str], at: str, before: int, after: int) -> DataFrame:
     """The bars around each case, in order, known before its time and after apart; computed bars are cut, not recomputed."""
-    near = cases.select(*by, "case_id", F.col(at).alias("__at"))
-    met = bars.join(near, by).filter((F.col("t1") > F.col("__at") - before) & (F.col("t1") <= F.col("__at") + after))
+    spans = cases.select(*by, "case_id", F.col(at).alias("__at"), (F.col(at) - before + 1).alias("__lo"), (F.col(at) + after).alias("__hi"))
+    met = interval_join(bars.select(*by, "t1", "o", "h", "l", "c"), spans, by, "t1", "__lo", "__hi", before + after)
     bar = F.struct("t1", "o", "h", "l", "c")
     return met.groupBy(*by, "case_id").agg(
         F.sort_array(F.collect_list(F.when(F.col("t1") <= F.col("__at"), bar))).alias("known"),
@@ -82,8 +96,8 @@ def case_windows(cases: DataFrame, bars: DataFrame, by: list[str], at: str, befo
     )
 
 
-def markdown(rows: DataFrame, limit: int = 200) -> str:
-    """A small result as a table."""
-    found = rows.limit(limit).collect()
+def markdown(rows: DataFrame) -> str:
+    """A small result as a table, all its rows."""
     lines = [" | ".join(rows.columns), " | ".join("---" for _ in rows.columns)]
-    return "\n".join(f"| {x} |" for x in [*lines, *(" | ".join("" if v is None else f"{v:,.4g}" if isinstance(v, float) else str(v) for v in r) for r in found)])
+    shown = (" | ".join("" if v is None else f"{v:,.4g}" if isinstance(v, float) else str(v) for v in r) for r in rows.toLocalIterator())
+    return "\n".join(f"| {x} |" for x in [*lines, *shown])

@@ -6,16 +6,24 @@ emitted never changes; ticks that come later than that are dropped by Spark and
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.bars import COMPLETE, INCOMPLETE
 
 
+def late_ticks(query: StreamingQuery) -> int:
+    """Ticks that came behind the watermark and were dropped, over the batches whose progress the query still has."""
+    operators = [o for p in query.recentProgress for o in json.loads(p.json)["stateOperators"]]
+    return sum(o.get("numRowsDroppedByWatermark", 0) for o in operators)
+
+
 def stream_bars(ticks: DataFrame, width: str, late: str, min_ticks: int = 1) -> DataFrame:
     """Tumbling bars of streaming ticks (series, ts TIMESTAMP, price, qty), in append mode."""
     window = F.window("ts", width).alias("w")
