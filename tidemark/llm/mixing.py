@@ -189,7 +189,7 @@ def schedule(documents: DataFrame, weights: DataFrame | None = None, block_rows:
     met = counted.join(given, F.col("source").eqNullSafe(F.col("s")), "left")
     blocks = F.ceil(F.col("n") / block_rows).cast("long").alias("blocks")
     sizes = materialize(met.select("source", F.coalesce("part", F.lit(1)).alias("part"), blocks))
-    slots = block_slots(sizes, frame)
+    slots = materialize(block_slots(sizes, frame))  # its size is then known, and rows are not shuffled to meet a small table
     slots = slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "release", "deadline", "slot")
     block = _div(F.col("number"), F.lit(block_rows))
     met = numbered.withColumn("block", block).join(
