@@ -139,6 +139,13 @@ def test_outcomes_of_flat_future(spark):
     assert touched["class"] == "F_BEFORE_A" and (touched.f_bar, touched.g_bar) == (4, 9)
 
 
+def test_outcomes_do_not_depend_on_blocks(spark, monkeypatch):
+    seen = observe.observe(frame(spark, walk(300, 8, gaps={130, 131})))
+    whole = sorted(map(str, outcomes.forward(seen, 16).collect()))
+    monkeypatch.setattr(outcomes, "BLOCK_BARS", 1)  # blocks of 64 bars
+    assert sorted(map(str, outcomes.forward(seen, 16).collect())) == whole and len(whole) == 300
+
+
 def test_strict_sum_and_describe(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 2.0), ("b", 3.0)], "k string, v double")
     got = {r.k: r.s for r in df.groupBy("k").agg(measures.strict_sum(F.col("v")).alias("s")).collect()}

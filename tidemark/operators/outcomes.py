@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.bars import COMPLETE
 
+#: Bars of a block of time at least.
+BLOCK_BARS = 4096
 RIGHT_CENSORED, GAP, MISSING_A, ZERO_A = "RIGHT_CENSORED", "GAP", "MISSING_A", "ZERO_A"
 
 
@@ -19,22 +21,27 @@ def forward(observed: DataFrame, horizon: int) -> DataFrame:
     """For each bar what the next ``horizon`` bars of its series did, in units of ``a``.
 
     The grid is dense, so the future is a frame of rows, not a join. Nothing is stated of an incomplete future: it is
-    flagged RIGHT_CENSORED where the grid ends, GAP where a bar is missing.
+    flagged RIGHT_CENSORED where the grid ends, GAP where a bar is missing. A series is cut into blocks of time, and a
+    block has the first ``horizon`` bars of what follows it as well, so a long series is many tasks.
     """
-    by_time = Window.partitionBy("series").orderBy("t0")
-    future = by_time.rowsBetween(1, horizon)
-    whole = Window.partitionBy("series")
     width = F.col("t1") - F.col("t0")
+    span = max(BLOCK_BARS, 4 * horizon) * width
+    place = lambda t: F.floor(t / span)
+    blocks = F.sequence(place(F.col("t0") - horizon * width), place(F.col("t0")))
+    by_time = Window.partitionBy("series", "__block").orderBy("t0")
+    future = by_time.rowsBetween(1, horizon)
     out = (
-        observed.withColumn("horizon_end", F.col("t1") + horizon * width)
+        observed.withColumn("__block", F.explode(blocks))
+        .withColumn("horizon_end", F.col("t1") + horizon * width)
         .withColumn("valid", F.count_if(F.col("status") == COMPLETE).over(future))
         .withColumn("in_range", F.count(F.lit(1)).over(future))
-        .withColumn("last_t1", F.max("t1").over(whole))
         .withColumn("max_high", F.max("h").over(future))
         .withColumn("min_low", F.min("l").over(future))
         .withColumn("close_after", F.lead("c", horizon).over(by_time))
+        .filter(F.col("__block") == place(F.col("t0")))
+        .drop("__block")
     )
-    censored = F.col("horizon_end") > F.col("last_t1")
+    censored = F.col("in_range") < horizon  # the grid has ended
     gap = F.col("valid") < F.col("in_range")
     flags = F.filter(
         F.array(F.when(censored, RIGHT_CENSORED), F.when(gap, GAP)), lambda x: x.isNotNull()
@@ -54,7 +61,6 @@ def forward(observed: DataFrame, horizon: int) -> DataFrame:
         .withColumn("final", F.when(usable, (F.col("close_after") - c) / a))
         .withColumn("up", F.when(usable, F.greatest(zero, F.col("max_high") - c) / a))
         .withColumn("down", F.when(usable, F.greatest(zero, c - F.col("min_low")) / a))
-        .drop("last_t1")
     )
 
 
