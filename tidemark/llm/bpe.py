@@ -9,8 +9,8 @@ Words travel packed: one compressed block for each chunk and hash range, in the
 number of ranges follows the shuffle partitions, so a range stays as large as a partition when both grow with the
 corpus. A word that is in every chunk costs one entry a chunk, whatever its count in documents.
 
-Defined results: null and empty texts have no tokens; repeated rows are encoded alike; an empty table gives an
-empty result; other columns are neither read nor returned. Lone surrogates cannot be in a Spark string.
+Defined results: null and empty texts have no tokens; repeated rows are encoded alike; a very long text
+is one document of its chunk, which may then be as large as it; an empty table gives an empty result; other columns are neither read nor returned. Lone surrogates cannot be in a Spark string.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ length. Two digests differ by the sum of their quartile steps, a step over all q
 their length steps; the sum is bounded by what unrelated texts reach, so the likeness runs from 0 to 1.
 
 Defined results: null is the empty text; texts under three bytes have no triplets and all buckets in the lowest
-quartile; equal texts have equal digests; after the last document comes the first, so a single document follows
+quartile; equal texts have equal digests; a very long text is counted whole, in parts; after the last document comes the first, so a single document follows
 itself; rows without a doc_id come first, rows with the same doc_id are ordered by text; an empty table gives an
 empty result; other columns are neither read nor returned.
 """

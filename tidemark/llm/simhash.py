@@ -12,7 +12,7 @@ threshold are discarded by the triangle inequality, and survivors are verified.
 its links, not all its pairs. Keys with many members are dealt out as pairs of chunks.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; fewer than three words
-make one shingle; copies share a fingerprint; rows with a null doc_id get a fingerprint but, if alone in a
+make one shingle; copies share a fingerprint; a very long text is hashed whole, in parts; rows with a null doc_id get a fingerprint but, if alone in a
 component, a null component_id; an empty table gives an empty result; other columns are neither read nor returned.
 """
 
