@@ -51,17 +51,15 @@ def _reason(enough: Column) -> Column:
     return F.when(~_complete(), INCOMPLETE_INPUT).when(~enough, INSUFFICIENT_HISTORY)
 
 
-def _over_a(df: DataFrame, name: str, numerator: Column, enough: Column) -> DataFrame:
-    """Column ``name`` = numerator / a with the reason of whatever is missing."""
+def _over_a(name: str, numerator: Column, enough: Column) -> dict[str, Column]:
+    """Columns ``name`` = numerator / a, and the reason of whatever is missing."""
     reason = (
         F.when(~_complete(), INCOMPLETE_INPUT)
         .when(~enough, INSUFFICIENT_HISTORY)
         .when(F.col("a").isNull(), F.col("a_r"))
         .when(F.col("a") == 0, ZERO_DENOMINATOR)
     )
-    return df.withColumn(f"{name}_r", reason).withColumn(
-        name, F.when(F.col(f"{name}_r").isNull(), numerator / F.col("a"))
-    )
+    return {f"{name}_r": reason, name: F.when(reason.isNull(), numerator / F.col("a"))}
 
 
 def volatility(bars: DataFrame, conv: Conventions = Conventions()) -> DataFrame:
@@ -69,25 +67,27 @@ def volatility(bars: DataFrame, conv: Conventions = Conventions()) -> DataFrame:
     before = F.lag("c").over(by_segment())
     tr = F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - before), F.abs(F.col("l") - before))
     enough = F.col("pos") >= conv.tr + 1
+    known = {"tr": F.when(_complete() & before.isNotNull(), tr), "tr_r": _reason(F.col("pos") >= 2)}
+    mean = F.avg("tr").over(by_segment().rowsBetween(1 - conv.tr, 0))
     return (
-        bars.withColumn("tr", F.when(_complete() & before.isNotNull(), tr))
-        .withColumn("tr_r", _reason(F.col("pos") >= 2))
-        .withColumn("a", F.when(enough, F.avg("tr").over(by_segment().rowsBetween(1 - conv.tr, 0))))
-        .withColumn("a_r", _reason(enough))
+        bars.withColumns(known)
+        .withColumns({"a": F.when(enough, mean), "a_r": _reason(enough)})
         .withColumn("a_over_c", F.col("a") / F.col("c"))
     )
 
 
 def averages(bars: DataFrame, conv: Conventions = Conventions()) -> DataFrame:
     """Fast and slow means, their distance, slope and place of the close in units of ``a``, and their crosses."""
-    out = bars
+    means = {}
     for name, n in (("sma_fast", conv.fast), ("sma_slow", conv.slow)):
         mean = F.avg("c").over(by_segment().rowsBetween(1 - n, 0))
-        out = out.withColumn(name, F.when(F.col("pos") >= n, mean)).withColumn(f"{name}_r", _reason(F.col("pos") >= n))
+        means |= {name: F.when(F.col("pos") >= n, mean), f"{name}_r": _reason(F.col("pos") >= n)}
     fast = F.col("sma_fast")
-    out = _over_a(out, "dist", fast - F.col("sma_slow"), F.col("pos") >= conv.slow)
-    out = _over_a(out, "slope", fast - F.lag("sma_fast", conv.lag).over(by_segment()), F.col("pos") >= conv.fast + conv.lag)
-    out = _over_a(out, "place", F.col("c") - fast, F.col("pos") >= max(conv.tr + 1, conv.fast))
+    ratios = (
+        _over_a("dist", fast - F.col("sma_slow"), F.col("pos") >= conv.slow)
+        | _over_a("slope", fast - F.lag("sma_fast", conv.lag).over(by_segment()), F.col("pos") >= conv.fast + conv.lag)
+        | _over_a("place", F.col("c") - fast, F.col("pos") >= max(conv.tr + 1, conv.fast))
+    )
     before, now = F.lag("dist").over(by_segment()), F.col("dist")
     before_r = F.lag("dist_r").over(by_segment())
     enough = F.col("pos") >= conv.slow + 1
@@ -97,17 +97,16 @@ def averages(bars: DataFrame, conv: Conventions = Conventions()) -> DataFrame:
         .when(~enough, INSUFFICIENT_HISTORY)
         .when(now.isNull() | before.isNull(), F.coalesce("dist_r", before_r, F.lit(INSUFFICIENT_HISTORY)))
     )
-    return out.withColumn("cross_r", reason).withColumn("cross", F.when(F.col("cross_r").isNull(), crossed))
+    return bars.withColumns(means).withColumns(ratios).withColumns({"cross_r": reason, "cross": F.when(reason.isNull(), crossed)})
 
 
 def volumes(bars: DataFrame, conv: Conventions = Conventions()) -> DataFrame:
     """Median volume of the bars before, and this bar's volume over it."""
     enough = F.col("pos") >= conv.volume + 1
     median = F.percentile("v", F.lit(0.5)).over(by_segment().rowsBetween(-conv.volume, -1))
-    out = bars.withColumn("v_median", F.when(enough, median)).withColumn("v_median_r", _reason(enough))
-    zero = F.when(F.col("v_median") == 0, ZERO_DENOMINATOR)
-    return out.withColumn("v_ratio_r", F.coalesce("v_median_r", zero)).withColumn(
-        "v_ratio", F.when(F.col("v_ratio_r").isNull(), F.col("v") / F.col("v_median"))
+    reason = F.coalesce("v_median_r", F.when(F.col("v_median") == 0, ZERO_DENOMINATOR))
+    return bars.withColumns({"v_median": F.when(enough, median), "v_median_r": _reason(enough)}).withColumns(
+        {"v_ratio_r": reason, "v_ratio": F.when(reason.isNull(), F.col("v") / F.col("v_median"))}
     )
 
 
@@ -115,28 +114,34 @@ def pivots(bars: DataFrame, conv: Conventions = Conventions()) -> DataFrame:
     """Checks of the bar ``side`` places back, known at this one, and the pivot that it confirms, if any."""
     n, width = conv.side, 2 * conv.side + 1
     enough = F.col("pos") >= width
-    out = bars
-    for name, price, best in (("high_check", "h", F.greatest), ("low_check", "l", F.least)):
-        candidate = F.lag(price, n).over(by_segment())
-        others = best(*[F.lag(price, i).over(by_segment()) if i else F.col(price) for i in range(width) if i != n])
-        beyond = candidate > others if price == "h" else candidate < others
-        state = F.when(beyond, "PIVOT").when(candidate == others, "TIE").otherwise("NOT_EXTREME")
-        out = out.withColumn(name, F.when(enough, state))
-    dual = (F.col("high_check") == "PIVOT") & (F.col("low_check") == "PIVOT")
-    out = out.withColumn("dual", F.coalesce(dual, F.lit(False)))
-    for name in ("high_check", "low_check"):
-        out = out.withColumn(name, F.when(F.col("dual"), "DUAL_AMBIGUOUS").otherwise(F.col(name)))
-    is_high, is_low = F.col("high_check") == "PIVOT", F.col("low_check") == "PIVOT"
-    return (
-        out.withColumn("check_r", _reason(enough))
-        .withColumn("pivot_kind", F.when(is_high, "HIGH").when(is_low, "LOW"))
-        .withColumn("candidate_t0", F.when(enough, F.lag("t0", n).over(by_segment())))
-        .withColumn("candidate_t1", F.when(enough, F.lag("t1", n).over(by_segment())))
-        .withColumn(
-            "pivot_price",
-            F.when(is_high, F.lag("h", n).over(by_segment())).when(is_low, F.lag("l", n).over(by_segment())),
-        )
-    )
+    back = lambda name, i: F.lag(name, i).over(by_segment()) if i else F.col(name)
+    seen = {
+        "check_r": _reason(enough),
+        "candidate_t0": F.when(enough, back("t0", n)),
+        "candidate_t1": F.when(enough, back("t1", n)),
+        "__high": back("h", n),
+        "__low": back("l", n),
+    }
+    for name, price, best in (("__highs", "h", F.greatest), ("__lows", "l", F.least)):
+        seen[name] = best(*[back(price, i) for i in range(width) if i != n])
+
+    def state(candidate: str, others: str, beyond: Column) -> Column:
+        kind = F.when(beyond, "PIVOT").when(F.col(candidate) == F.col(others), "TIE").otherwise("NOT_EXTREME")
+        return F.when(enough, kind)
+
+    high = state("__high", "__highs", F.col("__high") > F.col("__highs"))
+    low = state("__low", "__lows", F.col("__low") < F.col("__lows"))
+    dual = F.coalesce((high == "PIVOT") & (low == "PIVOT"), F.lit(False))
+    out = bars.withColumns(seen).withColumns({"__hs": high, "__ls": low, "dual": dual})
+    is_high, is_low = ~F.col("dual") & (F.col("__hs") == "PIVOT"), ~F.col("dual") & (F.col("__ls") == "PIVOT")
+    return out.withColumns(
+        {
+            "high_check": F.when(F.col("dual"), "DUAL_AMBIGUOUS").otherwise(F.col("__hs")),
+            "low_check": F.when(F.col("dual"), "DUAL_AMBIGUOUS").otherwise(F.col("__ls")),
+            "pivot_kind": F.when(is_high, "HIGH").when(is_low, "LOW"),
+            "pivot_price": F.when(is_high, F.col("__high")).when(is_low, F.col("__low")),
+        }
+    ).drop("__high", "__low", "__highs", "__lows", "__hs", "__ls")
 
 
 def _last(value: Column, until: int = 0) -> Column:
@@ -145,26 +150,24 @@ def _last(value: Column, until: int = 0) -> Column:
 
 def structure(observed: DataFrame) -> DataFrame:
     """UP, DOWN or MIXED by the last two confirmed highs and lows of the segment."""
-    out = observed
+    before, last = {}, {}
     for kind, name in (("HIGH", "high"), ("LOW", "low")):
-        price = F.when(F.col("pivot_kind") == kind, F.col("pivot_price"))
-        before = F.when(F.col("pivot_kind") == kind, _last(price, -1))
-        out = (
-            out.withColumn("__p", price)
-            .withColumn("__b", before)
-            .withColumn(f"{name}_last", _last(F.col("__p")))
-            .withColumn(f"{name}_before", _last(F.col("__b")))
-            .withColumn(f"{name}_t0", _last(F.when(F.col("pivot_kind") == kind, F.col("candidate_t0"))))
-            .withColumn(f"{name}_t1", _last(F.when(F.col("pivot_kind") == kind, F.col("t1"))))
-            .drop("__p", "__b")
-        )
+        own = lambda c, kind=kind: F.when(F.col("pivot_kind") == kind, c)
+        price = own(F.col("pivot_price"))
+        before[f"__{name}"] = own(_last(price, -1))
+        last |= {
+            f"{name}_last": _last(price),
+            f"{name}_before": _last(F.col(f"__{name}")),
+            f"{name}_t0": _last(own(F.col("candidate_t0"))),
+            f"{name}_t1": _last(own(F.col("t1"))),
+        }
     known = F.col("high_before").isNotNull() & F.col("low_before").isNotNull()
     up = (F.col("high_last") > F.col("high_before")) & (F.col("low_last") > F.col("low_before"))
     down = (F.col("high_last") < F.col("high_before")) & (F.col("low_last") < F.col("low_before"))
     state = F.when(up, "UP").when(down, "DOWN").otherwise("MIXED")
-    return out.withColumn("structure", F.when(_complete() & known, state)).withColumn(
-        "structure_r", F.when(~_complete(), INCOMPLETE_INPUT).when(~known, NO_CONFIRMED_PIVOTS)
-    )
+    reason = F.when(~_complete(), INCOMPLETE_INPUT).when(~known, NO_CONFIRMED_PIVOTS)
+    out = observed.withColumns(before).withColumns(last).drop("__high", "__low")
+    return out.withColumns({"structure": F.when(_complete() & known, state), "structure_r": reason})
 
 
 def _sequenced(observed: DataFrame) -> DataFrame:
@@ -174,23 +177,21 @@ def _sequenced(observed: DataFrame) -> DataFrame:
     The first anchor is the state in which the island before ended. A bar belongs to the island of the last pivot.
     """
     kind, price, start = F.col("pivot_kind"), F.col("pivot_price"), Window.unboundedPreceding
-    turned = F.when(kind.isNotNull(), F.coalesce(kind != _last(kind, -1), F.lit(True)))
-    out = observed.withColumn("__turned", turned)
-    out = out.withColumn("island", F.sum(F.coalesce(F.col("__turned").cast("long"), F.lit(0))).over(by_segment()))
+    turned = F.coalesce(F.when(kind.isNotNull(), F.coalesce(kind != _last(kind, -1), F.lit(True))), F.lit(False))
+    out = observed.withColumn("__turned", turned).withColumn("island", F.sum(F.col("__turned").cast("long")).over(by_segment()))
     island = Window.partitionBy("series", "segment", "island").orderBy("t0")
     prior = island.rowsBetween(start, -1)
     beyond = F.when(kind == "HIGH", price > F.max(price).over(prior)).otherwise(price < F.min(price).over(prior))
     action = F.when(F.col("__turned"), "APPEND").when(beyond, "REPLACE").otherwise("KEEP")
-    out = out.withColumn("action", F.when(kind.isNotNull(), action)).withColumn("__kept", F.coalesce(F.col("action") != "KEEP", F.lit(False)))
     anchor = F.struct(kind.alias("kind"), price.alias("price"), F.col("candidate_t0").alias("c0"), F.col("candidate_t1").alias("c1"), F.col("t1").alias("known"))
-    out = out.withColumn("__anchor", F.when(F.col("__kept"), anchor))
+    kept = F.coalesce(F.col("action") != "KEEP", F.lit(False))
     versions = Window.partitionBy("series").orderBy("t0").rowsBetween(start, 0)
     return (
-        out.withColumn("p1", F.last("__anchor", ignorenulls=True).over(island.rowsBetween(start, 0)))
-        .withColumn("__before", _last(F.col("__anchor"), -1))
+        out.withColumn("action", F.when(kind.isNotNull(), action))
+        .withColumns({"__anchor": F.when(kept, anchor), "version": F.sum(kept.cast("long")).over(versions)})
+        .withColumns({"p1": F.last("__anchor", ignorenulls=True).over(island.rowsBetween(start, 0)), "__before": _last(F.col("__anchor"), -1)})
         .withColumn("p0", F.first("__before").over(island.rowsBetween(start, 0)))
-        .withColumn("version", F.sum(F.col("__kept").cast("long")).over(versions))
-        .drop("__turned", "__kept", "__anchor", "__before")
+        .drop("__turned", "__anchor", "__before")
     )
 
 
@@ -206,16 +207,12 @@ def alternation(observed: DataFrame) -> DataFrame:
 def anchors(observed: DataFrame) -> DataFrame:
     """Anchors known at each bar, with u and r: how far the close has gone from the first to the second."""
     out = _sequenced(observed).drop("action", "island")
-    out = out.withColumn("p0", F.when(_complete(), F.col("p0"))).withColumn("p1", F.when(F.col("p0").isNotNull(), F.col("p1")))
+    p0 = F.when(_complete(), F.col("p0"))
+    out = out.withColumns({"p0": p0, "p1": F.when(p0.isNotNull(), F.col("p1"))})
     span = F.col("p1.price") - F.col("p0.price")
-    return (
-        out.withColumn(
-            "anchors_r",
-            F.when(~_complete(), INCOMPLETE_INPUT).when(F.col("p0").isNull(), NO_CONFIRMED_PIVOTS).when(span == 0, ANCHORS_EQUAL),
-        )
-        .withColumn("u", F.when(F.col("anchors_r").isNull(), (F.col("c") - F.col("p0.price")) / span))
-        .withColumn("r", 1 - F.col("u"))
-    )
+    reason = F.when(~_complete(), INCOMPLETE_INPUT).when(F.col("p0").isNull(), NO_CONFIRMED_PIVOTS).when(span == 0, ANCHORS_EQUAL)
+    u = F.when(reason.isNull(), (F.col("c") - F.col("p0.price")) / span)
+    return out.withColumns({"anchors_r": reason, "u": u, "r": 1 - u})
 
 
 def geometry(observed: DataFrame, conv: Conventions = Conventions()) -> DataFrame:

@@ -32,12 +32,16 @@ def forward(observed: DataFrame, horizon: int) -> DataFrame:
     future = by_time.rowsBetween(1, horizon)
     out = (
         observed.withColumn("__block", F.explode(blocks))
-        .withColumn("horizon_end", F.col("t1") + horizon * width)
-        .withColumn("valid", F.count_if(F.col("status") == COMPLETE).over(future))
-        .withColumn("in_range", F.count(F.lit(1)).over(future))
-        .withColumn("max_high", F.max("h").over(future))
-        .withColumn("min_low", F.min("l").over(future))
-        .withColumn("close_after", F.lead("c", horizon).over(by_time))
+        .withColumns(
+            {
+                "horizon_end": F.col("t1") + horizon * width,
+                "valid": F.count_if(F.col("status") == COMPLETE).over(future),
+                "in_range": F.count(F.lit(1)).over(future),
+                "max_high": F.max("h").over(future),
+                "min_low": F.min("l").over(future),
+                "close_after": F.lead("c", horizon).over(by_time),
+            }
+        )
         .filter(F.col("__block") == place(F.col("t0")))
         .drop("__block")
     )
@@ -48,19 +52,20 @@ def forward(observed: DataFrame, horizon: int) -> DataFrame:
     )
     complete = ~censored & ~gap
     usable = complete & (F.col("status") == COMPLETE) & (F.col("a") > 0)
-    for name in ("max_high", "min_low", "close_after"):
-        out = out.withColumn(name, F.when(complete, F.col(name)))
+    out = out.withColumns({name: F.when(complete, F.col(name)) for name in ("max_high", "min_low", "close_after")})
     a_status = (
         F.when(F.col("a").isNull(), F.coalesce("a_r", F.lit("A_UNAVAILABLE"))).when(F.col("a") <= 0, "A_NOT_POSITIVE").otherwise("VALID")
     )
     c, a, zero = F.col("c"), F.col("a"), F.lit(0.0)
-    return (
-        out.withColumn("flags", flags)
-        .withColumn("a_status", a_status)
-        .withColumn("future_complete", complete)
-        .withColumn("final", F.when(usable, (F.col("close_after") - c) / a))
-        .withColumn("up", F.when(usable, F.greatest(zero, F.col("max_high") - c) / a))
-        .withColumn("down", F.when(usable, F.greatest(zero, c - F.col("min_low")) / a))
+    return out.withColumns(
+        {
+            "flags": flags,
+            "a_status": a_status,
+            "future_complete": complete,
+            "final": F.when(usable, (F.col("close_after") - c) / a),
+            "up": F.when(usable, F.greatest(zero, F.col("max_high") - c) / a),
+            "down": F.when(usable, F.greatest(zero, c - F.col("min_low")) / a),
+        }
     )
 
 
