@@ -1,7 +1,7 @@
 """Decisions on movement legs: recognition, reaction, resumption, plan, and one slot for each series.
 
 Each leg is followed on its own over the bars of its life, all legs at once; which legs a single slot could take is
-settled afterwards in one pass over the legs of a series.
+settled afterwards, as a chain of successors.
 """
 
 from __future__ import annotations
