@@ -146,6 +146,8 @@ def leaves(points: DataFrame, shards: int, target: float) -> DataFrame:
     spans = points.agg(*[f(F.col("dims")[i]) for i in range(DIMENSIONS) for f in (F.min, F.max)]).first()
     whole = [max((spans[2 * i + 1] or 0) - (spans[2 * i] or 0), 1e-9) for i in range(DIMENSIONS)]
     placed = points.withColumn("node", F.lit(0)).withColumn("leaves", F.lit(shards))
+    if spans[0] is None:  # no row
+        return placed
     for _ in range(max(0, shards - 1).bit_length()):
         nodes = materialize(_extents(placed, whole))
         for _ in range(REFINEMENTS):
