@@ -60,4 +60,55 @@ SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, f.print AS f
 FROM e JOIN fp f ON f.k = e.k AND f.kind = 0 JOIN fp g ON g.k = e.k AND g.kind = 1 JOIN df de ON de.k = e.k AND de.which = 'e' JOIN df dn ON dn.k = e.k AND dn.which = 'n'
 """
 
-ALL = {"op4_substring_dedup": OP4, "op7_warc_zip": OP7, "op8_quartile_digest": OP8}
+
+def _merkle() -> str:
+    """Trees level by level: a level's digests by run. Seven levels are enough for two million rows of a language."""
+    levels, top = 7, 3
+    crc = (
+        "rule(b, v, k) AS (SELECT b, b, 0 FROM (SELECT unnest(range(256)) AS b) UNION ALL "
+        "SELECT b, CASE WHEN v & 1 = 1 THEN xor(3988292384::BIGINT, v >> 1) ELSE v >> 1 END, k + 1 FROM rule WHERE k < 8), "
+        "crc(t) AS (SELECT list(v ORDER BY b) FROM rule WHERE k = 8), "
+    )
+    fields = lambda text: " || ".join(
+        f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR END" for c in ("doc_id", "source", "lang", "n_chars", text)
+    )
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        crc,
+        "base AS (SELECT doc_id, lang, sha256(" + fields("text") + ") AS leaf, sha256(" + fields(lower) + ") AS small, "
+        "xor(list_reduce([ascii(x)::BIGINT FOR x IN regexp_extract_all(doc_id::VARCHAR, '.')], lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM documents, crc), ",
+        "l0 AS (SELECT dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, "
+        "doc_id, leaf AS d, CASE WHEN h % 3 = 0 THEN small ELSE leaf END AS claim FROM base), ",
+    ]
+
+    def climb(name: str, count: int, key: str) -> None:
+        for k in range(count):
+            parts.append(
+                f"{name}{k + 1} AS (SELECT {key} AS tree, i // 8 AS i, CASE WHEN any_value(s) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d "
+                f"FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS s FROM {name}{k}) GROUP BY 1, 2), "
+            )
+
+    climb("l", levels, "tree")
+    parts.append(f"t0 AS (SELECT 0 AS tree, tree AS i, d FROM l{levels}), ")
+    climb("t", top, "tree")
+    # The digests before and after a row's own in its run, at each level; none where one node is left.
+    before = "f0 AS (SELECT tree, i, doc_id, d AS leaf, claim AS folded, '' AS proof FROM l0), "
+    parts.append(before)
+    steps = [(f"l{k}", 8**k, "f.tree", "f.i") for k in range(levels)] + [(f"t{k}", 8**k, "0", "f.tree") for k in range(top)]
+    for k, (table, size, tree, at) in enumerate(steps):
+        own = f"({at} // {size})"
+        parts.append(
+            f"f{k + 1} AS (SELECT f.tree, f.i, any_value(f.doc_id) AS doc_id, any_value(f.leaf) AS leaf, "
+            f"CASE WHEN any_value(z.s) = 1 THEN any_value(f.folded) ELSE sha256(string_agg(CASE WHEN n.i = {own} THEN f.folded ELSE n.d END, '' ORDER BY n.i)) END AS folded, "
+            f"any_value(f.proof) || coalesce(string_agg(n.d, '' ORDER BY n.i) FILTER (n.i <> {own}), '') AS proof "
+            f"FROM f{k} f JOIN {table} n ON n.tree = {tree} AND n.i // 8 = {own} // 8 JOIN (SELECT tree, count(*) AS s FROM {table} GROUP BY 1) z ON z.tree = {tree} GROUP BY 1, 2), "
+        )
+    # A last run of one node is hashed alone, but what is alone on its level is not.
+    last = len(steps)
+    parts.append(f"done AS (SELECT f.*, l.d AS subroot, r.d AS root FROM f{last} f JOIN l{levels} l ON l.tree = f.tree CROSS JOIN t{top} r) ")
+    return (
+        "WITH RECURSIVE " + "".join(parts) + "SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM done"
+    )
+
+
+ALL = {"op4_substring_dedup": OP4, "op7_warc_zip": OP7, "op8_quartile_digest": OP8, "op11_merkle_manifest": _merkle()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, digest, mixing, oracle, pages, quality, runs, secrets, sharding, simhash, substrings, tokens, warc
+from tidemark.llm import bpe, digest, merkle, mixing, oracle, pages, quality, runs, secrets, sharding, simhash, substrings, tokens, warc
 from tidemark.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proof_query(table(spark, sf_dir, "documents"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
