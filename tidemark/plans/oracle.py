@@ -336,6 +336,11 @@ def _with(parts: list[str], select: str) -> str:
     return "WITH RECURSIVE " + ",".join(p.strip() for p in parts) + "\n" + select
 
 
+def observed_sql(select: str) -> str:
+    """``select`` over obs, the observations of all bars."""
+    return _with(_OBS, select)
+
+
 def r6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
