@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import DAY, floor_day, interval_start
+from tidemark.operators import scan
+from tidemark.sources.shared import materialize
 
 COMPLETE, INCOMPLETE = "COMPLETE", "INCOMPLETE"
 PRICES = ("o", "h", "l", "c")
@@ -20,15 +22,17 @@ def aggregate(ticks: DataFrame, width: int, min_ticks: int = 1) -> DataFrame:
 
     ``t`` is in milliseconds, ``at`` orders ticks. A bar with fewer than ``min_ticks`` ticks is INCOMPLETE.
     """
-    found = ticks.groupBy("series", interval_start(F.col("t"), width).alias("t0")).agg(
+    places = grid(ticks, width).select("series", "t0", *[F.lit(None).cast(ticks.schema[c].dataType).alias(c) for c in ("at", "price", "qty")], F.lit(0).alias("n"))
+    dealt = ticks.select("series", interval_start(F.col("t"), width).alias("t0"), "at", "price", "qty", F.lit(1).alias("n"))
+    found = dealt.unionByName(places).groupBy("series", "t0").agg(  # one shuffle for ticks and grid
         F.min_by("price", "at").alias("o"),
         F.max("price").alias("h"),
         F.min("price").alias("l"),
         F.max_by("price", "at").alias("c"),
         F.sum("qty").alias("v"),
-        F.count(F.lit(1)).alias("ticks"),
+        F.sum("n").alias("ticks"),
     )
-    return on_grid(found, grid(ticks, width), width, F.col("ticks") >= min_ticks)
+    return priced(found, width, F.col("ticks") >= max(min_ticks, 1))
 
 
 def grid(ticks: DataFrame, width: int) -> DataFrame:
@@ -38,15 +42,15 @@ def grid(ticks: DataFrame, width: int) -> DataFrame:
     return span.select("series", F.explode(F.sequence(floor_day(F.col("lo")), last, F.lit(width))).alias("t0"))
 
 
-def on_grid(found: DataFrame, grid: DataFrame, width: int, complete: Column) -> DataFrame:
-    """Bars for every place of the grid; prices only where complete."""
-    bars = grid.join(found, ["series", "t0"], "left").withColumn("ok", F.coalesce(complete, F.lit(False)))
+def priced(bars: DataFrame, width: int, complete: Column) -> DataFrame:
+    """Bars with their status; prices only where complete."""
+    bars = bars.withColumn("ok", F.coalesce(complete, F.lit(False)))
     return bars.select(
         "series",
         "t0",
         (F.col("t0") + width).alias("t1"),
         F.when(F.col("ok"), COMPLETE).otherwise(INCOMPLETE).alias("status"),
-        F.coalesce("ticks", F.lit(0)).alias("ticks"),
+        "ticks",
         *[F.when(F.col("ok"), F.col(c)).alias(c) for c in (*PRICES, "v")],
     )
 
@@ -84,14 +88,36 @@ def coverage(minutes: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def segments(bars: DataFrame) -> DataFrame:
-    """``segment``: number of the run of complete bars; ``pos``: place in it from 1. Null for incomplete bars."""
-    by_time = Window.partitionBy("series").orderBy("t0")
-    complete = F.col("status") == COMPLETE
-    opened = complete & ~F.coalesce(F.lag("status").over(by_time) == COMPLETE, F.lit(False))
-    numbered = bars.withColumn("segment", F.when(complete, F.sum(opened.cast("long")).over(by_time)))
-    within = Window.partitionBy("series", "segment").orderBy("t0")
-    return numbered.withColumn("pos", F.when(complete, F.row_number().over(within)))
+def with_previous(bars: DataFrame, columns: dict[str, str], block_bars: int = scan.BLOCK_ROWS) -> DataFrame:
+    """``bars`` with columns (new name: name) of the bar that ends where this one begins; null where there is none.
+
+    Bars go to blocks of time, and a bar that ends a block goes to the next one as well, so a long series is many tasks.
+    """
+    if scan.few(bars):
+        whole = Window.partitionBy("series").orderBy("t0")
+        next_to = F.lag("t1").over(whole) == F.col("t0")
+        return bars.withColumns({new: F.when(next_to, F.lag(name).over(whole)) for new, name in columns.items()})
+    place = lambda t: scan.block_of(t, block_bars * (F.col("t1") - F.col("t0")))
+    rows = bars.withColumn(scan.BLOCK, F.explode(F.array_distinct(F.array(place("t0"), place("t1")))))
+    by_time = Window.partitionBy("series", scan.BLOCK).orderBy("t0")
+    follows = F.lag("t1").over(by_time) == F.col("t0")
+    found = rows.withColumns({new: F.when(follows, F.lag(name).over(by_time)) for new, name in columns.items()})
+    return found.filter(F.col(scan.BLOCK) == place("t0")).drop(scan.BLOCK)
+
+
+def segments(bars: DataFrame, block_bars: int = scan.BLOCK_ROWS) -> DataFrame:
+    """``segment``: number of the run of complete bars; ``pos``: place in it from 1. Null for incomplete bars.
+
+    ``bars`` are written once, unless they are few. Segments so far, and the start of the last one, are running values
+    over blocks of time.
+    """
+    width, complete = F.col("t1") - F.col("t0"), F.col("status") == COMPLETE
+    rows = with_previous(bars if scan.few(bars) else materialize(bars), {"__was": "status"}, block_bars)
+    opened = complete & ~F.coalesce(F.col("__was") == COMPLETE, F.lit(False))
+    runs = {"segment": scan.total(opened.cast("long")), "__start": scan.last(F.when(opened, F.col("t0")))}
+    found = scan.running(rows, ["series"], ["t0"], scan.block_of("t0", block_bars * width), runs)
+    pos = ((F.col("t0") - F.col("__start")) / width + 1).cast("int")
+    return found.select(*bars.columns, F.when(complete, F.col("segment")).alias("segment"), F.when(complete, pos).alias("pos"))
 
 
 def daily_partial(bars: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Causal observations of bars: indicators, confirmed pivots, structure, anchors, levels and crossings.
 
 Every column of a bar's row uses bars that end with it or before. Where a value is missing, a column with the suffix
-``_r`` says why. Everything is windows over a segment, so a gap resets it; only the version of the anchor sequence
-and the segment number run on.
+``_r`` says why. What looks back a fixed number of bars is windows over a segment, so a gap resets it. What remembers
+without limit (segments, last pivots, the alternating sequence) is running values over blocks of time, and belongs to a
+segment by its number; only the version of the sequence and the segment number run on.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from tidemark.functions.measures import (
     ZERO_DENOMINATOR,
 )
 from tidemark.functions.scalars import floor_day
-from tidemark.operators.bars import COMPLETE, segments
+from tidemark.operators import asof, scan
+from tidemark.operators.bars import COMPLETE, segments, with_previous
+from tidemark.sources.shared import materialize
 
 
 @dataclass(frozen=True)
@@ -144,69 +147,111 @@ def pivots(bars: DataFrame, conv: Conventions = Conventions()) -> DataFrame:
     ).drop("__high", "__low", "__highs", "__lows", "__hs", "__ls")
 
 
-def _last(value: Column, until: int = 0) -> Column:
-    return F.last(value, ignorenulls=True).over(by_segment().rowsBetween(Window.unboundedPreceding, until))
+#: The memory of a series at a confirmed pivot: last pivots and last anchors of each kind, with the segment they belong to.
+_MEMORY = ("high", "low", "high_anchor", "low_anchor", "version")
 
 
-def structure(observed: DataFrame) -> DataFrame:
+def sequence(observed: DataFrame, block_bars: int = scan.BLOCK_ROWS) -> DataFrame:
+    """Confirmed pivots in order: what each does to the alternating sequence, and what is remembered from it on.
+
+    A run of pivots of one kind is an island. A pivot APPENDs if it begins one, and REPLACEs the end of the sequence if it
+    is beyond all of its kind since the last one of the other kind; else it is kept out (KEEP). All of it is running
+    values over blocks of time: the last pivot of either kind before this one; then the greatest among those with the
+    same predecessor of the other kind; then what all that comes to up to this pivot.
+    """
+    columns = (F.col("pivot_kind").alias("kind"), F.col("pivot_price").alias("price"), F.col("candidate_t0").alias("c0"), F.col("candidate_t1").alias("c1"))
+    rows = _written(observed.filter("pivot_kind is not null").select("series", "segment", "t0", "t1", *columns))
+    found = _marked(rows, block_bars)
+    return _written(found.select("series", "segment", "t0", "t1", "kind", "price", "c0", "c1", F.col("__islands").alias("island"), "action", *_MEMORY))
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    """Rows that several branches read, written unless they are few."""
+    return rows if scan.few(rows) else materialize(rows)
+
+
+def _marked(rows: DataFrame, block_bars: int) -> DataFrame:
+    """Rows with kind, price, c0 and c1 of the pivot that they confirm, if any, with action, island and memory."""
+    kind, block = F.col("kind"), scan.block_of("t0", block_bars * (F.col("t1") - F.col("t0")))
+    scanned = lambda df, runs: scan.running(df, ["series"], ["t0"], block, runs)
+    of = lambda name, value: F.when(kind == name, value)
+    seen = F.struct("segment", "t0", "price")
+    rows = scanned(rows, {"__high": scan.last(of("HIGH", seen), before=True), "__low": scan.last(of("LOW", seen), before=True)})
+    is_high = kind == "HIGH"
+    own, other = F.when(is_high, F.col("__high")).otherwise(F.col("__low")), F.when(is_high, F.col("__low")).otherwise(F.col("__high"))
+    here = lambda x: F.when(x["segment"] == F.col("segment"), x)  # noqa: E731  of this segment only
+    rows = rows.withColumns({"__own": here(own), "__other": F.coalesce(here(other)["t0"], F.lit(-1))})
+    turned = kind.isNotNull() & ~F.coalesce(F.col("__own.t0") > F.col("__other"), F.lit(False))
+    signed = F.when(is_high, F.col("price")).otherwise(-F.col("price"))
+    rows = rows.withColumns({"__turned": turned, "__best": F.struct("segment", F.col("__other").alias("other"), signed.alias("price"))})
+    best = {"__highest": scan.greatest(of("HIGH", F.col("__best")), before=True), "__lowest": scan.greatest(of("LOW", F.col("__best")), before=True)}
+    rows = scanned(_written(rows), best | {"__islands": scan.total(F.col("__turned").cast("long"))})
+    beaten = signed > F.when(is_high, F.col("__highest")).otherwise(F.col("__lowest"))["price"]  # of the island, where none begins
+    action = F.when(F.col("__turned"), "APPEND").when(beaten, "REPLACE").when(kind.isNotNull(), "KEEP")
+    rows = rows.withColumn("action", action)
+    kept = F.coalesce(F.col("action") != "KEEP", F.lit(False))
+    pivot = F.struct("segment", "price", F.col("__own.price").alias("before"), "c0", F.col("t1").alias("known"))
+    anchor = F.when(kept, F.struct("segment", "kind", "price", "c0", "c1", F.col("t1").alias("known")))
+    runs = {
+        "high": scan.last(of("HIGH", pivot)),
+        "low": scan.last(of("LOW", pivot)),
+        "high_anchor": scan.last(of("HIGH", anchor)),
+        "low_anchor": scan.last(of("LOW", anchor)),
+        "version": scan.total(kept.cast("long")),
+    }
+    return scanned(rows, runs)
+
+
+def _here(memory: Column) -> Column:
+    """What is remembered, if it is of this bar's segment."""
+    return F.when(memory["segment"] == F.col("segment"), memory)
+
+
+def _anchors(row: DataFrame) -> DataFrame:
+    """``p1``: the later of the two last anchors of the segment; ``p0``: the other one."""
+    high, low = _here(F.col("high_anchor")), _here(F.col("low_anchor"))
+    bare = lambda x: F.when(x.isNotNull(), F.struct(*[x[n].alias(n) for n in ("kind", "price", "c0", "c1", "known")]))
+    later = F.coalesce(high["known"], F.lit(-1)) > F.coalesce(low["known"], F.lit(-1))
+    return row.withColumns({"p1": F.when(later, bare(high)).otherwise(bare(low)), "p0": F.when(later, bare(low)).otherwise(bare(high))})
+
+
+def remembered(observed: DataFrame, block_bars: int = scan.BLOCK_ROWS) -> DataFrame:
+    """``observed`` with the memory of the last row of ``sequence`` at or before each bar."""
+    if scan.few(observed):
+        names = {"kind": "pivot_kind", "price": "pivot_price", "c0": "candidate_t0", "c1": "candidate_t1"}
+        return _marked(observed.withColumns({n: F.col(c) for n, c in names.items()}), block_bars).select(*observed.columns, *_MEMORY)
+    state = sequence(observed, block_bars).select("series", "t0", "t1", *_MEMORY)
+    found = asof.asof_join(observed, state, ["series"], "t0", "t0", "__", block_bars * (F.col("t1") - F.col("t0")))
+    return found.drop("__t0", "__t1").withColumnsRenamed({f"__{c}": c for c in _MEMORY})
+
+
+def structure(observed: DataFrame, block_bars: int = scan.BLOCK_ROWS) -> DataFrame:
     """UP, DOWN or MIXED by the last two confirmed highs and lows of the segment."""
-    before, last = {}, {}
-    for kind, name in (("HIGH", "high"), ("LOW", "low")):
-        own = lambda c, kind=kind: F.when(F.col("pivot_kind") == kind, c)
-        price = own(F.col("pivot_price"))
-        before[f"__{name}"] = own(_last(price, -1))
-        last |= {
-            f"{name}_last": _last(price),
-            f"{name}_before": _last(F.col(f"__{name}")),
-            f"{name}_t0": _last(own(F.col("candidate_t0"))),
-            f"{name}_t1": _last(own(F.col("t1"))),
-        }
+    return _structured(remembered(observed, block_bars)).drop(*_MEMORY)
+
+
+def _structured(out: DataFrame) -> DataFrame:
+    last = {}
+    for name in ("high", "low"):
+        seen = _here(F.col(name))
+        last |= {f"{name}_last": seen["price"], f"{name}_before": seen["before"], f"{name}_t0": seen["c0"], f"{name}_t1": seen["known"]}
+    out = out.withColumns(last)
     known = F.col("high_before").isNotNull() & F.col("low_before").isNotNull()
     up = (F.col("high_last") > F.col("high_before")) & (F.col("low_last") > F.col("low_before"))
     down = (F.col("high_last") < F.col("high_before")) & (F.col("low_last") < F.col("low_before"))
     state = F.when(up, "UP").when(down, "DOWN").otherwise("MIXED")
     reason = F.when(~_complete(), INCOMPLETE_INPUT).when(~known, NO_CONFIRMED_PIVOTS)
-    out = observed.withColumns(before).withColumns(last).drop("__high", "__low")
     return out.withColumns({"structure": F.when(_complete() & known, state), "structure_r": reason})
 
 
-def _sequenced(observed: DataFrame) -> DataFrame:
-    """The alternating sequence as columns of every bar: action, island, version and the two anchors at each.
-
-    Runs of pivots of one kind are islands; a pivot replaces if it is strictly beyond all before it in its island.
-    The first anchor is the state in which the island before ended. A bar belongs to the island of the last pivot.
-    """
-    kind, price, start = F.col("pivot_kind"), F.col("pivot_price"), Window.unboundedPreceding
-    turned = F.coalesce(F.when(kind.isNotNull(), F.coalesce(kind != _last(kind, -1), F.lit(True))), F.lit(False))
-    out = observed.withColumn("__turned", turned).withColumn("island", F.sum(F.col("__turned").cast("long")).over(by_segment()))
-    island = Window.partitionBy("series", "segment", "island").orderBy("t0")
-    prior = island.rowsBetween(start, -1)
-    beyond = F.when(kind == "HIGH", price > F.max(price).over(prior)).otherwise(price < F.min(price).over(prior))
-    action = F.when(F.col("__turned"), "APPEND").when(beyond, "REPLACE").otherwise("KEEP")
-    anchor = F.struct(kind.alias("kind"), price.alias("price"), F.col("candidate_t0").alias("c0"), F.col("candidate_t1").alias("c1"), F.col("t1").alias("known"))
-    kept = F.coalesce(F.col("action") != "KEEP", F.lit(False))
-    versions = Window.partitionBy("series").orderBy("t0").rowsBetween(start, 0)
-    return (
-        out.withColumn("action", F.when(kind.isNotNull(), action))
-        .withColumns({"__anchor": F.when(kept, anchor), "version": F.sum(kept.cast("long")).over(versions)})
-        .withColumns({"p1": F.last("__anchor", ignorenulls=True).over(island.rowsBetween(start, 0)), "__before": _last(F.col("__anchor"), -1)})
-        .withColumn("p0", F.first("__before").over(island.rowsBetween(start, 0)))
-        .drop("__turned", "__anchor", "__before")
-    )
-
-
-def alternation(observed: DataFrame) -> DataFrame:
+def alternation(observed: DataFrame, block_bars: int = scan.BLOCK_ROWS) -> DataFrame:
     """The alternating sequence of confirmed pivots: APPEND, REPLACE or KEEP, its version and its two anchors."""
-    bare = observed.select("series", "segment", "t0", "t1", "pivot_kind", "pivot_price", "candidate_t0", "candidate_t1")
-    return _sequenced(bare).filter("pivot_kind is not null").select(
-        "series", "segment", "t0", "t1", F.col("pivot_kind").alias("kind"), F.col("pivot_price").alias("price"),
-        F.col("candidate_t0").alias("c0"), F.col("candidate_t1").alias("c1"), "island", "action", "p1", "p0", "version",
-    )
+    return _anchors(sequence(observed, block_bars)).select("series", "segment", "t0", "t1", "kind", "price", "c0", "c1", "island", "action", "p1", "p0", "version")
 
 
-def anchors(observed: DataFrame) -> DataFrame:
+def _anchored(out: DataFrame) -> DataFrame:
     """Anchors known at each bar, with u and r: how far the close has gone from the first to the second."""
-    out = _sequenced(observed).drop("action", "island")
+    out = _anchors(out).withColumn("version", F.coalesce("version", F.lit(0)))
     p0 = F.when(_complete(), F.col("p0"))
     out = out.withColumns({"p0": p0, "p1": F.when(p0.isNotNull(), F.col("p1"))})
     span = F.col("p1.price") - F.col("p0.price")
@@ -276,11 +321,11 @@ def crossings(leveled: DataFrame) -> DataFrame:
     )
 
 
-def observe(bars: DataFrame, conv: Conventions = Conventions()) -> DataFrame:
+def observe(bars: DataFrame, conv: Conventions = Conventions(), block_bars: int = scan.BLOCK_ROWS) -> DataFrame:
     """All measures of each bar; ``bars`` come from ``bars.aggregate``."""
-    out = volatility(segments(bars), conv)
-    out = pivots(volumes(averages(out, conv), conv), conv)
-    return anchors(structure(out))
+    out = volatility(segments(bars, block_bars), conv)
+    out = remembered(_written(pivots(volumes(averages(out, conv), conv), conv)), block_bars)
+    return _anchored(_structured(out)).drop("high", "low", "high_anchor", "low_anchor")
 
 
 def events(observed: DataFrame, sequence: DataFrame, crossed: DataFrame) -> DataFrame:
@@ -296,10 +341,8 @@ def events(observed: DataFrame, sequence: DataFrame, crossed: DataFrame) -> Data
         )
 
     t1, cand = F.col("t1"), F.col("candidate_t1")
-    by_time = Window.partitionBy("series").orderBy("t0")
-    ended = observed.withColumn("__was", F.lag("status").over(by_time)).filter(
-        (F.col("status") != COMPLETE) & (F.col("__was") == COMPLETE)
-    )
+    bare = observed.select("series", "t0", "t1", "status")
+    ended = with_previous(bare, {"__was": "status"}).filter((F.col("status") != COMPLETE) & (F.col("__was") == COMPLETE))
     ties = observed.select("*", F.explode(F.array(F.lit("HIGH"), F.lit("LOW"))).alias("tied")).filter(
         ((F.col("tied") == "HIGH") & (F.col("high_check") == "TIE")) | ((F.col("tied") == "LOW") & (F.col("low_check") == "TIE"))
     )

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import scan
 from tidemark.operators.bars import COMPLETE
 from tidemark.operators.observe import LEVELS, by_segment
+from tidemark.sources.shared import materialize
 
 NEW_VERSION, SEGMENT_RESET, END_OF_STUDY = "NEW_VERSION_SAME_DIRECTION", "SEGMENT_RESET", "END_OF_STUDY"
 
@@ -194,14 +196,19 @@ def nearest_levels(leveled: DataFrame, d: Column) -> DataFrame:
     return leveled.withColumn("ahead", best(1)).withColumn("behind", best(-1))
 
 
-def overlap(spans: DataFrame, by: list[str], low: str, high: str) -> DataFrame:
-    """Peak number of spans [low, high) at once, and how many meet a neighbour; ends come before starts at a tie."""
-    moves = spans.select(*by, F.explode(F.array(F.struct(F.col(low).alias("t"), F.lit(1).alias("step")), F.struct(F.col(high).alias("t"), F.lit(-1).alias("step")))).alias("m"))
-    order = Window.partitionBy(*by).orderBy("m.t", "m.step").rowsBetween(Window.unboundedPreceding, 0)
-    peak = moves.withColumn("open", F.sum("m.step").over(order)).groupBy(*by).agg(F.max("open").alias("peak"))
-    at = Window.partitionBy(*by).orderBy(low, high)
-    meets = (F.col(low) < F.max(high).over(at.rowsBetween(Window.unboundedPreceding, -1))) | (F.col(high) > F.lead(low).over(at))
-    met = spans.withColumn("__m", F.coalesce(meets, F.lit(False))).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("spans"), F.count_if("__m").alias("overlapping")
-    )
+def overlap(spans: DataFrame, by: list[str], low: str, high: str, span: int) -> DataFrame:
+    """Peak number of spans [low, high) at once, and how many meet a neighbour; ends come before starts at a tie.
+
+    Open spans, the latest end before a span and the earliest start after it run over blocks of ``span`` of time.
+    """
+    same = materialize(spans.groupBy(*by, low, high).agg(F.count(F.lit(1)).alias("__n")))
+    ends = F.array(F.struct(F.col(low).alias("t"), F.col("__n").alias("step")), F.struct(F.col(high).alias("t"), (-F.col("__n")).alias("step")))
+    moves = same.select(*by, F.explode(ends).alias("m")).select(*by, "m.t", "m.step")
+    counted = scan.running(moves, by, ["t", "step"], scan.block_of("t", span), {"open": scan.total(F.col("step"))})
+    peak = counted.groupBy(*by).agg(F.max("open").alias("peak"))
+    rows = scan.running(same, by, [low, high], scan.block_of(low, span), {"__until": scan.greatest(F.col(high), before=True)})
+    rows = rows.withColumns({"__low": -F.col(low), "__high": -F.col(high)})  # the order reversed
+    rows = scan.running(rows, by, ["__low", "__high"], scan.block_of("__low", span), {"__next": scan.greatest(F.col("__low"), before=True)})
+    meets = (F.col(low) < F.col("__until")) | (F.col(high) > -F.col("__next")) | ((F.col("__n") > 1) & (F.col(low) < F.col(high)))
+    met = rows.groupBy(*by).agg(F.sum("__n").alias("spans"), F.sum(F.when(meets, F.col("__n")).otherwise(0)).alias("overlapping"))
     return met.join(peak, by)

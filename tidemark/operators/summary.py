@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.measures import describe, share
+from tidemark.functions.scalars import DAY
+from tidemark.operators import scan
+from tidemark.sources.shared import materialize
 
 TOTAL = "TOTAL"
+#: Span of a block of running values, for orders in milliseconds with a few rows a day.
+SPAN = 1024 * DAY
 
 
 def flatten(df: DataFrame) -> DataFrame:
@@ -70,18 +75,22 @@ def trade_stats(df: DataFrame, by: list[str], net: str) -> DataFrame:
     )
 
 
-def drawdown_path(df: DataFrame, by: list[str], order: str, net: str) -> DataFrame:
-    """Running result (null from the first unknown one on), its peak from zero, and the distance to it."""
-    running = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    unknown = F.max(F.col(net).isNull()).over(running)
-    path = df.withColumn("equity", F.when(~unknown, F.sum(net).over(running)))
-    path = path.withColumn("peak", F.greatest(F.lit(0.0), F.max("equity").over(running)))
+def drawdown_path(df: DataFrame, by: list[str], order: str, net: str, span: int = SPAN) -> DataFrame:
+    """Running result (null from the first unknown one on), its peak from zero, and the distance to it.
+
+    ``df`` is written once. Sums and peaks run over blocks of ``span`` of the order.
+    """
+    block = scan.block_of(order, span)
+    runs = {"__unknown": scan.greatest(F.col(net).isNull()), "__sum": scan.total(F.col(net))}
+    path = scan.running(materialize(df), by, [order], block, runs).withColumn("equity", F.when(~F.col("__unknown"), F.col("__sum")))
+    path = scan.running(path.drop("__unknown", "__sum"), by, [order], block, {"__peak": scan.greatest(F.col("equity"))})
+    path = path.withColumn("peak", F.greatest(F.lit(0.0), "__peak")).drop("__peak")
     return path.withColumn("below", F.col("equity") - F.col("peak"))
 
 
-def drawdown(df: DataFrame, by: list[str], order: str, net: str, base: float = 1000.0) -> DataFrame:
+def drawdown(df: DataFrame, by: list[str], order: str, net: str, base: float = 1000.0, span: int = SPAN) -> DataFrame:
     """Largest fall from a peak, in units and in parts per ten thousand of ``base``; null if a result is unknown."""
-    path = drawdown_path(df, by, order, net)
+    path = drawdown_path(df, by, order, net, span)
     missing = F.count_if(F.col("equity").isNull()) > 0
     worst = F.when(~missing, F.least(F.lit(0.0), F.min("below")))
     return path.groupBy(*by).agg(
@@ -90,10 +99,11 @@ def drawdown(df: DataFrame, by: list[str], order: str, net: str, base: float = 1
     )
 
 
-def losing_streak(df: DataFrame, by: list[str], order: str, net: str) -> DataFrame:
+def losing_streak(df: DataFrame, by: list[str], order: str, net: str, span: int = SPAN) -> DataFrame:
     """Longest run of losses: runs are islands between results that are no loss."""
-    at = Window.partitionBy(*by).orderBy(order)
-    rows = df.withColumn("__i", F.count_if(~(F.col(net) < 0)).over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    df = materialize(df)
+    other = F.when(~(F.col(net) < 0), 1).otherwise(0)
+    rows = scan.running(df, by, [order], scan.block_of(order, span), {"__i": scan.total(other)})
     runs = rows.filter(F.col(net) < 0).groupBy(*by, "__i").agg(F.count(F.lit(1)).alias("run"))
     longest = runs.groupBy(*by).agg(F.max("run").alias("run"))
     return df.select(*by).distinct().join(longest, by, "left").select(*by, F.coalesce("run", F.lit(0)).alias("longest"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import measures, scalars
 from tidemark.functions.scalars import DAY, HOUR, MINUTE, epoch_ms
-from tidemark.operators import asof, bars, decisions, ledger, lifecycle, observe, outcomes, population, replay, summary, verify
+from tidemark.operators import asof, bars, decisions, ledger, lifecycle, observe, outcomes, population, replay, scan, summary, verify
 from tidemark.sources.shared import materialize
 
 WIDTH = 90 * MINUTE
@@ -275,7 +275,7 @@ def nearest_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def version_overlap_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = _versions(spark, sf_dir)
-    return population.overlap(found.select("series", "active_from", "retired_at"), ["series"], "active_from", "retired_at")
+    return population.overlap(found.select("series", "active_from", "retired_at"), ["series"], "active_from", "retired_at", 64 * DAY)
 
 
 def asof_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +283,7 @@ def asof_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = observe.pivots(bars.segments(typed_bars(spark, sf_dir))).filter("pivot_kind is not null")
     facts = seen.select("series", F.col("t1").alias("known_at"), F.col("pivot_kind").alias("kind"), F.round("pivot_price", 6).alias("price"))
     asked = ticks(spark, sf_dir).select("series", "t", F.round("price", 6).alias("paid"))
-    return asof.asof_join(asked, facts, ["series"], "t", "known_at", "pivot_")
+    return asof.asof_join(asked, facts, ["series"], "t", "known_at", "pivot_", 8 * DAY)
 
 
 def visible_at(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +294,7 @@ def visible_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_known_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asof.last_known(typed_bars(spark, sf_dir), ["series"], "t0", "c", "known").select("series", "t0", *r6("known"))
+    return asof.last_known(typed_bars(spark, sf_dir), ["series"], "t0", "c", "known", scan.BLOCK_ROWS * WIDTH).select("series", "t0", *r6("known"))
 
 
 def rate_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
