@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import scan
-from tidemark.operators.bars import COMPLETE
-from tidemark.operators.observe import LEVELS, by_segment
+from tidemark.operators import asof, scan
+from tidemark.operators.bars import COMPLETE, with_previous
+from tidemark.operators.observe import LEVELS
 from tidemark.sources.shared import materialize
 
 NEW_VERSION, SEGMENT_RESET, END_OF_STUDY = "NEW_VERSION_SAME_DIRECTION", "SEGMENT_RESET", "END_OF_STUDY"
@@ -61,45 +61,39 @@ def versions(sequence: DataFrame, observed: DataFrame) -> DataFrame:
     )
 
 
-def _counted(observed: DataFrame) -> DataFrame:
-    """Bars with running counts of closes below and above the close before, and the bar before."""
-    before = F.lag("c").over(by_segment())
-    running = by_segment().rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        observed.filter(F.col("status") == COMPLETE)
-        .withColumn("falls", F.sum(F.coalesce((F.col("c") < before).cast("long"), F.lit(0))).over(running))
-        .withColumn("rises", F.sum(F.coalesce((F.col("c") > before).cast("long"), F.lit(0))).over(running))
-        .withColumn("h_prev", F.lag("h").over(by_segment()))
-        .withColumn("l_prev", F.lag("l").over(by_segment()))
-    )
+def _counted(observed: DataFrame, block_bars: int) -> DataFrame:
+    """Complete bars with running counts of closes below and above the close before, and the bar before."""
+    rows = with_previous(observed, {"__c": "c", "h_prev": "h", "l_prev": "l"}, block_bars)
+    step = lambda x: F.coalesce(x.cast("long"), F.lit(0))
+    counts = {"falls": scan.total(step(F.col("c") < F.col("__c"))), "rises": scan.total(step(F.col("c") > F.col("__c")))}
+    return scan.running(rows, ["series"], ["t0"], scan.block_of("t0", block_bars * (F.col("t1") - F.col("t0"))), counts).filter(F.col("status") == COMPLETE)
 
 
-def attempts(versions: DataFrame, observed: DataFrame) -> DataFrame:
+def attempts(versions: DataFrame, observed: DataFrame, block_bars: int = scan.BLOCK_ROWS) -> DataFrame:
     """Attempts with their place in the group.
 
     An attempt needs a close against the movement after the candle of the second anchor and after the last attempt of
     the group. With N the running count of such closes, that is: N is above its value at the anchor, and this is the
-    first trigger of the group with this N.
+    first trigger of the group with this N. At any time at most one version of a side is active, so a bar that triggers a
+    side looks its version up: the last one that began, if it has not ended. No bar meets more than that.
     """
-    bars = _counted(observed)
-    against = lambda d: F.when(d == 1, F.col("falls")).otherwise(F.col("rises"))
-    anchor = bars.select("series", F.col("t0").alias("p1_t0"), F.col("pos").alias("p1_pos"), F.col("falls").alias("f0"), F.col("rises").alias("r0"))
-    known = versions.join(anchor, ["series", "p1_t0"])
-    met = bars.select("series", "segment", "t0", "t1", "pos", "o", "h", "l", "c", "h_prev", "l_prev", "falls", "rises").join(
-        known, ["series", "segment"]
+    bars = _counted(observed.select("series", "segment", "status", "t0", "t1", "pos", "o", "h", "l", "c"), block_bars)
+    width = F.col("t1") - F.col("t0")
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("d"), F.col("falls").alias("n")), F.struct(F.lit(-1).alias("d"), F.col("rises").alias("n")))).alias("s")
+    both = bars.select("series", "segment", "t0", "t1", "pos", "o", "c", "h_prev", "l_prev", sides).select("*", "s.d", "s.n").drop("s")
+    anchor = both.select("series", "d", F.col("t0").alias("p1_t0"), F.col("pos").alias("p1_pos"), F.col("n").alias("n0"), width.alias("width"))
+    known = versions.join(anchor, ["series", "d", "p1_t0"]).select(
+        "series", "d", F.col("segment").alias("in"), "group_id", "version_id", "active_from", "retired_at", "length", "p1_price", "p0_price", "p1_t0", "p1_pos", "n0", "width"
     )
-    d = F.col("d")
-    n = against(d)
-    n0 = F.when(d == 1, F.col("f0")).otherwise(F.col("r0"))
+    known = materialize(known)  # read for carries and for rows
     up = (F.col("c") > F.col("h_prev")) & (F.col("c") > F.col("o"))
     down = (F.col("c") < F.col("l_prev")) & (F.col("c") < F.col("o"))
+    triggers = both.filter(F.when(F.col("d") == 1, up).otherwise(down)).withColumn("width", width)
+    met = asof.asof_join(triggers, known, ["series", "d"], "t1", "active_from", "v_", block_bars * F.col("width"))
+    met = met.withColumnsRenamed({f"v_{c}": c for c in known.columns if c not in ("series", "d", "width")})
     found = met.filter(
-        (F.col("t1") >= F.col("active_from"))
-        & (F.col("t1") < F.col("retired_at"))
-        & (F.col("pos") > F.col("p1_pos") + 1)
-        & (n > n0)
-        & F.when(d == 1, up).otherwise(down)
-    ).withColumn("n", n)
+        (F.col("t1") < F.col("retired_at")) & (F.col("segment") == F.col("in")) & (F.col("pos") > F.col("p1_pos") + 1) & (F.col("n") > F.col("n0"))
+    )
     again = Window.partitionBy("series", "group_id", "segment", "n").orderBy("t1")
     group = Window.partitionBy("series", "group_id").orderBy("t1")
     return (
@@ -109,7 +103,7 @@ def attempts(versions: DataFrame, observed: DataFrame) -> DataFrame:
         .select(
             "series", "group_id", "version_id", "ordinal", "d", "t0", "t1", "c", "length", "p1_price", "p0_price", "p1_t0",
             (F.col("pos") - F.col("p1_pos")).alias("bars_since_p1"),
-            (n - n0).alias("counter_closes"),
+            (F.col("n") - F.col("n0")).alias("counter_closes"),
         )
     )
 
