@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import MINUTE
 from tidemark.operators import bars, observe
-from tidemark.plans import ingest, live, oracle
+from tidemark.plans import ingest, live, minutes, oracle
 from tidemark.plans import queries as plans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +23,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return plans.ALL | ingest.ALL | live.ALL
+    return plans.ALL | ingest.ALL | live.ALL | minutes.ALL
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.ALL | ingest.ORACLE | live.ORACLE
+    return oracle.ALL | ingest.ORACLE | live.ORACLE | minutes.ORACLE

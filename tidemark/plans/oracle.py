@@ -341,6 +341,11 @@ def observed_sql(select: str) -> str:
     return _with(_OBS, select)
 
 
+def decided_sql(parts: list[str], select: str) -> str:
+    """``select`` over dec, the decisions on all legs, and what ``parts`` make of them."""
+    return _with([*_OBS, _LEGS, *parts], select)
+
+
 def r6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
