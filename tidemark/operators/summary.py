@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.measures import describe, share
+from tidemark.functions.measures import share
 from tidemark.functions.scalars import DAY
 from tidemark.operators import scan
+from tidemark.operators.quantiles import described
 from tidemark.sources.shared import materialize
 
 TOTAL = "TOTAL"
@@ -30,13 +31,23 @@ def flatten(df: DataFrame) -> DataFrame:
 
 
 def grouped(df: DataFrame, by: list[str], value: str, quantiles: tuple[float, ...]) -> DataFrame:
-    """Description of a value for both keys, each key and all rows, in one pass; TOTAL where a key is pooled."""
+    """Description of a value for both keys, each key and all rows; TOTAL where a key is pooled.
+
+    A row counts for each of the four sets that it belongs to.
+    """
     a, b = by
-    sets = df.groupingSets([[a, b], [b], [a], []], a, b)
-    rows = sets.agg(F.grouping(a).alias("__a"), F.grouping(b).alias("__b"), F.count(F.lit(1)).alias("rows"), *describe(F.col(value), quantiles))
-    keys = [F.when(F.col(f"__{x}") == 1, TOTAL).otherwise(F.col(k)).alias(k) for x, k in (("a", a), ("b", b))]
-    stats = [c for c in rows.columns if c not in (a, b, "__a", "__b", "rows", "n")]
-    return rows.select(*keys, "rows", "n", *[F.round(c, 6).alias(c) for c in stats])
+    each = lambda x, y: F.struct(F.lit(x).alias("__a"), F.lit(y).alias("__b"))
+    sets = F.explode(F.array(*[each(x, y) for x in (False, True) for y in (False, True)])).alias("__s")
+    rows = df.select(a, b, value, sets).select("*", "__s.*")
+    keys = {f"__{x}_key": F.when(~F.col(f"__{x}"), F.col(k)) for x, k in (("a", a), ("b", b))}
+    rows = rows.select("__a", "__b", *[c.alias(n) for n, c in keys.items()], F.col(value).alias("__value"))
+    names = ["__a", "__b", *keys]
+    stats = described(rows, names, F.col("__value"), quantiles)
+    counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("rows"))
+    same = [counts[n].eqNullSafe(stats[n]) for n in names]
+    met = counts.join(stats, same).select(*[counts[c] for c in counts.columns], *[stats[c] for c in stats.columns if c not in names])
+    out = [F.when(F.col(f"__{x}"), TOTAL).otherwise(F.col(f"__{x}_key")).alias(k) for x, k in (("a", a), ("b", b))]
+    return met.select(*out, "rows", "n", *[F.round(c, 6).alias(c) for c in stats.columns if c not in (*names, "n")])
 
 
 def filled_counts(df: DataFrame, period: str, state: str, domain: list[str], value: str) -> DataFrame:
@@ -137,7 +148,7 @@ def durations(df: DataFrame, by: list[str], born: str, reached: str, unit: int)
     kind = F.when(F.col(reached).isNotNull(), "AVAILABLE").otherwise("CENSORED")
     value = (F.coalesce(F.col(reached), F.lit(last)) - F.col(born)) / unit
     rows = df.select(*by, kind.alias("kind"), value.alias("value"))
-    found = rows.groupBy(*by, "kind").agg(*describe(F.col("value"), (0.5, 0.9)))
+    found = described(rows, [*by, "kind"], F.col("value"), (0.5, 0.9))
     return found.select(*by, "kind", "n", *[F.round(c, 6).alias(c) for c in ("mean", "min", "max", "p50", "p90")])
 
 

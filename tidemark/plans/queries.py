@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import measures, scalars
 from tidemark.functions.scalars import DAY, HOUR, MINUTE, epoch_ms
-from tidemark.operators import asof, bars, decisions, ledger, lifecycle, observe, outcomes, population, replay, scan, summary, verify
+from tidemark.operators import asof, bars, decisions, ledger, lifecycle, observe, outcomes, population, quantiles, replay, scan, summary, verify
 from tidemark.sources.shared import materialize
 
 WIDTH = 90 * MINUTE
@@ -330,8 +330,7 @@ def first_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def describe_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = measures.describe(F.col("l_extendedprice"), (0.1, 0.25, 0.5, 0.75, 0.9))
-    found = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*stats)
+    found = quantiles.described(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_extendedprice"), (0.1, 0.25, 0.5, 0.75, 0.9))
     return found.select("l_returnflag", "l_linestatus", "n", *r6("mean", "min", "max", "p10", "p25", "p50", "p75", "p90"))
 
 
@@ -632,10 +631,9 @@ def attempt_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = met.withColumn("f", F.col("c") + marker).withColumn("g", F.col("c") - marker)
     after = outcomes.normalised(outcomes.first_touch(starts, typed_bars(spark, sf_dir), DAY_BARS))
     rows = starts.select("series", "group_id", "t1", "d").join(after.select("series", "t1", "d", "class", "final"), ["series", "t1", "d"])
-    stats = measures.describe(F.when(F.col("class").isNotNull(), F.col("final")), (0.1, 0.5, 0.9))
-    cells = rows.groupBy("d", F.coalesce("class", F.lit("INCOMPLETE")).alias("class")).agg(
-        F.count(F.lit(1)).alias("attempts"), F.countDistinct("series", "group_id").alias("groups"), *stats
-    )
+    rows = rows.withColumn("final", F.when(F.col("class").isNotNull(), F.col("final"))).withColumn("class", F.coalesce("class", F.lit("INCOMPLETE")))
+    cells = rows.groupBy("d", "class").agg(F.count(F.lit(1)).alias("attempts"), F.countDistinct("series", "group_id").alias("groups"))
+    cells = cells.join(quantiles.described(rows, ["d", "class"], F.col("final"), (0.1, 0.5, 0.9)), ["d", "class"])
     shares = measures.share(F.col("attempts"), F.sum("attempts").over(Window.partitionBy("d")))
     return cells.withColumn("share", shares).select("d", "class", "attempts", "groups", "n", *r6("share", "mean", "min", "max", "p10", "p50", "p90"))
 
