@@ -11,43 +11,47 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.shared import materialize
 
-#: Rows of a block, and blocks of a group of blocks.
+#: Rows of a block, and blocks of a block of the next level.
 BLOCK = 64
 #: Rows of a block of a chain.
 LINKS = 512
 
 
-def first_reach(rows: DataFrame, asks: DataFrame, keys: list[str]) -> DataFrame:
+def first_reach(rows: DataFrame, asks: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
     """``asks`` (keys, after, level, strict and others) with ``hit``: the first position after ``after`` that reaches ``level``.
 
-    ``rows`` has keys, pos (whole, from 0 or 1) and value; null values reach nothing. A position reaches the level if its
-    value is not less, or with ``strict`` if it is greater. The greatest values of blocks, and of groups of blocks, tell
-    where to look. A null ``after`` or ``level`` has no hit.
+    ``rows`` has keys, pos (whole, from 0 or 1, at most ``most``, which is found if not given) and value; null values reach
+    nothing. A position reaches the level if its value is not less, or with ``strict`` if it is greater. Blocks of rows,
+    blocks of blocks and so on, until one is left, tell where to look: the search climbs until a block must hold the
+    position, and descends to it. A null ``after`` or ``level`` has no hit.
     """
+    most = (rows.agg(F.max("pos")).first()[0] or 0) if most is None else most
     ordered = lambda at, value: F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).alias("v"))))
-    blocks = rows.filter("value is not null").groupBy(*keys, F.floor(F.col("pos") / BLOCK).alias("block"))
-    blocks = blocks.agg(ordered("pos", "value").alias("items"), F.max("value").alias("top"))
-    groups = blocks.groupBy(*keys, F.floor(F.col("block") / BLOCK).alias("group"))
-    groups = groups.agg(ordered("block", "top").alias("items"), F.max("top").alias("top"))
-    whole = groups.groupBy(*keys).agg(ordered("group", "top").alias("in_all"))
-
-    def first(items: str, after: Column) -> Column:
+    tables, at, value, below = [], "pos", "value", rows.filter("value is not null")
+    while True:
+        level = below.groupBy(*keys, F.floor(F.col(at) / BLOCK).alias("block")).agg(ordered(at, value).alias("items"), F.max(value).alias("top"))
+        tables.append(level)
+        at, value, below = "block", "top", level
+        most //= BLOCK
+        if not most:
+            break
+
+    def look(found: DataFrame, k: int, block: Column, after: Column, out: str) -> DataFrame:
         reaches = lambda x: (x["v"] > F.col("level")) | (~F.col("strict") & (x["v"] == F.col("level")))
-        return F.get(F.filter(items, lambda x: (x["at"] > after) & reaches(x)), F.lit(0))["at"]
-
-    def look(found: DataFrame, table: DataFrame, at: str, place: Column, after: Column, out: str) -> DataFrame:
-        known = table.select(*keys, F.col(at).alias("__at"), F.col("items").alias("__items"))
-        met = found.withColumn("__at", place).join(known, [*keys, "__at"], "left")
-        return met.withColumn(out, first("__items", after)).drop("__at", "__items")
-
-    none = F.lit(-1)
-    block = F.floor(F.col("after") / BLOCK)
-    found = look(asks, blocks, "block", block, F.col("after"), "__near")
-    found = look(found, groups, "group", F.floor(block / BLOCK), block, "__block")
-    found = found.join(whole, keys, "left").withColumn("__group", first("in_all", F.floor(block / BLOCK))).drop("in_all")
-    found = look(found, groups, "group", F.col("__group"), none, "__far")
-    found = look(found, blocks, "block", F.coalesce("__block", "__far"), none, "__hit")
-    return found.withColumn("hit", F.coalesce("__near", "__hit")).drop("__near", "__block", "__group", "__far", "__hit")
+        known = tables[k].select(*keys, F.col("block").alias("__at"), F.col("items").alias("__items"))
+        met = found.withColumn("__at", block).join(known, [*keys, "__at"], "left")
+        return met.withColumn(out, F.get(F.filter("__items", lambda x: (x["at"] > after) & reaches(x)), F.lit(0))["at"]).drop("__at", "__items")
+
+    found, got = asks, F.lit(False)
+    for k in range(len(tables)):
+        here = F.floor(F.col("after") / BLOCK**k)
+        found = look(found, k, F.when(~got, F.floor(here / BLOCK)), here, f"__up{k}")
+        got = got | F.col(f"__up{k}").isNotNull()
+    found = found.withColumn("__down", F.lit(None).cast("long"))
+    for k in range(len(tables) - 1, 0, -1):
+        found = found.withColumn("__child", F.coalesce(f"__up{k}", "__down"))
+        found = look(found, k - 1, F.col("__child"), F.lit(-1), "__down").drop("__child")
+    return found.withColumn("hit", F.coalesce("__up0", "__down")).select(*asks.columns, "hit")
 
 
 def chain(links: DataFrame, keys: list[str]) -> DataFrame:
