@@ -31,7 +31,7 @@ SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_remov
 FROM d LEFT JOIN parts p ON p.doc_id = d.doc_id
 """
 
-#: Quartile bucket digests of each text and of its edited text. Digits of the text stand for its bytes.
+#: Quartile bucket digests of each text and of its edited text. Digits of the text stand for its bytes; triplets are made within a text.
 OP8 = """
 WITH o AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST, text NULLS FIRST) AS k FROM documents),
 e AS (
@@ -39,20 +39,20 @@ e AS (
     substr(a.t, 1, length(a.t) - length(a.t) // 2) || substr(b.t, 1, length(a.t) // 2) AS edited
   FROM o a JOIN o b ON b.k = CASE WHEN a.k = (SELECT max(k) FROM o) THEN 1 ELSE a.k + 1 END),
 x AS (SELECT k, 0 AS kind, hex(encode(t)) AS h, octet_length(encode(t)) AS nb FROM e UNION ALL SELECT k, 1, hex(encode(edited)), octet_length(encode(edited)) FROM e),
-byt AS (SELECT k, kind, unnest(b) AS d, generate_subscripts(b, 1) AS i FROM (SELECT k, kind, regexp_extract_all(h, '..') AS b FROM x)),
-num AS (SELECT k, kind, i, (strpos('0123456789ABCDEF', d[1]) - 1) * 16 + strpos('0123456789ABCDEF', d[2]) - 1 AS b FROM byt),
-nbr AS (SELECT k, kind, b, lead(b, 1) OVER w AS b1, lead(b, 2) OVER w AS b2 FROM num WINDOW w AS (PARTITION BY k, kind ORDER BY i)),
-tri AS (SELECT k, kind, CAST(b * 65536 + b1 * 256 + b2 AS BIGINT) AS v FROM nbr WHERE b2 IS NOT NULL),
+grm AS (
+  SELECT k, kind, t, count(*) AS n FROM (
+    SELECT k, kind, unnest(regexp_extract_all(h, '.{6}') || regexp_extract_all(substr(h, 3), '.{6}') || regexp_extract_all(substr(h, 5), '.{6}')) AS t FROM x) GROUP BY 1, 2, 3),
+tri AS (SELECT k, kind, n, CAST('0x' || t AS BIGINT) AS v FROM grm),
 cnt AS (
-  SELECT k, kind, ((((v >> 16) & 255) | (((v >> 8) & 255) << 8) | ((v & 255) << 16)) * 2654435761 % 4294967296) >> 24 AS bucket, count(*) AS n FROM tri GROUP BY 1, 2, 3),
-ful AS (SELECT x.k, x.kind, x.nb, b.bucket, coalesce(c.n, 0) AS n FROM x, (SELECT unnest(range(0, 256)) AS bucket) b LEFT JOIN cnt c ON c.k = x.k AND c.kind = x.kind AND c.bucket = b.bucket),
-mk AS (SELECT k, kind, list_sort(list(n)) AS r FROM ful GROUP BY 1, 2),
-cd AS (SELECT f.k, f.kind, f.nb, f.bucket, (n > r[64])::INT + (n > r[128])::INT + (n > r[192])::INT AS code FROM ful f JOIN mk ON mk.k = f.k AND mk.kind = f.kind),
+  SELECT k, kind, ((((v >> 16) & 255) | (((v >> 8) & 255) << 8) | ((v & 255) << 16)) * 2654435761 % 4294967296) >> 24 AS bucket, sum(n)::BIGINT AS n FROM tri GROUP BY 1, 2, 3),
+ful AS MATERIALIZED (SELECT x.k, x.kind, x.nb, b.bucket, coalesce(c.n, 0) AS n FROM x, (SELECT unnest(range(0, 256)) AS bucket) b LEFT JOIN cnt c ON c.k = x.k AND c.kind = x.kind AND c.bucket = b.bucket),
+mk AS (SELECT k, kind, r[64] AS m1, r[128] AS m2, r[192] AS m3 FROM (SELECT k, kind, list_sort(list(n)) AS r FROM ful GROUP BY 1, 2)),
+cd AS MATERIALIZED (SELECT f.k, f.kind, f.nb, f.bucket, (n > m1)::INT + (n > m2)::INT + (n > m3)::INT AS code FROM ful f JOIN mk ON mk.k = f.k AND mk.kind = f.kind),
 by4 AS (SELECT k, kind, nb, bucket // 4 AS g, sum(code << (2 * (bucket % 4)))::INT AS byte FROM cd GROUP BY 1, 2, 3, 4),
 len AS (SELECT k, kind, least(255, round_even(8 * log2(1 + nb), 0)::INT) AS c FROM x),
-fp AS (SELECT b.k, b.kind, printf('%02x', any_value(l.c)) || string_agg(printf('%02x', byte), '' ORDER BY g) AS print FROM by4 b JOIN len l ON l.k = b.k AND l.kind = b.kind GROUP BY 1, 2),
+fp AS MATERIALIZED (SELECT b.k, b.kind, printf('%02x', any_value(l.c)) || string_agg(printf('%02x', byte), '' ORDER BY g) AS print FROM by4 b JOIN len l ON l.k = b.k AND l.kind = b.kind GROUP BY 1, 2),
 pr AS (SELECT k, k AS k2, 1 AS kind2, 'e' AS which FROM e UNION ALL SELECT k, nk, 0, 'n' FROM e),
-df AS (
+df AS MATERIALIZED (
   SELECT p.k, p.which, least(416, sum([0, 1, 2, 6][abs(a.code - b.code) + 1]) + least(24, any_value(abs(la.c - lb.c)))) AS d
   FROM pr p JOIN cd a ON a.k = p.k AND a.kind = 0 JOIN cd b ON b.k = p.k2 AND b.kind = p.kind2 AND b.bucket = a.bucket
   JOIN len la ON la.k = p.k AND la.kind = 0 JOIN len lb ON lb.k = p.k2 AND lb.kind = p.kind2 GROUP BY 1, 2)
