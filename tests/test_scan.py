@@ -80,6 +80,18 @@ def test_observations_do_not_depend_on_blocks(spark, monkeypatch):
     assert sum(r.p0 is not None for r in seen[0]) > 300
 
 
+def test_attempts_do_not_depend_on_blocks(spark, monkeypatch):
+    made, found = series(spark), []
+    for small, size in ((0, 7), (0, 4096), (64 << 20, 4096)):
+        monkeypatch.setattr(scan, "SMALL_BYTES", small)
+        seen = observe.observe(made, CONV, size)
+        tried = population.attempts(population.versions(observe.alternation(seen, size), seen), seen, size)
+        plan = tried._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"Join Inner, .*segment#\d+L? = segment#\d+", plan)
+        found.append(sorted(map(str, tried.collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 20
+
+
 def test_alternation_matches_a_walk(spark):
     made = observe.pivots(bars.segments(series(spark), 7), CONV)
     got = sorted(observe.alternation(made, 7).collect(), key=lambda r: (r.series, r.t0))
