@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the cluster's shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset (tests on one machine),
-    a folder in /tmp is set.
+    The folder is the session's ``spark.checkpoint.dir``; where that is unset a folder in /tmp is set, but only if
+    driver and executors are one process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
