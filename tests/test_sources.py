@@ -208,3 +208,16 @@ def test_stream_bars_match_batch(spark, tmp_path):
     wanted = ticks.groupBy("series", F.window("ts", "10 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("price").alias("h")).collect()
     full = {(r.series, r.w.start): (r.n, r.h) for r in wanted}
     assert len(got) >= len(full) - 4 and all(full[r.series, r.t0] == (r.ticks, r.h) for r in got)
+
+
+def test_funding_is_certified_for_each_series(spark):
+    """Two files that fill each other's gaps are two faulty series, not one whole one."""
+    hour = 3_600_000
+    rates = [LO + i * 8 * hour for i in range(6)]
+    rows = [("even", t, 8.0, 0.1, None) for t in rates[::2]] + [("odd", t, 8.0, 0.1, None) for t in rates[1::2]]
+    rows += [("whole", t, 8.0, 0.1, None) for t in rates] + [("bad", None, None, None, "ROW_NOT_PARSABLE")]
+    frame = spark.createDataFrame(rows, "file string, tau long, hours double, rate double, problem string")
+    found = sorted((r.file, r.kind, r.tau) for r in market.funding_anomalies(frame, LO, LO + 48 * hour, ("file",)).collect() if r.tau is not None)
+    assert [(f, k) for f, k, _ in found] == [("even", "END_COVERAGE"), *[("even", "INTERVAL_MISMATCH")] * 2, *[("odd", "INTERVAL_MISMATCH")] * 2]
+    rest = {(r.file, r.kind, r["count"]) for r in market.funding_anomalies(frame, LO, LO + 48 * hour, ("file",)).collect() if r.tau is None}
+    assert rest == {("bad", "CORRUPT_ROWS", 1), ("bad", "EMPTY", 1)}

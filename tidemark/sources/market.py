@@ -188,27 +188,34 @@ def funding_rows(lines: DataFrame) -> DataFrame:
     return rows.withColumn("problem", F.when(~known, "ROW_NOT_PARSABLE").when(F.col("tau") >= NOT_MILLISECONDS, unit).when(~finite, "VALUE_NOT_FINITE"))
 
 
-def funding_anomalies(rows: DataFrame, lo: int, hi: int) -> DataFrame:
-    """(kind, tau, count) of everything that keeps a funding series from being certified for [lo, hi)."""
-    good = rows.filter("problem is null")
-    corrupt = rows.filter("problem is not null").groupBy().agg(F.count(F.lit(1)).alias("count")).filter("count > 0")
-    each = good.groupBy("tau").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("rate", "hours").alias("kinds"), F.min("hours").alias("hours"))
-    repeated = each.filter("count > 1").select(F.when(F.col("kinds") > 1, "CONFLICTING_DUPLICATE").otherwise("DUPLICATE_TIMESTAMP").alias("kind"), "tau", "count")
-    order = Window.orderBy("tau")  # one series of a few thousand rates
+def funding_anomalies(rows: DataFrame, lo: int, hi: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, kind, tau, count) of everything that keeps a funding series from being certified for [lo, hi).
+
+    ``by`` names the columns that tell series apart; without it all rows are one series.
+    """
+    good, keys = rows.filter("problem is null"), list(by)
+    corrupt = rows.filter("problem is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).filter("count > 0")
+    each = good.groupBy(*keys, "tau").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("rate", "hours").alias("kinds"), F.min("hours").alias("hours"))
+    repeated = each.filter("count > 1").select(*keys, F.when(F.col("kinds") > 1, "CONFLICTING_DUPLICATE").otherwise("DUPLICATE_TIMESTAMP").alias("kind"), "tau", "count")
+    order = Window.partitionBy(*keys).orderBy("tau")  # a series has a few rates a day
     gaps = each.withColumn("next", F.lead("tau").over(order)).filter(F.abs(F.col("next") - F.col("tau") - F.col("hours") * 3_600_000) > MINUTE)
-    ends = each.groupBy().agg(F.min(F.struct("tau", "hours")).alias("a"), F.max(F.struct("tau", "hours")).alias("z"), F.count(F.lit(1)).alias("n"))
+    ends = each.groupBy(*keys).agg(F.min(F.struct("tau", "hours")).alias("a"), F.max(F.struct("tau", "hours")).alias("z"), F.count(F.lit(1)).alias("n"))
+    if keys:  # a series that has no good row is there as well
+        named = rows.select(*keys).distinct()
+        same = [named[k].eqNullSafe(ends[k]) for k in keys]
+        ends = named.join(ends, same, "left").select(*[named[k] for k in keys], "a", "z", F.coalesce("n", F.lit(0)).alias("n"))
     slack = lambda e: F.col(f"{e}.hours") * 3_600_000 + MINUTE
     edges = F.array(
         F.when(F.col("n") == 0, F.struct(F.lit("EMPTY").alias("kind"), F.lit(None).cast("long").alias("tau"))),
         F.when(F.col("a.tau") - lo > slack("a"), F.struct(F.lit("START_COVERAGE").alias("kind"), F.col("a.tau").alias("tau"))),
         F.when(hi - F.col("z.tau") > slack("z"), F.struct(F.lit("END_COVERAGE").alias("kind"), F.col("z.tau").alias("tau"))),
     )
-    edge = ends.select(F.explode(F.filter(edges, lambda x: x.isNotNull())).alias("e")).select("e.kind", "e.tau", F.lit(1).cast("long").alias("count"))
     one = F.lit(1).cast("long").alias("count")
+    edge = ends.select(*keys, F.explode(F.filter(edges, lambda x: x.isNotNull())).alias("e")).select(*keys, "e.kind", "e.tau", one)
     return (
-        corrupt.select(F.lit("CORRUPT_ROWS").alias("kind"), F.lit(None).cast("long").alias("tau"), "count")
+        corrupt.select(*keys, F.lit("CORRUPT_ROWS").alias("kind"), F.lit(None).cast("long").alias("tau"), "count")
         .unionByName(repeated)
-        .unionByName(gaps.select(F.lit("INTERVAL_MISMATCH").alias("kind"), "tau", one))
+        .unionByName(gaps.select(*keys, F.lit("INTERVAL_MISMATCH").alias("kind"), "tau", one))
         .unionByName(edge)
     )
 
