@@ -91,7 +91,22 @@ def funding_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.funding_anomalies(found, lo, hi)
 
 
-ALL = {f.__name__: f for f in (ingest_problems, ingest_minutes, ingest_coverage, ingest_late_rows, funding_register)}
+def funding_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps each file of rates, one for each type of event with faults in places of its own, from being certified."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    place = F.floor(epoch_ms(F.col("ts")) / (8 * HOUR)).cast("long")
+    rows = events.groupBy(F.col("event_type").alias("series"), (place * 8 * HOUR).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    at = lambda k, n: F.pmod(F.floor(F.col("t") / (8 * HOUR)) + F.length("series"), F.lit(n)) == k
+    rows = rows.filter(~at(3, 17)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(at(4, 19) | at(5, 23), 2).otherwise(1))))
+    rate = F.when(at(6, 29), "corrupt").otherwise((F.col("n") + F.when(at(5, 23), F.col("copy")).otherwise(0)).cast("string"))
+    file = F.concat("series", F.lit(f"-RATE-{MONTH}.csv"))
+    lines = rows.select(file.alias("file"), F.concat_ws(",", F.col("t").cast("string"), F.lit("8"), rate).alias("line"), "t", "copy")
+    lo, hi = month_bounds(MONTH)
+    found = materialize(market.funding_rows(_written(lines, market.FUNDING_COLUMNS, ["t", "copy"])))
+    return market.funding_anomalies(found, lo, hi, ("file",))
+
+
+ALL = {f.__name__: f for f in (ingest_problems, ingest_minutes, ingest_coverage, ingest_late_rows, funding_register, funding_by_series)}
 
 _ROWS = """WITH m AS (SELECT event_type || '-2024-01.csv' AS file, ((epoch_us(ts) // 1000) // 60000) * 60000 AS t, arg_max(value, ts) AS c, count(*) AS n FROM events GROUP BY 1, 2),
 k AS (SELECT *, (t // 60000) % 50 AS k FROM m)
@@ -100,8 +115,18 @@ _FUND = """WITH m AS (SELECT ((epoch_us(ts) // 1000) // 28800000) * 28800000 AS
 k AS (SELECT *, t // 28800000 AS s FROM m WHERE (t // 28800000) % 17 <> 3), g AS (SELECT *, s % 29 <> 6 AS good, s % 23 = 5 AS clash, s % 19 = 4 OR s % 23 = 5 AS twice FROM k),
 f AS (SELECT t, lead(t) OVER (ORDER BY t) AS after, clash, twice FROM g WHERE good)
 """
+_FUNDS = """WITH m AS (SELECT event_type, ((epoch_us(ts) // 1000) // 28800000) * 28800000 AS t FROM events GROUP BY 1, 2),
+k AS (SELECT event_type || '-RATE-2024-01.csv' AS file, t, t // 28800000 + length(event_type) AS s FROM m),
+g AS (SELECT *, s % 29 <> 6 AS good, s % 23 = 5 AS clash, s % 19 = 4 OR s % 23 = 5 AS twice FROM k WHERE s % 17 <> 3),
+f AS (SELECT file, t, lead(t) OVER (PARTITION BY file ORDER BY t) AS after, clash, twice FROM g WHERE good)
+"""
 
 ORACLE = {
+    "funding_by_series": _FUNDS + """SELECT file, 'CORRUPT_ROWS' AS kind, CAST(NULL AS BIGINT) AS tau, CAST(sum(CASE WHEN twice THEN 2 ELSE 1 END) AS BIGINT) AS count FROM g WHERE NOT good GROUP BY 1
+      UNION ALL SELECT file, CASE WHEN clash THEN 'CONFLICTING_DUPLICATE' ELSE 'DUPLICATE_TIMESTAMP' END, t, 2 FROM f WHERE twice
+      UNION ALL SELECT file, 'INTERVAL_MISMATCH', t, 1 FROM f WHERE abs(after - t - 28800000) > 60000
+      UNION ALL SELECT file, 'START_COVERAGE', min(t), 1 FROM f GROUP BY 1 HAVING min(t) - 1704067200000 > 28860000
+      UNION ALL SELECT file, 'END_COVERAGE', max(t), 1 FROM f GROUP BY 1 HAVING 1706745600000 - max(t) > 28860000""",
     "ingest_problems": _ROWS + """SELECT file, CASE k WHEN 2 THEN 'PRICES_INCONSISTENT' WHEN 3 THEN 'TIME_NOT_MINUTE_ALIGNED' WHEN 4 THEN 'VALUE_NOT_NUMERIC' WHEN 5 THEN 'FIELD_COUNT' WHEN 6 THEN 'TIME_NOT_INTEGER'
       WHEN 7 THEN 'OUTSIDE_FILE_MONTH' ELSE 'NONE' END AS problem, CAST(sum(CASE WHEN k <= 1 THEN 2 ELSE 1 END) AS BIGINT) AS n FROM k GROUP BY 1, 2""",
     "ingest_minutes": _ROWS + """SELECT file, t, CASE WHEN k IN (1, 2, 4) THEN 'INVALID' ELSE 'VALID' END AS status, CASE WHEN k NOT IN (1, 2, 4) THEN round(c, 6) END AS c, CASE WHEN k NOT IN (1, 2, 4) THEN CAST(n AS DOUBLE) END AS v,
