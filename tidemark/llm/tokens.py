@@ -22,6 +22,7 @@ it; an empty table makes an empty dataset; other columns are neither read nor wr
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -42,7 +43,7 @@ END = 0
 #: Bytes of a row group and of a page, and rows of a page at most.
 GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 64 << 10, 2000
 #: Distinct units that a worker keeps the ids of; a full table is emptied.
-KNOWN_UNITS = 400_000
+KNOWN_UNITS = 150_000
 
 #: A word with the blank before it, white space up to the last before a word, or that last one.
 _UNIT = r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]"
@@ -55,6 +56,7 @@ _ROWS = "part int, at bigint, doc_id bigint, n_tokens bigint, ids array<int>"
 
 @lru_cache(maxsize=1)
 def _tokenizer(model: Broadcast) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread; others would keep memory of their own
     tokenizer = Tokenizer.from_str(model.value)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     return tokenizer
@@ -89,7 +91,7 @@ def _encoded(model: Broadcast, lows: list[tuple[int, int]]):
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
-        for batch in slices(batches, 200):
+        for batch in slices(batches, 50):
             order, tie, _, texts = (batch.column(i).to_pylist() for i in range(4))
             part = [max(0, bisect.bisect_right(lows, key) - 1) for key in zip(order, tie, strict=True)]
             packed = pa.array(encoder.encode([t or "" for t in texts]), pa.binary())
