@@ -79,11 +79,12 @@ def _is_header(columns: tuple[str, ...]) -> Column:
     return F.when(first & ~same, bad).otherwise(first)
 
 
-def minute_rows(lines: DataFrame) -> DataFrame:
+def minute_rows(lines: DataFrame, positive: bool = True) -> DataFrame:
     """Parsed rows with ``problem``: the first thing wrong with a row, or null.
 
     FIELD_COUNT, TIME_NOT_INTEGER and TIME_NOT_MINUTE_ALIGNED rows touch no minute; VALUE_NOT_NUMERIC and rows whose
-    values contradict each other do. Times that cannot be milliseconds fail the run.
+    values contradict each other do. Times that cannot be milliseconds fail the run. Without ``positive`` the four
+    prices are levels that may be zero or below, and need only be finite.
     """
     parts = F.split("line", ",")
     rows = lines.filter(~_is_header(MINUTE_COLUMNS)).select("file", "line_no", parts.alias("f"))
@@ -102,7 +103,7 @@ def minute_rows(lines: DataFrame) -> DataFrame:
         unknown = unknown | c.isNull()
     finite = F.lit(True)
     for c in prices:
-        finite = finite & (c > 0) & (c < float("inf"))
+        finite = finite & (c > (0.0 if positive else float("-inf"))) & (c < float("inf"))
     calm = F.col("n") >= 0
     for c in amounts:
         calm = calm & (c >= 0) & (c < float("inf"))
@@ -113,7 +114,7 @@ def minute_rows(lines: DataFrame) -> DataFrame:
         .when((F.col("t") >= NOT_MILLISECONDS) | (F.col("t_close") >= NOT_MILLISECONDS), unit)
         .when((F.pmod("t", F.lit(MINUTE)) != 0) | (F.col("t_close") != F.col("t") + MINUTE - 1), "TIME_NOT_MINUTE_ALIGNED")
         .when(unknown, "VALUE_NOT_NUMERIC")
-        .when(~finite, "PRICE_NOT_POSITIVE")
+        .when(~finite, "PRICE_NOT_POSITIVE" if positive else "PRICE_NOT_FINITE")
         .when(~ordered, "PRICES_INCONSISTENT")
         .when(~calm, "AMOUNT_NEGATIVE")
     )
@@ -141,7 +142,7 @@ def minutes(rows: DataFrame) -> DataFrame:
     Rows that say the same are one. Rows that differ, or one with impossible values, make the minute invalid for good;
     a row that is not numeric only until a later valid one.
     """
-    touching = rows.filter(F.col("t").isNotNull() & (F.col("problem").isNull() | F.col("problem").isin("VALUE_NOT_NUMERIC", "PRICE_NOT_POSITIVE", "PRICES_INCONSISTENT", "AMOUNT_NEGATIVE")))
+    touching = rows.filter(F.col("t").isNotNull() & (F.col("problem").isNull() | F.col("problem").isin("VALUE_NOT_NUMERIC", "PRICE_NOT_POSITIVE", "PRICE_NOT_FINITE", "PRICES_INCONSISTENT", "AMOUNT_NEGATIVE")))
     good = F.col("problem").isNull()
     values = F.struct(*VALUES)
     found = touching.groupBy("file", "t").agg(
