@@ -8,7 +8,7 @@ import pytest
 from tidemark.plans import ingest
 
 START = datetime(2024, 1, 5)
-NAMES = ["ingest_coverage", "ingest_late_rows", "ingest_minutes"]
+NAMES = ["ingest_coverage", "ingest_late_rows", "ingest_minutes", "ingest_problems"]
 
 
 @pytest.fixture(scope="module")
