@@ -10,9 +10,11 @@ row groups and pages and choose the encodings: ids by dictionary (or delta), all
 Pages carry minima and maxima, rows are ordered, and the ids are a column of their own: a read of metadata takes no byte
 of the ids, a read of a range of documents or of ids takes the pages it needs.
 
-Texts are cut at white space into units that no pre-token crosses, and a task encodes each distinct unit once, with the
-tokenizer as it is, while its table of units has room. Texts with white space beyond blank, tab and line ends are
-encoded as one unit. The ids are shuffled, two bytes each where the vocabulary allows; texts are not.
+Texts are cut into units that no pre-token crosses, at white space and after a word of Latin letters, and a task encodes
+each distinct unit once while its table of units has room. Such a word is one pre-token: new ones go to the tokenizer's
+model some hundreds at a time, with a byte between them that its merges do not know. Other units go to the tokenizer as it
+is. Texts with white space beyond blank, tab and line ends are encoded as one unit. The ids are shuffled, two bytes each
+where the vocabulary allows; texts are not.
 
 Defined results: null and empty texts have the end id alone; null doc_ids come first; rows with one doc_id are in the
 order of a hash of their texts; repeated rows are each written; a very long text is one row, and its ids are one list of
@@ -34,6 +36,8 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel
 
 from tidemark.llm.common import partitions, release, shared_dir
 from tidemark.llm.ordered import cell_bounds, slices
@@ -42,11 +46,16 @@ from tidemark.llm.ordered import cell_bounds, slices
 END = 0
 #: Bytes of a row group and of a page, and rows of a page at most.
 GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 64 << 10, 2000
-#: Distinct units that a worker keeps the ids of; a full table is emptied.
-KNOWN_UNITS = 150_000
-
-#: A word with the blank before it, white space up to the last before a word, or that last one.
-_UNIT = r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]"
+#: Distinct units that a worker keeps the ids of, in two halves: a full half takes the place of the older one.
+KNOWN_UNITS = 348_000
+#: Words that the model gets at a time.
+WORDS_AT_ONCE = 400
+
+#: Latin letters with the blank before them.
+_WORD = r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++"
+#: Such a word before ASCII other than letters (or at the end), anything up to white space with the blank before it, white
+#: space up to the last before a word, or that last one.
+_UNIT = _WORD + r"(?![^\x00-@\[-`{-\x7f])| ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]"
 #: White space of other kinds, which units must not cut.
 _OTHER_SPACE = r"[^\S \t\n\r]|[\x1c-\x1f\x85᠎​﻿]"
 
@@ -62,23 +71,74 @@ def _tokenizer(model: Broadcast) -> Tokenizer:
     return tokenizer
 
 
+def _byte_letters() -> np.ndarray:
+    """The letter that byte-level tokenizers write for each byte, as UTF-16 units."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return np.array([b if b in shown else next(rest) for b in range(256)], "<u2")
+
+
+class WordEncoder:
+    """Ids of words of letters, each a pre-token, by the tokenizer's own model, many at a time."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self.letters, self.words = _byte_letters(), Tokenizer(tokenizer.model)
+        self.between = tokenizer.token_to_id(chr(self.letters[0]))
+
+    @staticmethod
+    def fits(tokenizer: Tokenizer) -> bool:
+        """Does the tokenizer cut and merge in the way that is relied on?"""
+        model, cut = tokenizer.model, tokenizer.pre_tokenizer
+        if not isinstance(model, BPE) or not isinstance(cut, ByteLevel) or tokenizer.normalizer is not None:
+            return False
+        plain = not (model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix or model.ignore_merges)
+        own = all(t.special for t in tokenizer.get_added_tokens_decoder().values()) and tokenizer.encode_special_tokens
+        zero = chr(_byte_letters()[0])
+        alone = [t for t in tokenizer.get_vocab(with_added_tokens=False) if zero in t] == [zero]
+        whole = tokenizer.truncation is None and tokenizer.padding is None
+        return plain and own and alone and whole and cut.use_regex and not cut.add_prefix_space
+
+    def encode(self, words: list[str], kind: str) -> Iterator[bytes]:
+        for k in range(0, len(words), WORDS_AT_ONCE):
+            joined = "\0".join([*words[k : k + WORDS_AT_ONCE], ""]).encode()
+            shown = self.letters[np.frombuffer(joined, np.uint8)].tobytes().decode("utf-16-le")
+            ids = np.array(self.words.encode_batch_fast([shown], add_special_tokens=False)[0].ids, kind)
+            packed, size, start = ids.tobytes(), ids.itemsize, 0
+            for end in (np.flatnonzero(ids == self.between) * size).tolist():
+                yield packed[start:end]
+                start = end + size
+
+
 class UnitEncoder:
     """Ids of texts as little-endian bytes; each distinct unit is encoded once while the table has room."""
 
     def __init__(self, tokenizer: Tokenizer, most: int = KNOWN_UNITS) -> None:
-        self.tokenizer, self.most, self.known = tokenizer, most, {}
+        self.tokenizer, self.most, self.known, self.older = tokenizer, most, {}, {}
         self.kind = "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.find, self.odd = re.compile(_UNIT).findall, re.compile(_OTHER_SPACE).search
+        self.words, self.word = WordEncoder(tokenizer) if WordEncoder.fits(tokenizer) else None, re.compile(_WORD).fullmatch
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        units = [[t] if self.odd(t) else self.find(t) for t in texts]
+        units = [self.find(t) for t in texts]
         distinct = set().union(*units)
-        if len(self.known) + len(distinct) > self.most:
-            self.known = {}
-        new = list(distinct - self.known.keys())
-        for unit, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[unit] = np.array(found.ids, self.kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, cut)) for cut in units]
+        new = distinct.difference(self.known)
+        if len(self.known) + len(new) > self.most // 2:
+            self.known, self.older, new = {}, self.known, distinct
+        known, older = self.known, self.older
+        known.update((u, older[u]) for u in new.intersection(older))
+        new = new.difference(older)
+        words = [u for u in new if self.word(u)] if self.words else []
+        known.update(zip(words, self.words.encode(words, self.kind) if words else (), strict=True))
+        others = new.difference(words)
+        odd = {u for u in others if self.odd(u)}  # not kept, so they are met here each time
+        others = list(others - odd)
+        known.update(zip(others, self._plain(others), strict=True))
+        if not odd:
+            return [b"".join(map(known.__getitem__, cut)) for cut in units]
+        return [self._plain([t])[0] if not odd.isdisjoint(cut) else b"".join(map(known.__getitem__, cut)) for t, cut in zip(texts, units, strict=True)]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=1)
@@ -91,7 +151,7 @@ def _encoded(model: Broadcast, lows: list[tuple[int, int]]):
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
-        for batch in slices(batches, 50):
+        for batch in slices(batches, 100):
             order, tie, _, texts = (batch.column(i).to_pylist() for i in range(4))
             part = [max(0, bisect.bisect_right(lows, key) - 1) for key in zip(order, tie, strict=True)]
             packed = pa.array(encoder.encode([t or "" for t in texts]), pa.binary())
