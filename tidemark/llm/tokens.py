@@ -125,7 +125,7 @@ class UnitEncoder:
         if len(self.known) + len(new) > self.most // 2:
             self.known, self.older, new = {}, self.known, distinct
         known, older = self.known, self.older
-        known.update((u, older[u]) for u in new.intersection(older))
+        known.update([(u, older[u]) for u in new if u in older])  # a set's own intersection would pass over the whole table
         new = new.difference(older)
         words = [u for u in new if self.word(u)] if self.words else []
         known.update(zip(words, self.words.encode(words, self.kind) if words else (), strict=True))
