@@ -124,14 +124,18 @@ class UnitEncoder:
         new = distinct.difference(self.known)
         if len(self.known) + len(new) > self.most // 2:
             self.known, self.older, new = {}, self.known, distinct
-        known, older = self.known, self.older
-        known.update([(u, older[u]) for u in new if u in older])  # a set's own intersection would pass over the whole table
-        new = new.difference(older)
-        words = [u for u in new if self.word(u)] if self.words else []
+        known, older, words, others = self.known, self.older, [], []
+        for unit in new:  # one look at the older half for each: it is large, and looks are what costs
+            ids = older.get(unit)
+            if ids is not None:
+                known[unit] = ids
+            elif self.words and self.word(unit):
+                words.append(unit)
+            else:
+                others.append(unit)
         known.update(zip(words, self.words.encode(words, self.kind) if words else (), strict=True))
-        others = new.difference(words)
         odd = {u for u in others if self.odd(u)}  # not kept, so they are met here each time
-        others = list(others - odd)
+        others = [u for u in others if u not in odd]
         known.update(zip(others, self._plain(others), strict=True))
         if not odd:
             return [b"".join(map(known.__getitem__, cut)) for cut in units]
