@@ -76,3 +76,18 @@ def test_other_tokenizers_get_each_unit():
         assert ids(encoder, encoder.encode(["eta", "\0t"])) == [plain.encode(t).ids for t in ("eta", "\0t")]
         if "added_tokens" not in changes:
             assert ids(encoder, encoder.encode(some)) == [plain.encode(t).ids for t in some]
+
+
+def test_each_unit_is_looked_up_once_and_new_ones_fill_their_places():
+    units = tokens.Units({"old": b"a"})
+    found = list(map(units.__getitem__, ["old", "new", "old", "new"]))
+    units.places["new"] += b"bc"
+    assert b"".join(found) == b"abcabc" and list(units) == ["old", "new"] and list(units.places) == ["new"]
+
+
+def test_units_with_other_white_space_are_not_kept():
+    plain, some = made(), ["one\x0btwo three", "three", "one\x0btwo three one\x0btwo"]
+    encoder = tokens.UnitEncoder(plain)
+    for _ in range(2):
+        assert ids(encoder, encoder.encode(some)) == [plain.encode(t).ids for t in some]
+    assert " three" in encoder.known and not any("\x0b" in u for u in encoder.known)

@@ -109,37 +109,55 @@ class WordEncoder:
                 start = end + size
 
 
+class Units(dict):
+    """Ids of units; one that is not there is taken from the older half, or gets an empty place that is to be filled."""
+
+    def __init__(self, older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.older, self.places = older, {}
+
+    def __missing__(self, unit: str) -> bytes | bytearray:
+        ids = self.older.get(unit)
+        if ids is None:
+            ids = self.places[unit] = bytearray()
+        self[unit] = ids
+        return ids
+
+
 class UnitEncoder:
     """Ids of texts as little-endian bytes; each distinct unit is encoded once while the table has room."""
 
     def __init__(self, tokenizer: Tokenizer, most: int = KNOWN_UNITS) -> None:
-        self.tokenizer, self.most, self.known, self.older = tokenizer, most, {}, {}
+        self.tokenizer, self.most, self.known, self.growth = tokenizer, most, Units({}), 0
         self.kind = "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.find, self.odd = re.compile(_UNIT).findall, re.compile(_OTHER_SPACE).search
         self.words, self.word = WordEncoder(tokenizer) if WordEncoder.fits(tokenizer) else None, re.compile(_WORD).fullmatch
 
+    @property
+    def older(self) -> dict[str, bytes]:
+        return self.known.older
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        units = [self.find(t) for t in texts]
-        distinct = set().union(*units)
-        new = distinct.difference(self.known)
-        if len(self.known) + len(new) > self.most // 2:
-            self.known, self.older, new = {}, self.known, distinct
-        known, older, words, others = self.known, self.older, [], []
-        for unit in new:  # one look at the older half for each: it is large, and looks are what costs
-            ids = older.get(unit)
-            if ids is not None:
-                known[unit] = ids
-            elif self.words and self.word(unit):
-                words.append(unit)
-            else:
-                others.append(unit)
-        known.update(zip(words, self.words.encode(words, self.kind) if words else (), strict=True))
+        before = len(self.known)
+        if before + self.growth > self.most // 2:
+            self.known.older = {}
+            self.known, before = Units(self.known), 0
+        known, look = self.known, self.known.__getitem__
+        found = [list(map(look, self.find(t))) for t in texts]  # one look for each unit: looks are what costs
+        self.growth, places, known.places = len(known) - before, known.places, {}
+        words = [u for u in places if self.word(u)] if self.words else []
+        others = [u for u in places if not self.word(u)] if self.words else list(places)
         odd = {u for u in others if self.odd(u)}  # not kept, so they are met here each time
         others = [u for u in others if u not in odd]
-        known.update(zip(others, self._plain(others), strict=True))
+        for units, encoded in ((words, self.words.encode(words, self.kind) if words else ()), (others, self._plain(others))):
+            for unit, ids in zip(units, encoded, strict=True):
+                places[unit] += ids
+                known[unit] = ids
+        for unit in odd:
+            del known[unit]
         if not odd:
-            return [b"".join(map(known.__getitem__, cut)) for cut in units]
-        return [self._plain([t])[0] if not odd.isdisjoint(cut) else b"".join(map(known.__getitem__, cut)) for t, cut in zip(texts, units, strict=True)]
+            return list(map(b"".join, found))
+        return [self._plain([t])[0] if not odd.isdisjoint(self.find(t)) else b"".join(cut) for t, cut in zip(texts, found, strict=True)]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
