@@ -42,3 +42,21 @@ def test_of_equal_times_the_first_event_closes_a_minute(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     wanted = con.execute(f"SELECT t, c FROM ({ingest.ORACLE['ingest_minutes']}) ORDER BY t").fetchall()
     assert [tuple(r) for r in ingest.ingest_minutes(spark, str(tmp_path)).select("t", "c").orderBy("t").collect()] == wanted
+
+
+@pytest.fixture(scope="module")
+def other_months(spark, tmp_path_factory):
+    """Minutes from the end of a year to its third month after, some with values that are null beside others."""
+    rows = []
+    for day in (datetime(2023, 12, 31, 23), datetime(2024, 1, 31, 23), datetime(2024, 3, 9)):
+        for k in range(100):
+            for i, value in enumerate((None, 1.5, 2.5, None) if k % 3 else (2.0,)):
+                rows.append((len(rows), day + timedelta(minutes=k, seconds=7 * i), "ab"[k // 50], value))
+    folder = tmp_path_factory.mktemp("months")
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["ingest_late_rows"])
+def test_events_of_other_months(spark, other_months, name):
+    test_zero_and_negative_values_are_no_fault(spark, other_months, name)

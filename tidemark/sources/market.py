@@ -121,11 +121,13 @@ def minute_rows(lines: DataFrame, positive: bool = True) -> DataFrame:
     return rows.withColumn("problem", problem)
 
 
-def in_month(rows: DataFrame) -> DataFrame:
-    """Mark rows outside the month that the file's name ends with."""
+def in_month(rows: DataFrame, reach: tuple[int, int] | None = None) -> DataFrame:
+    """Mark rows outside the month that the file's name ends with, or outside [lo, hi) of ``reach`` where files have more months."""
     month = F.to_date(F.concat(F.regexp_extract("file", r"(\d{4}-\d{2})\.(?:csv|zip)$", 1), F.lit("-01")))
     lo = F.unix_date(month).cast("long") * 86_400_000
     hi = F.unix_date(F.add_months(month, 1)).cast("long") * 86_400_000
+    if reach:
+        lo, hi = map(F.lit, reach)
     outside = F.col("t").isNotNull() & month.isNotNull() & ~((F.col("t") >= lo) & (F.col("t") < hi))
     return rows.withColumn("problem", F.when(F.col("problem").isin("FIELD_COUNT", "TIME_NOT_INTEGER", "TIME_NOT_MINUTE_ALIGNED"), F.col("problem")).when(outside, "OUTSIDE_FILE_MONTH").otherwise(F.col("problem")))
 
