@@ -47,7 +47,7 @@ END = 0
 #: Bytes of a row group and of a page, and rows of a page at most.
 GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 64 << 10, 2000
 #: Distinct units that a worker keeps the ids of, in two halves: a full half takes the place of the older one.
-KNOWN_UNITS = 348_000
+KNOWN_UNITS = 600_000
 #: Words that the model gets at a time.
 WORDS_AT_ONCE = 400
 
